@@ -1,11 +1,12 @@
 """Language identification by compression.
 
-For each language a zstandard compressor gets raw text of that language as its dictionary. A text is encoded
-with each of them, in pieces so that the dictionary counts all through a long text, and the language with the
-smallest sum of sizes wins. If the runner-up comes within MARGIN of it, the text is rejected.
+For each language a zstandard compressor gets raw text of that language as its dictionary. A text (in lower case,
+each run of anything but letters as one space) is encoded with each of them, in pieces so that the dictionary
+counts all through a long text, and the language with the smallest sum of sizes wins. If the runner-up comes
+within MARGIN of it, the text is rejected.
 
 Learning takes at most DOCS_PER_LANG documents of each language (the least hash in each of as many hash
-buckets) and DICT_BYTES bytes of text; prediction reads whole texts.
+buckets), SHARE characters of each, and DICT_BYTES bytes in all; prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; if no language was
 learned, every text is; ties go to the first language by name; a null doc_id hashes as the empty string and
@@ -14,6 +15,7 @@ counts as held out if its remainder is 0; repeated rows stay; only doc_id, text
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 
 from seriate.llm.common import arrow_map, texts_of, with_hint
 
-DOCS_PER_LANG = 64
-DICT_BYTES = 1 << 16
+DOCS_PER_LANG = 128
+SHARE = 4096
+DICT_BYTES = 1 << 17
 LANGS = 256
-PIECE = 2048
-LEVEL = 3
-MARGIN = 0.004
+PIECE = 4096
+LEVEL = 5
+MARGIN = 0.002
 NONE = "und"
+_OTHER = re.compile(r"[\W\d_]+")
 _RESULT = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -46,10 +50,10 @@ def learned(docs: DataFrame) -> dict[str, bytes]:
     ids = with_hint(picked.select(F.col("x.doc_id").alias("doc_id")).distinct(), DOCS_PER_LANG * LANGS)
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(ids, "doc_id", "left_semi")
     # a text gives no more than its share of the dictionary
-    sample = found.where("text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, DICT_BYTES).alias("text")).collect()
+    sample = found.where("text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, SHARE).alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+        texts.setdefault(r["lang"], []).append(letters(r["text"]))
     out = {}
     for lang, parts in sorted(texts.items()):
         share = max(1, DICT_BYTES // len(parts))
@@ -59,6 +63,10 @@ def learned(docs: DataFrame) -> dict[str, bytes]:
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
+def letters(text: str) -> bytes:
+    return _OTHER.sub(" ", text.lower()).encode()
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], margin: float = MARGIN):
         self.langs, self.margin, self.packers = list(dictionaries), margin, []
@@ -68,7 +76,7 @@ class Classifier:
             self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode()
+        data = letters(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(len(p.compress(x)) for x in pieces) for p in self.packers]
 

@@ -29,9 +29,10 @@ from seriate.llm.common import arrow_map, bytes_of, with_hint
 from seriate.llm.langid import fold
 
 DOCS_PER_LABEL = 4096
-#: Words of the model: those in at least MIN_DOCS documents of the sample, the commonest first.
-VOCABULARY, MIN_DOCS = 50_000, 3
-STEPS, RATE, SHRINK = 200, 0.1, 2e-4
+#: Words of the model: at most VOCABULARY of those in MIN_DOCS documents of the sample or more that lie CLEAR standard
+#: deviations further among offensive documents than chance would put them.
+VOCABULARY, MIN_DOCS, CLEAR = 5_000, 3, 3.5
+STEPS, RATE, SHRINK = 300, 0.1, 1e-5
 #: Words of a sentence without an end; a longer one is cut.
 LONGEST = 200
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -53,8 +54,17 @@ def trained(bags: list[list[list[bytes]]], labels: list[int]) -> tuple[float, di
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return -50.0, {}
-    seen = Counter(w for bag in bags for w in {w for s in bag for w in s})
-    words = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= MIN_DOCS}
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for bag, label in zip(bags, labels, strict=True):
+        seen[label == 1].update({w for s in bag for w in s})
+    share = float((y == 1).mean())
+    clear = {}
+    for w, n in seen[1].items():
+        total = n + seen[0][w]
+        z = (n - share * total) / np.sqrt(share * (1 - share) * total)
+        if total >= MIN_DOCS and z >= CLEAR:
+            clear[w] = z
+    words = {w: i for i, w in enumerate(sorted(clear, key=lambda w: (-clear[w], w))[:VOCABULARY])}
     doc_of, rows, cols = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
