@@ -168,9 +168,9 @@ def summary(records: DataFrame, spec: str = "999$b") -> DataFrame:
 def statements(records: DataFrame) -> DataFrame:
     """One row for each 866 with a text."""
     rows = records.select("record_index", F.posexplode("fields").alias("field_index", "f")).where("f.tag = '866'")
-    text = F.trim(F.get(F.filter("f.subfields", lambda s: s["code"] == "a"), F.lit(0))["value"])
-    z, x = (F.get(F.filter("f.subfields", lambda s, c=c: s["code"] == c), F.lit(0))["value"] for c in "zx")
-    return rows.select("record_index", "field_index", text.alias("text"), F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2"), z.alias("z"), x.alias("x")).where("text <> ''")
+    first = lambda code: F.get(F.filter("f.subfields", lambda s: s["code"] == code), F.lit(0))["value"]
+    text = F.trim(first("a")).alias("text")
+    return rows.select("record_index", "field_index", text, F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2"), first("z").alias("z"), first("x").alias("x")).where("text <> ''")
 
 
 def existing_853s(records: DataFrame) -> DataFrame:
