@@ -32,7 +32,7 @@ DOCS_PER_LABEL = 4096
 #: Words of the model: at most VOCABULARY of those in MIN_DOCS documents of the sample or more that lie CLEAR standard
 #: deviations further among offensive documents than chance would put them.
 VOCABULARY, MIN_DOCS, CLEAR = 5_000, 3, 3.5
-STEPS, RATE, SHRINK = 300, 0.1, 1e-5
+STEPS, RATE, SHRINK = 600, 0.1, 1e-5
 #: Words of a sentence without an end; a longer one is cut.
 LONGEST = 200
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -49,8 +49,11 @@ def sentences(text: bytes) -> list[list[bytes]]:
     return out
 
 
-def trained(bags: list[list[list[bytes]]], labels: list[int]) -> tuple[float, dict[bytes, float]]:
-    """Bias and weights of the words, by Adam on the likelihood of the noisy-or; small weights shrink to zero."""
+def trained(bags: list[list[list[bytes]]], labels: list[int], prior: float | None = None) -> tuple[float, dict[bytes, float]]:
+    """Bias and weights of the words, by Adam on the likelihood of the noisy-or; small weights shrink to zero.
+
+    prior: share of label 1 among all labelled documents, of which the sample may hold another share.
+    """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return -50.0, {}
@@ -74,7 +77,8 @@ def trained(bags: list[list[list[bytes]]], labels: list[int]) -> tuple[float, di
             doc_of.append(d)
     doc_of, rows, cols = np.array(doc_of, int), np.array(rows, int), np.array(cols, int)
     some = np.bincount(doc_of, minlength=len(y)) > 0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * some
+    prior = share if prior is None else prior
+    weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()) * some
     theta = np.zeros(len(words) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -92,24 +96,28 @@ def trained(bags: list[list[list[bytes]]], labels: list[int]) -> tuple[float, di
     return float(theta[-1]), {w: float(theta[i]) for w, i in words.items() if theta[i]}
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bags, labels = [], []
-    for b in batches:
-        bags += [sentences(t) for t in bytes_of(b["text"])]
-        labels += b["toxic"].to_pylist()
-    bias, weights = trained(bags, labels)
-    model = json.dumps([bias, {w.decode("latin-1"): x for w, x in weights.items()}])
-    yield pa.RecordBatch.from_arrays([pa.array([model])], ["model"])
+def _train(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, labels = [], []
+        for b in batches:
+            bags += [sentences(t) for t in bytes_of(b["text"])]
+            labels += b["toxic"].to_pylist()
+        bias, weights = trained(bags, labels, prior)
+        model = json.dumps([bias, {w.decode("latin-1"): x for w, x in weights.items()}])
+        yield pa.RecordBatch.from_arrays([pa.array([model])], ["model"])
+
+    return run
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[bytes, float]]:
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.least(F.max(F.col("toxic").cast("int")), F.lit(1)).alias("toxic"))
+    prior = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     h = F.xxhash64("doc_id")
     picked = rows.groupBy("toxic", F.pmod(h, F.lit(DOCS_PER_LABEL)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), "toxic")
     picked = with_hint(picked, 2 * DOCS_PER_LABEL)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
-    model = arrow_map(sample.dropDuplicates(["doc_id"]).orderBy("doc_id").coalesce(1), _train, "model string").collect()
+    model = arrow_map(sample.dropDuplicates(["doc_id"]).orderBy("doc_id").coalesce(1), _train(prior), "model string").collect()
     bias, weights = json.loads(model[0]["model"]) if model else (-50.0, {})
     return bias, {w.encode("latin-1"): x for w, x in weights.items()}
 
