@@ -322,7 +322,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text").cast("string")).withColumn("__t", F.xxhash64("__text"))
     cuts = removals(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("cuts").alias("__cuts"))
     rows = marked.join(cuts, ["__id", "__t"], "left").select(*docs.columns, F.when(F.col("__cuts").isNotNull(), F.col("__text")).alias("__text"), "__cuts")
-    out = arrow_map(rows, _texts, rows.select("*", F.lit("").cast("string").alias("__kept")).schema)
+    out = arrow_map(rows, _texts, rows.select("*", F.lit(None).cast("string").alias("__kept")).schema)
     text = F.coalesce("__kept", F.col("text").cast("string")).alias("text")
     size = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
     return out.select(*[text if c == "text" else size if c == "n_chars" else F.col(c) for c in docs.columns])
