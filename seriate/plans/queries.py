@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriate.functions import chronology
 from seriate.functions.schemas import RECORD_FIELDS
-from seriate.operators import decisions, patterns, quality, reading, records
+from seriate.operators import decisions, patterns, quality, reading, records, reports
 
 MONTHS = ("Jan.", "Feb.", "Mar.", "Apr.", "May", "June", "July", "Aug.", "Sept.", "Oct.", "Nov.", "Dec.")
 _MON = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
@@ -349,7 +349,47 @@ def left_out_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEFT_OUT_POLICY = f"WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE {_K} = 5) SELECT o_orderkey, b.o_custkey IS NOT NULL AS hold FROM orders LEFT JOIN b USING (o_custkey)"
 
+def tested_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.tried(_shapes(spark, sf_dir), r"v\.\d+\(\d{4}\)|v\.\d+")
+
+
+TESTED_PATTERN = f"SELECT COUNT(*) AS total, COUNT(*) FILTER ({_K} = 0) AS \"full\", COUNT(*) FILTER ({_K} IN (1, 3)) AS partial, round(avg(CASE WHEN {_K} = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS rate FROM orders"
+
+
+def kept_things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "upload").otherwise("library").alias("kind"), F.col("ts").alias("last_used"))
+    last = e.agg(F.max("last_used").alias("now"))  # one row
+    return reports.alive(e.join(F.broadcast(last)), F.col("now")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+KEPT_THINGS = """WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'upload' ELSE 'library' END AS kind, ts FROM events), m AS (SELECT MAX(ts) AS now FROM e)
+SELECT kind, COUNT(*) AS n FROM e, m WHERE floor(epoch(ts)) + CASE kind WHEN 'upload' THEN 21600 ELSE 2592000 END > floor(epoch(now)) GROUP BY kind"""
+
+
+def indicator_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields written out in generated pages: closed and open ones of two shapes."""
+    d = _dated(spark, sf_dir)
+    closed = F.when(F.col("m") > 6, _text("863 40 $8 1.1 $a ", _s("v"), "-", _s("m"), " $i ", _s("y"))).otherwise(_text("863 41 $8 1.1 $a ", _s("v")))
+    page = d.select(_text("see ", closed, "\nand 863 41 $8 1.2 $a ", _s("m"), " $i ", _s("y"), "\n").alias("page"))
+    return reports.indicator_crosstab(reports.indicator_examples(page, "page"))
+
+
+INDICATOR_CROSSTAB = """WITH d AS (SELECT month(o_orderdate) AS m FROM orders)
+SELECT '8ai' AS shape, COUNT(*) FILTER (m > 6) AS closed, COUNT(*) AS open, COUNT(*) FILTER (m > 6) > 0 AS ambiguous FROM d UNION ALL SELECT '8a', 0::BIGINT, COUNT(*) FILTER (m <= 6), FALSE FROM d"""
+
+
+def partial_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.exposure(_shapes(spark, sf_dir), [("year", r"\d{4}"), ("volume", r"v\.\d+")])
+    return found.groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+PARTIAL_EXPOSURE = f"WITH {_DATED} SELECT CASE WHEN {_K} IN (2, 5) OR v > 99 THEN 'year' ELSE 'volume' END AS pattern, COUNT(*) AS n FROM d WHERE {_K} <> 4 GROUP BY 1"
+
 _ALL = (
+    ("tested_pattern", tested_pattern, TESTED_PATTERN),
+    ("kept_things", kept_things, KEPT_THINGS),
+    ("indicator_crosstab", indicator_crosstab, INDICATOR_CROSSTAB),
+    ("partial_exposure", partial_exposure, PARTIAL_EXPOSURE),
     ("read_unit", read_unit, READ_UNIT),
     ("read_open", read_open, READ_OPEN),
     ("hierarchy_pairing", hierarchy_pairing, HIERARCHY_PAIRING),
