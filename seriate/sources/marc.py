@@ -10,6 +10,7 @@ can open on the executors; for other stores, give records() a DataFrame of spark
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 from collections.abc import Iterator
 
@@ -63,7 +64,7 @@ def encode(leader: str, fields: list[dict]) -> bytes:
     return head.encode() + directory + FIELD_END + body + RECORD_END
 
 
-def _lengths(data: bytes, at: int = 0) -> Iterator[tuple[int, int]]:
+def _lengths(data: bytes | mmap.mmap, at: int = 0) -> Iterator[tuple[int, int]]:
     """Start and end of each record; where a length doesn't hold, the next record end counts."""
     while at < len(data):
         if not data[at : at + 5].strip(b"\r\n\x00 "):
@@ -97,17 +98,19 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out, first = [], 0
         for path in self.paths:
-            with open(path, "rb") as f:
-                data = f.read()  # lengths are followed from the start
-            at, n = 0, 0
-            for start, end in _lengths(data):
-                n += 1
-                if end - at >= SPLIT_BYTES or end >= len(data):
-                    out.append(_Part(path, at, end, first))
-                    first, at, n = first + n, end, 0
-            if n:
-                out.append(_Part(path, at, len(data), first))
-                first += n
+            if not os.path.getsize(path):
+                continue
+            # lengths are followed from leader to leader; of the file, only those pages are touched
+            with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                at, n = 0, 0
+                for _, end in _lengths(data):
+                    n += 1
+                    if end - at >= SPLIT_BYTES or end >= len(data):
+                        out.append(_Part(path, at, end, first))
+                        first, at, n = first + n, end, 0
+                if n:
+                    out.append(_Part(path, at, len(data), first))
+                    first += n
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
