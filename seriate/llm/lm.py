@@ -40,9 +40,11 @@ LEAST = 2
 #: Shards of the words and of the trie; the first bits of a hash name one.
 SHARD_BITS = 6
 SHARDS = 1 << SHARD_BITS
-GATHERED = 3_000_000
+GATHERED, GRAMS = 3_000_000, 1_500_000
+#: Holds the pairs that may have come twice: 64 MB, whatever the input.
+PAIRS = Bitmap(1 << 29)
 #: Tokens that are looked up at once.
-SLICE_WORDS = 1_000_000
+SLICE_WORDS = 600_000
 SCALE = 4096
 _REST = np.uint64((1 << (64 - SHARD_BITS)) - 1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
@@ -297,7 +299,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = sums_by(np.concatenate([x for x, _ in held]), np.ones(sum(len(x) for x, _ in held), np.int64))
         keys, k = sums_by(np.concatenate([x for _, x in held]), np.ones(sum(len(x) for _, x in held), np.int64))
         keys = np.repeat(keys, np.minimum(k, 2))
-        for kind, buckets, cols in ((0, shard_of(words), [words, n.astype(np.uint32)]), (1, Bitmap().slice_of(keys), [keys.astype(np.uint32)])):
+        for kind, buckets, cols in ((0, shard_of(words), [words, n.astype(np.uint32)]), (1, PAIRS.slice_of(keys), [keys.astype(np.uint32)])):
             for out in blob_batches(buckets, cols, ["x", "y"][: len(cols)], SHARDS if kind == 0 else Bitmap.SLICES):
                 y = out["y"] if kind == 0 else pa.nulls(len(out), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), kind, np.int32)), out["bucket"], out["x"], y], ["kind", "bucket", "x", "y"])
@@ -328,7 +330,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y, total = h.tobytes(), n.tobytes(), int(n.sum())
         else:
             k, n = sums_by(joined([x for x, _ in rows], np.uint32), np.ones(sum(len(x) // 4 for x, _ in rows), np.int64))
-            x, y, total = Bitmap().made(k[n > 1].astype(np.uint64), 1), b"", 0
+            x, y, total = PAIRS.made(k[n > 1].astype(np.uint64), 1), b"", 0
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary()), pa.array([total], pa.int64())], ["kind", "bucket", "x", "y", "total"])
 
 
@@ -360,12 +362,12 @@ def _grams(bits):
             for _, h, _ in hashed(bytes_of(b["text"])):
                 i = _inner(h)
                 ok = np.zeros(len(h), bool)
-                ok[i] = Bitmap().has(flags, pair_keys(h[i - 1], h[i]), 1)
+                ok[i] = PAIRS.has(flags, pair_keys(h[i - 1], h[i]), 1)
                 two = np.flatnonzero(ok)
                 three = two[ok[two - 1]]
                 held.append(((h[two - 1], h[two]), (h[three - 2], h[three - 1], h[three])))
                 size += len(two) + len(three)
-                if size > GATHERED:
+                if size > GRAMS:
                     yield from flush(held)
                     held, size = [], 0
         if held:
@@ -460,14 +462,14 @@ def _trie_file(model: Model):
     return run
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts all texts of docs and writes the model's files."""
+def train(docs: DataFrame):
+    """Counts all texts of docs and writes the model's files; returns the model and the broadcast bitmap of pairs."""
     spark = docs.sparkSession
     folder = new_path(spark, "lm")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     first = arrow_map(texts, _gather, "kind int, bucket int, x binary, y binary").repartition("kind", "bucket")
     first = stored(arrow_map(first, _merged, "kind int, bucket int, x binary, y binary, total long"), "lm-words")
-    bits = spark.sparkContext.broadcast(Bitmap().whole({r["bucket"]: bytes(r["x"]) for r in first.where("kind = 1").select("bucket", "x").collect()}))
+    bits = spark.sparkContext.broadcast(PAIRS.whole({r["bucket"]: bytes(r["x"]) for r in first.where("kind = 1").select("bucket", "x").collect()}))
     words = first.where("kind = 0").select("bucket", "x", "y", "total")
     tokens = words.agg(F.sum("total")).first()[0] or 0
     settle(spark)
@@ -479,13 +481,13 @@ def train(docs: DataFrame) -> Model:
     by = {r["bucket"]: r["size"] for r in sizes}
     model = Model(folder, np.r_[0, np.cumsum([by.get(i, 0) for i in range(SHARDS)])].tolist(), tokens, [])
     made = grams.groupBy("bucket").applyInArrow(_trie_file(model), "bucket int, pairs long, triples long").collect()
-    return Model(folder, model.bases.tolist(), tokens, [r["bucket"] for r in made])
+    return Model(folder, model.bases.tolist(), tokens, [r["bucket"] for r in made]), bits
 
 
 # ---- scoring --------------------------------------------------------------------------------------------
 
 
-def probabilities(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probabilities(model: Model, h: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: whether it is known, its unigram estimate, and the model's probability."""
     u, back = np.unique(h, return_inverse=True)
     ids, counts, weights = (x[back] for x in model.words(u))
@@ -495,8 +497,11 @@ def probabilities(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     i = _inner(h)
     p[i] = base[i] * _POWERS[weights[i - 1]]
     i = i[(weights[i - 1] > 0) & (ids[i] >= 0)]
+    keys = pair_keys(h[i - 1], h[i])
+    maybe = PAIRS.has(flags, keys, 1)  # most pairs came once at most, and aren't looked up
+    i, keys = i[maybe], keys[maybe]
     shard = np.zeros(len(h), np.int64)
-    shard[i] = shard_of(pair_keys(h[i - 1], h[i]))
+    shard[i] = shard_of(keys)
     place = np.full(len(h), -1, np.int64)
     place[i] = model.pairs(shard[i], ids[i - 1], ids[i])
     i = np.flatnonzero(place >= 0)
@@ -514,12 +519,13 @@ def probabilities(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids >= 0, base, p
 
 
-def _scores(model: Model):
+def _scores(model: Model, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for _, h, sizes in hashed(bytes_of(b["text"])):
-                known, base, p = probabilities(model, h)
+                known, base, p = probabilities(model, h, flags)
                 st = np.r_[0, np.cumsum(sizes)[:-1]]
                 for c, v in zip(cols, (sizes, np.add.reduceat(known.astype(np.int64), st), np.add.reduceat(np.log10(base), st), np.add.reduceat(np.log10(p), st)), strict=True):
                     c.append(v)
@@ -532,7 +538,7 @@ def _scores(model: Model):
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every row by a model of the rows that are not held out."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    model = train(docs.where(~held))
+    model, bits = train(docs.where(~held))
     settle(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _scores(model), _RESULT)
+    return arrow_map(rows, _scores(model, bits), _RESULT)
