@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -13,12 +14,13 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seriate.llm import components, langid, lm, mixing, packing, simhash, store, substrings, toxicity
-from seriate.llm.tokens import Encoder
+from seriate.llm.tokens import encoder
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+@lru_cache
 def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -32,7 +34,7 @@ def tokenizer(path):
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(st.sampled_from("ab XÉéß.,!'s\n\t\r ́ 12$|<>endoftx中"), max_size=60))
 def test_ids_are_the_tokenizers(path, text):
-    assert np.frombuffer(Encoder(path).ids(text), "<u2").tolist() == tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(path).ids(text), "<u2").tolist() == tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 # ---- packing --------------------------------------------------------------------------------------------
