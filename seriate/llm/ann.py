@@ -36,11 +36,11 @@ TABLES = 4
 #: Interval width, in standard deviations of the projections.
 WIDTH = 1.5
 #: Vectors that a bucket should hold, about.
-BUCKET = 256
+BUCKET = 1024
 TARGET = 0.97
 SAMPLE, SAMPLE_QUERIES = 8192, 128
 MOST_PROBES = 729
-HOT, GROUP = 2048, 4096
+HOT, GROUP = 2048, 16_384
 SEED = 12345
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -112,7 +112,7 @@ class Index:
 
 
 def fitted(sample: np.ndarray, rows: int, norm: float, k: int = K) -> Index:
-    """The least number of probes, by doubling, that finds TARGET of the sample's own neighbours."""
+    """The least number of probes that finds TARGET of the sample's own neighbours."""
     # an interval of 1.5 deviations tells about 1.5 bits
     index = Index(hashes=int(np.clip(np.ceil(np.log2(max(2, rows / BUCKET)) / 1.5), 2, 24)), norm=norm)
     most = min(MOST_PROBES, 3**index.hashes)
@@ -128,10 +128,8 @@ def fitted(sample: np.ndarray, rows: int, norm: float, k: int = K) -> Index:
             for i in range(len(asked)):
                 hit = visits[t, i][:, None] == cells[t, near[i]][None, :]
                 first[i] = np.minimum(first[i], np.where(hit.any(0), hit.argmax(0), most))
-        probes = 1
-        while probes < most and (first < probes).mean() < TARGET:
-            probes = min(most, probes * 2)
-        index.probes = probes
+        reached = np.cumsum(np.bincount(first.ravel(), minlength=most + 1)[:most]) / first.size
+        index.probes = min(most, int(np.searchsorted(reached, TARGET)) + 1)
     return index
 
 
@@ -160,13 +158,41 @@ def _hashed(index: Index, query: bool):
     return run
 
 
+class _Best:
+    """The best candidates of each query so far; what can't be among them any more is dropped at once."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor, self.rows, self.size = k, np.full(queries, -np.inf), [], 0
+
+    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        self.rows.append((query, vec, score))
+        self.size += len(query)
+        if self.size > 400_000:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, vec, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        o = np.lexsort((-score, vec, query))  # a vector may come from several tables
+        o = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (vec[o][1:] != vec[o][:-1])]]
+        o = o[top(query[o], vec[o], score[o], self.k)]
+        query, vec, score = query[o], vec[o], score[o]
+        full = np.bincount(query, minlength=len(self.floor)) >= self.k
+        least = np.full(len(self.floor), np.inf)
+        np.minimum.at(least, query, score)
+        self.floor[full] = least[full]
+        self.rows, self.size = [(query, vec, score)], len(query)
+        return self.rows[0]
+
+
 def _ranked(k: int):
     spare = k + 4
 
     def run(base: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if len(base) and len(asked):
-            base = base.sort_by("cell")
+            base = base.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
             cells, ids, dims = base["cell"].to_numpy(), base["vec_id"].to_numpy(), np.array(pc.list_value_length(base["v"]))
             q_ids, q_dims = asked["query_id"].to_numpy(), np.array(pc.list_value_length(asked["v"]))
             lists = asked["cells"].combine_chunks()
@@ -179,32 +205,37 @@ def _ranked(k: int):
                 v, q = matrix(base["v"].take(pa.array(mine))), matrix(asked["v"].take(pa.array(theirs)))
                 place = np.full(len(q_ids), -1)
                 place[theirs] = np.arange(len(theirs))
+                best_ = _Best(len(theirs), spare)
+                # a number for each vector, in the order of ids, so that ties go to the smaller
+                bits = (v.view(np.uint64) * (np.arange(dim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(1)
+                o = np.lexsort((bits, ids[mine]))
+                new = np.r_[False, (np.diff(ids[mine][o]) != 0) | (bits[o][1:] != bits[o][:-1])]
+                number = np.empty(len(o), np.int64)
+                number[o] = np.cumsum(new)
+                one = np.zeros(number.max() + 1, np.int64)
+                one[number] = np.arange(len(mine))
                 start = np.flatnonzero(np.r_[True, cells[mine][1:] != cells[mine][:-1]])
-                end = np.r_[start[1:], len(mine)]
-                for s, e in zip(start, end, strict=True):
+                for s, e in zip(start, np.r_[start[1:], len(mine)], strict=True):
                     lo, hi = (np.searchsorted(visit, cells[mine[s]], side) for side in ("left", "right"))
-                    rows = np.unique(place[who[lo:hi]])
-                    rows = rows[rows >= 0]
-                    vec = ids[mine[s:e]]
-                    near = np.argsort(vec, kind="stable")
-                    vec, part = vec[near], v[s:e][near]
+                    rows = place[who[lo:hi]]
+                    rows = np.unique(rows[rows >= 0])
                     for i in range(0, len(rows), 512):
                         r = rows[i : i + 512]
-                        score = np.round(q[r] @ part.T, 12)
-                        score[q_ids[theirs[r]][:, None] == vec[None, :]] = -np.inf
-                        at = np.argsort(-score, axis=1, kind="stable")[:, :spare]
-                        a, b = np.repeat(np.arange(len(r)), at.shape[1]), at.ravel()
-                        ok = score[a, b] > -np.inf
-                        a, b = a[ok], b[ok]
-                        exact = np.einsum("nd,nd->n", q[r[a]], part[b])
-                        for x, y in zip(out, (q_ids[theirs[r[a]]], vec[b], exact), strict=True):
-                            x.append(y)
+                        score = np.round(q[r] @ v[s:e].T, 12)
+                        near = score >= best_.floor[r][:, None]
+                        near &= q_ids[theirs[r]][:, None] != ids[mine[s:e]][None, :]
+                        a, b = np.nonzero(near)
+                        best_.add(r[a], number[s + b], score[a, b])
+                query, at, _ = best_.settle()
+                at = one[at]
+                # sums in one order whatever the batch, so that equal vectors tie
+                exact = np.einsum("nd,nd->n", q[query], v[at])
+                for x, y in zip(out, (q_ids[theirs[query]], ids[mine[at]], exact), strict=True):
+                    x.append(y)
         query, vec, score = (np.concatenate(x) for x in out)
-        # a vector may come from several tables
         o = np.lexsort((-score, vec, query))
         o = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (vec[o][1:] != vec[o][:-1])]] if len(o) else o
-        query, vec, score = query[o], vec[o], score[o]
-        keep = top(query, vec, score, k)
+        keep = o[top(query[o], vec[o], score[o], k)]
         return pa.table({"query_id": query[keep], "vec_id": vec[keep], "score": score[keep]})
 
     return run
