@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 #: Words in each of a worker's two generations of cached words; a full one replaces the older.
 GENERATION_WORDS = 600_000
-_ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Composed Latin letters, perhaps with punctuation behind them: both kinds of vocabulary split there.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|()-]*)")
@@ -26,15 +25,22 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _Odd(Exception):
+    """White space beside a space: the text can't be cut at every space."""
+
+
 class _Words(dict):
     """Maps a word to its ids (little-endian unsigned 16-bit); the tokenizer is asked for new words only."""
 
-    def __init__(self, tok: Tokenizer, lead: str):
+    def __init__(self, tok: Tokenizer, lead: str, strict: bool):
         super().__init__()
+        self.strict = strict
         self.tok, self.lead, self.older, self.tails = tok, lead, {}, {}
         self.model, self.lower = tok.model, tok.normalizer is not None
 
     def __missing__(self, word: str) -> bytes:
+        if self.strict and (not word or word[0].isspace() or word[-1].isspace()):
+            raise _Odd  # such a word is never kept, so every text that has one comes here
         if len(self) >= GENERATION_WORDS:
             self.older = dict(self)
             self.clear()
@@ -78,12 +84,15 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("ids don't fit 16 bits")
-        self.spaced, self.bare = _Words(self.tok, " "), _Words(self.tok, "")
+        self.spaced, self.bare = _Words(self.tok, " ", True), _Words(self.tok, "", False)
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text) is None:
-            words = text.split(" ")
-            return self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
+        words = text.split(" ")
+        try:
+            if words[0] and not words[0][-1].isspace():
+                return self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
+        except _Odd:
+            pass
         return b"".join(map(self.bare.__getitem__, _CUT.split(text)))
 
 
