@@ -1,8 +1,6 @@
 """A trigram language model in Elias-Fano tries.
 
-Training counts all words of the training texts, and all pairs and triples that occur at least twice. (A bitmap of
-fixed size, made of all pairs, lets through those that may occur twice; they are then counted exactly.) Estimates
-are interpolated by absolute discounting down to the unigram estimate (c + 0.5) / (N + 0.5 (V + 1)), so each
+Training counts all words, pairs and triples of the training texts. Estimates are interpolated by absolute discounting down to the unigram estimate (c + 0.5) / (N + 0.5 (V + 1)), so each
 context's probabilities sum to one up to quantisation.
 
 The model is a set of files in the shared folder, memory-mapped by the tasks that score. Words are known by the rank
@@ -36,12 +34,13 @@ from pyspark.sql import functions as F
 from seriate.llm.common import Bitmap, arrow_map, blob_batches, bytes_of, joined, mixed, new_path, settle, stored, sums_by
 
 DISCOUNT = 0.7
-LEAST = 2
-#: Shards of the words and of the trie; the first bits of a hash name one.
+#: Shards of the words, and the least number of shards of the trie; the first bits of a hash name one.
 SHARD_BITS = 6
 SHARDS = 1 << SHARD_BITS
+#: Training tokens of a shard of the trie, at most; more tokens make more shards.
+SHARD_TOKENS = 2_000_000
 GATHERED, GRAMS = 3_000_000, 1_500_000
-#: Holds the pairs that may have come twice: 64 MB, whatever the input.
+#: Holds the trie's pairs, so that most others aren't looked up: 64 MB, whatever the input.
 PAIRS = Bitmap(1 << 29)
 #: Tokens that are looked up at once.
 SLICE_WORDS = 600_000
@@ -182,7 +181,7 @@ def _mapped(uri: str) -> list[np.ndarray]:
                     f.write(block)
             f.flush()
         with f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
         size = int.from_bytes(data[:8], "little")
         _OPEN[uri] = [np.frombuffer(data, np.dtype(kind), n, 8 + size + at) for kind, n, at in json.loads(data[8 : 8 + size])]
     return _OPEN[uri]
@@ -201,11 +200,13 @@ _POWERS = 10.0 ** (-np.arange(65536) / SCALE)
 
 
 class Model:
-    """Lookups in the mapped files. bases: ids before each shard of words; have: shards of the trie that exist."""
+    """Lookups in the mapped files. bases: ids before each shard of words; have, weighed: shards of the trie and of weights that exist."""
 
-    def __init__(self, folder: str, bases: list[int], tokens: int, have: list[int]):
+    def __init__(self, folder: str, bases: list[int], tokens: int, have: list[int], weighed: list[int], shard_bits: int):
         self.folder, self.bases, self.tokens, self.have = folder, np.array(bases, np.int64), tokens, frozenset(have)
+        self.weighed, self.shard_bits = frozenset(weighed), shard_bits
         self.size = int(self.bases[-1])
+        self.id_type = np.uint32 if self.size < 1 << 32 else np.uint64
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id (or -1), count and coded back-off weight of each hash."""
@@ -218,9 +219,22 @@ class Model:
             rows = np.flatnonzero(shard == s)
             at = _sequence(a).find(h[rows] & _REST)
             rows, at = rows[at >= 0], at[at >= 0]
-            ids[rows], counts[rows], weights[rows] = at + self.bases[s], a[6][a[5][at]], a[7][at]
+            ids[rows], counts[rows] = at + self.bases[s], a[6][a[5][at]]
+            if s in self.weighed:
+                weights[rows] = _mapped(f"{self.folder}/weights-{s}")[0][at]
         return ids, counts, weights
 
+    def bucket_of(self, ids: np.ndarray) -> np.ndarray:
+        """The shard of words that holds each id."""
+        return np.searchsorted(self.bases, ids, "right") - 1
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        out, bucket = np.zeros(len(ids), np.int64), self.bucket_of(ids)
+        for s in np.unique(bucket).tolist():
+            a, rows = _mapped(f"{self.folder}/words-{s}"), np.flatnonzero(bucket == s)
+            out[rows] = a[6][a[5][ids[rows].astype(np.int64) - self.bases[s]]]
+        return out
+
     def pairs(self, shard: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Place of each pair of ids in its shard, or -1."""
         out = np.full(len(x), -1, np.int64)
@@ -257,21 +271,22 @@ class Model:
 
 def _by_shard(shard: np.ndarray, have: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
     o = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[o], np.arange(SHARDS + 1))
-    for s in range(SHARDS):
-        if ends[s + 1] > ends[s] and s in have:
-            yield s, o[ends[s] : ends[s + 1]]
+    found, first = np.unique(shard[o], return_index=True)
+    for s, lo, hi in zip(found.tolist(), first, np.r_[first[1:], len(o)], strict=False):
+        if s in have:
+            yield s, o[lo:hi]
 
 
 # ---- training -------------------------------------------------------------------------------------------
 
 
-def shard_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
+def shard_of(h: np.ndarray, bits: int = SHARD_BITS) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    return mixed(h1 * np.uint64(0x9E3779B97F4A7C15) + h2)
+def pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair of ids."""
+    return mixed(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64))
 
 
 def hashed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -293,22 +308,16 @@ def _inner(h: np.ndarray) -> np.ndarray:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: words with counts. Kind 1: 32 bits of each pair, twice if it came twice."""
+    """Words with counts, as blobs by shard."""
 
     def flush(held):
-        words, n = sums_by(np.concatenate([x for x, _ in held]), np.ones(sum(len(x) for x, _ in held), np.int64))
-        keys, k = sums_by(np.concatenate([x for _, x in held]), np.ones(sum(len(x) for _, x in held), np.int64))
-        keys = np.repeat(keys, np.minimum(k, 2))
-        for kind, buckets, cols in ((0, shard_of(words), [words, n.astype(np.uint32)]), (1, PAIRS.slice_of(keys), [keys.astype(np.uint32)])):
-            for out in blob_batches(buckets, cols, ["x", "y"][: len(cols)], SHARDS if kind == 0 else Bitmap.SLICES):
-                y = out["y"] if kind == 0 else pa.nulls(len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), kind, np.int32)), out["bucket"], out["x"], y], ["kind", "bucket", "x", "y"])
+        words, n = sums_by(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
+        yield from blob_batches(shard_of(words), [words, n.astype(np.uint32)], ["x", "y"], SHARDS)
 
     held, size = [], 0
     for b in batches:
         for _, h, _ in hashed(bytes_of(b["text"])):
-            i = _inner(h)
-            held.append((h, pair_keys(h[i - 1], h[i])))
+            held.append(h)
             size += len(h)
             if size > GATHERED:
                 yield from flush(held)
@@ -317,55 +326,50 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: sorted words with counts, or the bitmap's slice of pairs that came twice."""
-    held: dict[tuple[int, int], list] = {}
-    for b in batches:
-        for kind, bucket, x, y in zip(*(b[c].to_pylist() for c in ("kind", "bucket", "x", "y")), strict=True):
-            held.setdefault((kind, bucket), []).append((x, y))
-    for kind, bucket in sorted(held):
-        rows = held.pop((kind, bucket))
-        if kind == 0:
+def _word_file(folder: str):
+    """Writes shards of words: hashes and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, x, y in zip(*(b[c].to_pylist() for c in ("bucket", "x", "y")), strict=True):
+                held.setdefault(bucket, []).append((x, y))
+        for bucket in sorted(held):
+            rows = held.pop(bucket)
             h, n = sums_by(joined([x for x, _ in rows], np.uint64), joined([y for _, y in rows], np.uint32).astype(np.int64))
-            x, y, total = h.tobytes(), n.tobytes(), int(n.sum())
-        else:
-            k, n = sums_by(joined([x for x, _ in rows], np.uint32), np.ones(sum(len(x) // 4 for x, _ in rows), np.int64))
-            x, y, total = PAIRS.made(k[n > 1].astype(np.uint64), 1), b"", 0
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary()), pa.array([total], pa.int64())], ["kind", "bucket", "x", "y", "total"])
+            values, codes = np.unique(n, return_inverse=True)
+            kind = np.uint16 if len(values) < 65536 else np.uint32
+            _saved(f"{folder}/words-{bucket}", [*EliasFano.of(h & _REST).arrays(), codes.astype(kind), values])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["bucket", "size", "total"])
+
+    return run
 
 
-def _grams(bits):
-    """Pairs that may occur twice, and triples of such pairs, summed for each task, as blobs by the pair's shard."""
+def _grams(model: Model):
+    """All pairs and triples of ids, summed for each task, as blobs by the pair's shard."""
+    shard_bits = model.shard_bits
 
     def flush(held):
         for kind in (0, 1):
             rows = [np.concatenate(x) for x in zip(*(x[kind] for x in held), strict=True)]
-            o = np.lexsort(rows[::-1])
-            rows = [x[o] for x in rows]
-            if not len(o):
+            rows, n = _summed(rows, np.ones(len(rows[0]), np.int64))
+            if not len(n):
                 continue
-            new = np.zeros(len(o), bool)
-            new[0] = True
-            for x in rows:
-                new[1:] |= x[1:] != x[:-1]
-            st = np.flatnonzero(new)
-            n = np.diff(np.r_[st, len(o)]).astype(np.uint32)
-            rows = [x[st] for x in rows]
-            shard = shard_of(pair_keys(rows[0], rows[1]))
-            for out in blob_batches(shard, [*rows, n], ["h1", "h2", "h3", "n"] if kind else ["h1", "h2", "n"], SHARDS):
-                third = out["h3"] if kind else pa.nulls(len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([out["bucket"], out["h1"], out["h2"], third, out["n"]], ["bucket", "h1", "h2", "h3", "n"])
+            shard = shard_of(pair_keys(rows[0], rows[1]), shard_bits)
+            for out in blob_batches(shard, [*rows, n.astype(np.uint32)], ["x", "y", "z", "n"] if kind else ["x", "y", "n"], 1 << shard_bits):
+                third = out["z"] if kind else pa.nulls(len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([out["bucket"], out["x"], out["y"], third, out["n"]], ["bucket", "x", "y", "z", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, held, size = np.frombuffer(bits.value, np.uint8), [], 0
+        held, size = [], 0
         for b in batches:
             for _, h, _ in hashed(bytes_of(b["text"])):
-                i = _inner(h)
-                ok = np.zeros(len(h), bool)
-                ok[i] = PAIRS.has(flags, pair_keys(h[i - 1], h[i]), 1)
-                two = np.flatnonzero(ok)
-                three = two[ok[two - 1]]
-                held.append(((h[two - 1], h[two]), (h[three - 2], h[three - 1], h[three])))
+                two = _inner(h)
+                three = two[two > 1]
+                three = three[h[three - 2] != END]
+                u, back = np.unique(h, return_inverse=True)
+                i = model.words(u)[0].astype(model.id_type)[back]
+                held.append(((i[two - 1], i[two]), (i[three - 2], i[three - 1], i[three])))
                 size += len(two) + len(three)
                 if size > GRAMS:
                     yield from flush(held)
@@ -376,88 +380,88 @@ def _grams(bits):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and triples (h3 not null) that occur LEAST times or more, of whole shards."""
-    held: dict[tuple[int, bool], list] = {}
-    for b in batches:
-        for bucket, *blobs in zip(*(b[c].to_pylist() for c in ("bucket", "h1", "h2", "h3", "n")), strict=True):
-            held.setdefault((bucket, blobs[2] is not None), []).append(blobs)
-    for bucket, triple in sorted(held):
-        blobs = held.pop((bucket, triple))
-        rows = [joined([x[i] for x in blobs], np.uint64) for i in ((0, 1, 2) if triple else (0, 1))]
-        n = joined([x[3] for x in blobs], np.uint32).astype(np.int64)
-        o = np.lexsort(rows[::-1])
-        rows, n = [x[o] for x in rows], n[o]
-        new = np.zeros(len(o), bool)
-        new[:1] = True
-        for x in rows:
-            new[1:] |= x[1:] != x[:-1]
-        st = np.flatnonzero(new)
-        n = np.add.reduceat(n, st)
-        keep = n >= LEAST
-        rows = [x[st][keep].view(np.int64) for x in rows]
-        k = len(rows[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket, np.int32)), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]) if triple else pa.nulls(k, pa.int64()), pa.array(n[keep])], ["bucket", "h1", "h2", "h3", "n"])
+def _summed(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows (columns) and the sum of n of each."""
+    if not len(n):
+        return rows, n
+    o = np.lexsort(rows[::-1])
+    rows, n = [x[o] for x in rows], n[o]
+    new = np.zeros(len(o), bool)
+    new[0] = True
+    for x in rows:
+        new[1:] |= x[1:] != x[:-1]
+    st = np.flatnonzero(new)
+    return [x[st] for x in rows], np.add.reduceat(n, st)
 
 
-def _word_file(folder: str):
-    """Writes a shard of words: hashes, counts and back-off weights."""
-
-    def run(words: pa.Table, mass: pa.Table) -> pa.Table:
-        if not len(words):
-            return pa.table({"bucket": pa.array([], pa.int32()), "size": pa.array([], pa.int64())})
-        bucket = words["bucket"][0].as_py()
-        h, n = np.frombuffer(words["x"][0].as_py(), np.uint64), np.frombuffer(words["y"][0].as_py(), np.int64)
-        weight = np.ones(len(h))
-        if len(mass):
-            at = np.searchsorted(h, mass["h1"].to_numpy().view(np.uint64))
-            weight[at] -= mass["kept"].to_numpy() / n[at]
-        values, codes = np.unique(n, return_inverse=True)
-        kind = np.uint16 if len(values) < 65536 else np.uint32
-        _saved(f"{folder}/words-{bucket}", [*EliasFano.of(h & _REST).arrays(), codes.astype(kind), values, _coded(np.maximum(weight, 1e-15))])
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([len(h)], pa.int64())})
-
-    return run
+def _trie_file(model: Model):
+    """Counts pairs and triples (z not null) and writes their shard of the trie.
 
+    Gives slices of the bitmap of pairs, and the mass that each context's pairs keep by the context's shard of words.
+    """
 
-def _trie_file(model: Model):
-    """Writes a shard of the trie from its pairs and triples."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        bucket = rows["bucket"][0].as_py()
-        h1, h2, n = (rows[c].to_numpy() for c in ("h1", "h2", "n"))
-        triple = rows["h3"].is_valid().to_numpy()
-        h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
-        h3 = rows["h3"].filter(pa.array(triple)).to_numpy().astype(np.int64).view(np.uint64)
-        known = np.unique(np.concatenate([h1, h2, h3]))
-        number, counts, _ = model.words(known)
-        ids = lambda h: number[np.searchsorted(known, h)]
-        x, y, c = ids(h1[~triple]), ids(h2[~triple]), n[~triple]
-        before = counts[np.searchsorted(known, h1[~triple])]
-        o = np.lexsort((y, x))
-        x, y, c, before = x[o], y[o], c[o], before[o]
+    def write(bucket: int, pairs: list, triples: list) -> Iterator[pa.RecordBatch]:
+        (x, y), c = _summed([joined([b[i] for b in pairs], model.id_type) for i in (0, 1)], joined([b[3] for b in pairs], np.uint32).astype(np.int64))
+        (t1, t2, z), c3 = _summed([joined([b[i] for b in triples], model.id_type) for i in (0, 1, 2)], joined([b[3] for b in triples], np.uint32).astype(np.int64))
+        before = model.counts(x)
+        keys = pair_keys(x, y)
+        slices = PAIRS.slice_of(keys)
         st = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         context = EliasFano.of(x[st].astype(np.uint64))
         rank = np.repeat(np.arange(len(st)), np.diff(np.r_[st, len(x)]))
         size = np.uint64(model.size)
-        succ = EliasFano.of(rank.astype(np.uint64) * size + y.astype(np.uint64))
+        values = rank.astype(np.uint64) * size + y.astype(np.uint64)
+        succ = EliasFano.of(values)
         p2 = (c - DISCOUNT) / before
-        # triples by the place of their pair
-        t1, t2 = ids(h1[triple]), ids(h2[triple])
-        z, c3 = ids(h3), n[triple]
-        j = np.searchsorted(x[st], t1)
-        place = np.searchsorted(rank.astype(np.uint64) * size + y.astype(np.uint64), j.astype(np.uint64) * size + t2.astype(np.uint64))
-        o = np.lexsort((z, place))
-        place, z, c3 = place[o], z[o], c3[o]
+        # triples by the place of their pair; sums come in the order of ids
+        place = np.searchsorted(values, np.searchsorted(x[st], t1).astype(np.uint64) * size + t2.astype(np.uint64))
         below = np.bincount(place, minlength=len(x))
-        kept = np.bincount(place, c3 - DISCOUNT, minlength=len(x))
-        w2 = np.maximum(1 - kept / c, 1e-15)
+        kept3 = np.bincount(place, c3 - DISCOUNT, minlength=len(x))
+        w2 = np.maximum(1 - kept3 / c, 1e-15)
         pointers = EliasFano.of(np.r_[0, np.cumsum(below)].astype(np.uint64))
         succ3 = EliasFano.of(place.astype(np.uint64) * size + z.astype(np.uint64))
         starts = EliasFano.of(np.r_[st, len(x)].astype(np.uint64))
         arrays = [*context.arrays(), *starts.arrays(), *succ.arrays(), _coded(p2), _coded(w2), *pointers.arrays(), *succ3.arrays(), _coded((c3 - DISCOUNT) / c[place])]
         _saved(f"{model.folder}/trie-{bucket}", arrays)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([len(x)], pa.int64()), "triples": pa.array([len(z)], pa.int64())})
+        for s in np.unique(slices).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([s], pa.int32()), pa.array([PAIRS.made(keys[slices == s], 1)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], names)
+        n, context = len(st), x[st].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(model.bucket_of(context).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(context), pa.array(np.add.reduceat(c - DISCOUNT, st))], names)
+
+    names = ["bucket", "slice", "bits", "x", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        for b in batches:
+            for bucket, *blobs in zip(*(b[c].to_pylist() for c in ("bucket", "x", "y", "z", "n")), strict=True):
+                held.setdefault(bucket, ([], []))[blobs[2] is not None].append(blobs)
+        for bucket in sorted(held):
+            yield from write(bucket, *held.pop(bucket))
+
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the bitmap, each made of those that shards of the trie gave."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for s, x in zip(b["slice"].to_pylist(), b["bits"].to_pylist(), strict=True):
+            own = np.frombuffer(x, np.uint8)
+            held[s] = held[s] | own if s in held else own
+    for s, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "bits"])
+
+
+def _weight_file(model: Model):
+    """Writes a shard of the words' back-off weights."""
+
+    def run(mass: pa.Table) -> pa.Table:
+        bucket = mass["bucket"][0].as_py()
+        ids = mass["x"].to_numpy()
+        weight = np.ones(int(model.bases[bucket + 1] - model.bases[bucket]))
+        weight[ids - model.bases[bucket]] -= mass["kept"].to_numpy() / model.counts(ids)
+        _saved(f"{model.folder}/weights-{bucket}", [_coded(np.maximum(weight, 1e-15))])
+        return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
     return run
 
@@ -467,21 +471,23 @@ def train(docs: DataFrame):
     spark = docs.sparkSession
     folder = new_path(spark, "lm")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    first = arrow_map(texts, _gather, "kind int, bucket int, x binary, y binary").repartition("kind", "bucket")
-    first = stored(arrow_map(first, _merged, "kind int, bucket int, x binary, y binary, total long"), "lm-words")
-    bits = spark.sparkContext.broadcast(PAIRS.whole({r["bucket"]: bytes(r["x"]) for r in first.where("kind = 1").select("bucket", "x").collect()}))
-    words = first.where("kind = 0").select("bucket", "x", "y", "total")
-    tokens = words.agg(F.sum("total")).first()[0] or 0
+    words = arrow_map(texts, _gather, "bucket int, x binary, y binary").repartition("bucket")
+    sizes = {r["bucket"]: r for r in arrow_map(words, _word_file(folder), "bucket int, size long, total long").collect()}
+    bases = np.r_[0, np.cumsum([sizes[i]["size"] if i in sizes else 0 for i in range(SHARDS)])].tolist()
+    tokens = sum(r["total"] for r in sizes.values())
     settle(spark)
-    grams = arrow_map(texts, _grams(bits), "bucket int, h1 binary, h2 binary, h3 binary, n binary").repartition("bucket")
-    grams = stored(arrow_map(grams, _counted, "bucket int, h1 long, h2 long, h3 long, n long"), "lm-grams")
+    shard_bits = max(SHARD_BITS, (tokens // SHARD_TOKENS).bit_length())
+    model = Model(folder, bases, tokens, [], [], shard_bits)
+    # one shard of the trie for each task
+    grams = arrow_map(texts, _grams(model), "bucket int, x binary, y binary, z binary, n binary").repartitionById(1 << shard_bits, F.col("bucket"))
+    made = stored(arrow_map(grams, _trie_file(model), "bucket int, slice int, bits binary, x long, kept double"), "lm-trie")
     settle(spark)
-    mass = grams.where("h3 IS NULL").groupBy("h1").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("kept")).select(F.shiftrightunsigned("h1", 64 - SHARD_BITS).cast("int").alias("bucket"), "h1", "kept")
-    sizes = words.groupBy("bucket").cogroup(mass.groupBy("bucket")).applyInArrow(_word_file(folder), "bucket int, size long").collect()
-    by = {r["bucket"]: r["size"] for r in sizes}
-    model = Model(folder, np.r_[0, np.cumsum([by.get(i, 0) for i in range(SHARDS)])].tolist(), tokens, [])
-    made = grams.groupBy("bucket").applyInArrow(_trie_file(model), "bucket int, pairs long, triples long").collect()
-    return Model(folder, model.bases.tolist(), tokens, [r["bucket"] for r in made]), bits
+    have = [r["bucket"] for r in made.where("slice IS NOT NULL").select("bucket").distinct().collect()]
+    slices = arrow_map(made.where("slice IS NOT NULL").select("slice", "bits").repartition("slice"), _slices, "slice int, bits binary")
+    bits = spark.sparkContext.broadcast(PAIRS.whole({r["slice"]: bytes(r["bits"]) for r in slices.collect()}))
+    mass = made.where("x IS NOT NULL").groupBy("bucket", "x").agg(F.sum("kept").alias("kept"))
+    weighed = [r["bucket"] for r in mass.groupBy("bucket").applyInArrow(_weight_file(model), "bucket int").collect()]
+    return Model(folder, bases, tokens, have, weighed, shard_bits), bits
 
 
 # ---- scoring --------------------------------------------------------------------------------------------
@@ -497,11 +503,11 @@ def probabilities(model: Model, h: np.ndarray, flags: np.ndarray) -> tuple[np.nd
     i = _inner(h)
     p[i] = base[i] * _POWERS[weights[i - 1]]
     i = i[(weights[i - 1] > 0) & (ids[i] >= 0)]
-    keys = pair_keys(h[i - 1], h[i])
-    maybe = PAIRS.has(flags, keys, 1)  # most pairs came once at most, and aren't looked up
+    keys = pair_keys(ids[i - 1], ids[i])
+    maybe = PAIRS.has(flags, keys, 1)  # most pairs that training didn't see aren't looked up
     i, keys = i[maybe], keys[maybe]
     shard = np.zeros(len(h), np.int64)
-    shard[i] = shard_of(keys)
+    shard[i] = shard_of(keys, model.shard_bits)
     place = np.full(len(h), -1, np.int64)
     place[i] = model.pairs(shard[i], ids[i - 1], ids[i])
     i = np.flatnonzero(place >= 0)

@@ -313,6 +313,25 @@ def test_model_probabilities_sum_to_one(spark):
     assert known > (pairs["a", "b"] - 1) / sum(t.split().count("a") for t in texts) - 1e-3
 
 
+def test_model_keeps_what_training_saw_once(spark):
+    d = spark.createDataFrame([("a b c",), ("a d",), ("c b a",)], "text string")
+    model, bits = lm.train(d)
+    flags = np.frombuffer(bits.value, np.uint8)
+    h = np.array([*(xxhash.xxh64_intdigest(w.encode()) for w in "abc")], np.uint64)
+    _, base, p = lm.probabilities(model, h, flags)
+    # 11 tokens of 5 words; a comes thrice and has three successors, b twice and has two, the pair a b once
+    assert base[1] == pytest.approx(2.5 / 14)
+    two = lambda n, successors, count, below: (n - lm.DISCOUNT) / count + lm.DISCOUNT * successors / count * below
+    assert p[1] == pytest.approx(two(1, 3, 3, base[1]), rel=1e-2)
+    assert p[2] == pytest.approx(two(1, 1, 1, two(1, 2, 2, base[2])), rel=1e-2)
+
+
+def test_model_in_more_shards_is_the_same(spark, docs, monkeypatch):
+    want = sorted(map(str, lm.score(docs).collect()))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
+    assert sorted(map(str, lm.score(docs).collect())) == want
+
+
 @given(st.lists(st.integers(0, 2**40), max_size=200), st.lists(st.integers(0, 2**40), max_size=20))
 @settings(deadline=None)
 def test_elias_fano(values, others):
