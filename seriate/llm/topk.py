@@ -68,9 +68,13 @@ class Blocks:
             rows = np.concatenate([np.arange(self.starts[j], self.ends[j]) for j in order[i : i + STRIDE]])
             rows = rows[self.ids[rows] != query_id]
             ids, scores = np.r_[ids, self.ids[rows]], np.r_[scores, self.values[rows] @ query]
+            once = np.lexsort((-scores, ids))  # rows of one id count once, with their highest score
+            ids, scores = ids[once], scores[once]
+            new = np.r_[True, ids[1:] != ids[:-1]][: len(ids)]
+            ids, scores = ids[new], scores[new]
             keep = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[keep], scores[keep]
-            if len(ids) == k and len(np.unique(ids)) == k:
+            if len(ids) == k:
                 kth = scores[-1]
         return ids, scores
 

@@ -44,6 +44,18 @@ def test_blocks_leave_out_only_what_cannot_win():
         assert [(int(a), float(b)) for a, b in zip(ids, score, strict=True)] == [(int(j), float(s[j])) for j in sorted(set(range(2000)) - {i}, key=lambda j: (-s[j], j))[:10]]
 
 
+def test_topk_counts_repeated_rows_once(spark):
+    v = np.random.default_rng(3).normal(size=(100, 6)).astype(np.float32)
+    again = [(i, [float(x) for x in v[i] * f], 0) for i in range(100) for f in (1.0, 0.5, *([1.0] * 12 if i < 10 else []))]
+    t = table(spark, v, again)
+    got = topk.search(t, table(spark, v).where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    q, half = np.floor(1024 * v.astype(float)).astype(int), np.floor(1024 * (v * np.float32(0.5)).astype(float)).astype(int)
+    for query in range(0, 100, 20):
+        s = np.maximum(q @ q[query], half @ q[query])
+        want = sorted((-x, i) for i, x in enumerate(s) if i != query)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in got if r["query_id"] == query] == want
+
+
 def test_huge_components_stay_exact(spark):
     t = spark.createDataFrame([(0, [2.0e6, 1.0]), (1, [2.0e6, 2.0]), (2, [2.0e6, 3.0])], "vec_id long, embedding array<double>")
     got = topk.search(t, t.where("vec_id = 0")).orderBy("rank").collect()
