@@ -8,7 +8,8 @@ distances to the interval borders are ranked, and sets of perturbations of ranks
 squares. Candidates of all tables are merged and ranked by the exact product of the original vectors.
 
 The number of probes is fitted on a bounded sample (SAMPLE vectors, SAMPLE_QUERIES of them as queries) to
-TARGET recall; everything is indexed. A bucket with more than HOT vectors is cut into parts, and a query that
+TARGET recall; where MOST_PROBES don't reach it, fewer hash functions are taken, and at last none, which is a scan
+of all. Everything is indexed. A bucket with more than HOT vectors is cut into parts, and a query that
 visits it visits all of them. Recall against brute force is in the tests and the README.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part; ties go
@@ -47,6 +48,8 @@ _FOUND = "query_id long, vec_id long, score double"
 
 def perturbations(m: int, most: int) -> list[tuple[int, ...]]:
     """Sets of ranks 1 to 2m of border distances, by expected squared distance; a rank and its opposite never meet."""
+    if not m:
+        return [()]
     cost = [0.0] + [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
     cost += [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]
     out, heap = [()], [(cost[1], (1,))]
@@ -111,25 +114,37 @@ class Index:
         return self.cells(out, v.shape[1])
 
 
+def _reached(index: Index, sample: np.ndarray, asked: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Share of the neighbours near (positions in sample) of the asked ones that each number of probes finds."""
+    cells, visits = index.base(sample), index.visited(sample[asked], most)
+    # the first probe that reaches each neighbour, in any table
+    first = np.full(near.shape, most)
+    for t in range(index.tables):
+        for i in range(len(asked)):
+            hit = visits[t, i][:, None] == cells[t, near[i]][None, :]
+            first[i] = np.minimum(first[i], np.where(hit.any(0), hit.argmax(0), most))
+    return np.cumsum(np.bincount(first.ravel(), minlength=most + 1)[:most]) / first.size
+
+
 def fitted(sample: np.ndarray, rows: int, norm: float, k: int = K) -> Index:
-    """The least number of probes that finds TARGET of the sample's own neighbours."""
+    """The most hash functions, and the least number of probes, that find TARGET of the sample's own neighbours."""
     # an interval of 1.5 deviations tells about 1.5 bits
     index = Index(hashes=int(np.clip(np.ceil(np.log2(max(2, rows / BUCKET)) / 1.5), 2, 24)), norm=norm)
-    most = min(MOST_PROBES, 3**index.hashes)
-    if len(sample) > 2:
-        asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
-        s = sample[asked] @ sample.T
-        s[np.arange(len(asked)), asked] = -np.inf
-        near = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
-        cells, visits = index.base(sample), index.visited(sample[asked], most)
-        # the first probe that reaches each neighbour, in any table
-        first = np.full(near.shape, most)
-        for t in range(index.tables):
-            for i in range(len(asked)):
-                hit = visits[t, i][:, None] == cells[t, near[i]][None, :]
-                first[i] = np.minimum(first[i], np.where(hit.any(0), hit.argmax(0), most))
-        reached = np.cumsum(np.bincount(first.ravel(), minlength=most + 1)[:most]) / first.size
-        index.probes = min(most, int(np.searchsorted(reached, TARGET)) + 1)
+    if len(sample) <= 2:
+        return index
+    asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
+    while index.hashes:
+        most = min(MOST_PROBES, 3**index.hashes)
+        reached = _reached(index, sample, asked, near, most)
+        if reached[-1] >= TARGET:
+            index.probes = int(np.searchsorted(reached, TARGET)) + 1
+            return index
+        index.hashes -= 1
+    # no function serves: one bucket holds all vectors, and the search is exact
+    index.tables = index.probes = 1
     return index
 
 

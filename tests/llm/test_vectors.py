@@ -96,6 +96,29 @@ def test_ann_of_other_norms_finds_products(spark):
     assert hit / (40 * 20) >= 0.9
 
 
+def test_ann_fit_reaches_its_target_for_many_rows():
+    v = np.random.default_rng(2).normal(size=(2048, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    index = ann.fitted(v, 12_000_000, 1.0)
+    s = v[:60] @ v.T
+    s[np.arange(60), np.arange(60)] = -np.inf
+    cells, visits = index.base(v), index.visited(v[:60])
+    hit = sum(any(cells[t, j] in visits[t, i] for t in range(index.tables)) for i in range(60) for j in np.argsort(-s[i])[:20])
+    assert hit / (60 * 20) >= 0.95
+
+
+def test_ann_without_a_fitting_hash_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TARGET", 1.1)
+    v = np.random.default_rng(5).normal(size=(300, 8)).astype(np.float32)
+    t = table(spark, v)
+    got = ann.search(t, t.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    v = v.astype(float)
+    for q in range(0, 300, 50):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == np.argsort(-s, kind="stable")[:20].tolist()
+
+
 def test_perturbations_come_in_order():
     sets = ann.perturbations(4, 81)
     assert sets[0] == () and sets[1] == (1,) and len(set(sets)) == len(sets) == 81
