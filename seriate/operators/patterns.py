@@ -31,13 +31,19 @@ SUGGESTED = {"vol": "v.", "iss": "no.", "part": "pt."}
 
 def token_kinds(text: Column) -> Column:
     """Kinds of the tokens by native expressions, before numbers and unknown runs are joined."""
-    raw = F.regexp_extract_all(text, F.lit("(?is)" + shape.TOKEN), F.lit(0))
-    kind = lambda t: F.coalesce(*[F.when(t.rlike(f"(?is)^(?:{rx})$"), k) for k, rx in shape.KINDS])
-    return F.transform(raw, kind)
+    # each kind is a group of one expression, so that what stands around a token counts
+    rx = F.lit("(?is)" + "|".join(f"({rx})" for _, rx in shape.KINDS))
+    found = F.arrays_zip(*[F.regexp_extract_all(text, rx, F.lit(i + 1)).alias(k) for i, (k, _) in enumerate(shape.KINDS)])
+    return F.transform(found, lambda t: F.coalesce(*[F.when(t[k] != "", k) for k, _ in shape.KINDS]))
 
 
 def simple_signature(text: Column) -> Column:
-    return F.array_join(F.filter(token_kinds(F.trim(text)), lambda k: k != "SPACE"), "|")
+    """shape.signature by native expressions: numbers and unknown runs are joined in the list of kinds."""
+    kinds = token_kinds(F.trim(text))
+    solid = lambda ks: F.array_join(F.filter(ks, lambda k: k != "SPACE"), "|")
+    divided = solid(kinds).rlike(r"PAREN_CLOSE\|SEP_HYPHEN\||\|SEP_HYPHEN\|(?:VOL|PT|ISS)_CAP")
+    ranged = F.regexp_replace(F.array_join(kinds, "|"), r"(^|\|)NUMBER\|SEP_HYPHEN\|NUMBER(?=\||$)", "$1NUMBER")
+    return F.regexp_replace(F.when(divided, solid(F.split(ranged, r"\|"))).otherwise(solid(kinds)), r"UNKNOWN(?:\|UNKNOWN)+", "UNKNOWN")
 
 
 # ---- clusters -------------------------------------------------------------------------------------------

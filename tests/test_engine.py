@@ -98,6 +98,18 @@ def test_shapes():
     assert shape.pattern([" ".join(f"v.{i}" for i in range(40))])["declined"]
 
 
+def test_native_signature_is_the_signature(spark):
+    texts = ["v.95(1995)", "v.95:no.3(1995:Mar.)", "1995-", "v.95 Suppl. (1995)", "? 12", "v. 95 - v. 98 no. 3 (1995 - Sep 1998)", "v.1 Suppl. & Index (1990)", "v.3-4(1990)-v.5-6(1992)", "v.1-2-3 - v.9", "v.1-5(1990)", "3-4", "", "-v.1"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", patterns.simple_signature(F.col("text")).alias("s")).collect()
+    assert {r["text"]: r["s"] for r in got} == {t: shape.signature(t) for t in texts}
+
+
+def test_clusters_of_hard_shapes(spark):
+    texts = ["v.95 Suppl. (1995)", "? 3", "v. 95 - v. 98 no. 3 (1995 - Sep 1998)"]
+    got = patterns.clusters(spark.createDataFrame(list(enumerate(texts)), "pos long, text string")).select("label", F.array_join("groups", ",").alias("groups")).collect()
+    assert sorted(map(tuple, got)) == sorted([("VOL ‹Suppl.›(YEAR)", "start_vol,start_year"), ("‹?› NUM", "start_num"), ("VOL — VOL ISS(YEAR-CHRON YEAR)", "start_vol,end_vol,start_iss,start_year,start_month,end_year")])
+
+
 def test_library(spark):
     roles = patterns.infer_roles(["start_num", "start_iss", "start_year"])
     assert [r.kind for r in roles] == ["enum", "enum", "year"] and roles[0].suggested
