@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -167,16 +168,20 @@ def load(document) -> tuple[list[Pattern], list[str]]:
         if document.get("schema") != 1:
             return [], [f"schema {document.get('schema')} isn't known"]
         document = document.get("patterns", [])
-    out, errors, seen = [], [], set()
+    out, errors, seen = [], [], {}
     for raw in document[:MOST_PATTERNS]:
         p = Pattern(**{**raw, "roles": [Role(**r) for r in raw.get("roles", [])]})
-        if p.id in seen:
+        if seen.get(p.id) == raw:
             errors.append(f"{p.id} comes twice")
         elif bad := faults(p):
             errors += [f"{p.id}: {b}" for b in bad]
         else:
-            seen.add(p.id)
+            while p.id in seen:  # another pattern of this id
+                p.id = uuid.uuid4().hex[:12]
+            seen[p.id] = raw
             out.append(p)
+    if len(document) > MOST_PATTERNS:
+        errors.append(f"only the first {MOST_PATTERNS} patterns were read; {len(document) - MOST_PATTERNS} more were ignored")
     return sorted(out, key=lambda p: -p.priority), errors
 
 

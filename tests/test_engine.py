@@ -104,6 +104,14 @@ def test_native_signature_is_the_signature(spark):
     assert {r["text"]: r["s"] for r in got} == {t: shape.signature(t) for t in texts}
 
 
+def test_library_keeps_repeated_ids_and_tells_what_it_ignores():
+    one = lambda i, rx: {"id": i, "label": "", "regex": rx, "roles": [], "skip": True}
+    kept, errors = patterns.load([one("p", "a"), one("p", "b")])
+    assert [p.regex for p in kept] == ["a", "b"] and len({p.id for p in kept}) == 2 and not errors
+    kept, errors = patterns.load([one(str(i), f"x{i}") for i in range(203)])
+    assert len(kept) == 200 and "3 more were ignored" in errors[0]
+
+
 def test_clusters_of_hard_shapes(spark):
     texts = ["v.95 Suppl. (1995)", "? 3", "v. 95 - v. 98 no. 3 (1995 - Sep 1998)"]
     got = patterns.clusters(spark.createDataFrame(list(enumerate(texts)), "pos long, text string")).select("label", F.array_join("groups", ",").alias("groups")).collect()
