@@ -196,6 +196,11 @@ def _coded(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(p) * SCALE), 0, 65535).astype(np.uint16)
 
 
+def _weights(w: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Coded back-off weights: 0 where nothing follows, at least 1 elsewhere."""
+    return np.where(follows, np.maximum(_coded(np.maximum(w, 1e-15)), 1), 0).astype(np.uint16)
+
+
 _POWERS = 10.0 ** (-np.arange(65536) / SCALE)
 
 
@@ -417,11 +422,10 @@ def _trie_file(model: Model):
         place = np.searchsorted(values, np.searchsorted(x[st], t1).astype(np.uint64) * size + t2.astype(np.uint64))
         below = np.bincount(place, minlength=len(x))
         kept3 = np.bincount(place, c3 - DISCOUNT, minlength=len(x))
-        w2 = np.maximum(1 - kept3 / c, 1e-15)
         pointers = EliasFano.of(np.r_[0, np.cumsum(below)].astype(np.uint64))
         succ3 = EliasFano.of(place.astype(np.uint64) * size + z.astype(np.uint64))
         starts = EliasFano.of(np.r_[st, len(x)].astype(np.uint64))
-        arrays = [*context.arrays(), *starts.arrays(), *succ.arrays(), _coded(p2), _coded(w2), *pointers.arrays(), *succ3.arrays(), _coded((c3 - DISCOUNT) / c[place])]
+        arrays = [*context.arrays(), *starts.arrays(), *succ.arrays(), _coded(p2), _weights(1 - kept3 / c, below > 0), *pointers.arrays(), *succ3.arrays(), _coded((c3 - DISCOUNT) / c[place])]
         _saved(f"{model.folder}/trie-{bucket}", arrays)
         for s in np.unique(slices).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([s], pa.int32()), pa.array([PAIRS.made(keys[slices == s], 1)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], names)
@@ -460,7 +464,9 @@ def _weight_file(model: Model):
         ids = mass["x"].to_numpy()
         weight = np.ones(int(model.bases[bucket + 1] - model.bases[bucket]))
         weight[ids - model.bases[bucket]] -= mass["kept"].to_numpy() / model.counts(ids)
-        _saved(f"{model.folder}/weights-{bucket}", [_coded(np.maximum(weight, 1e-15))])
+        follows = np.zeros(len(weight), bool)
+        follows[ids - model.bases[bucket]] = True
+        _saved(f"{model.folder}/weights-{bucket}", [_weights(weight, follows)])
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
     return run

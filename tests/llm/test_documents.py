@@ -326,6 +326,11 @@ def test_model_keeps_what_training_saw_once(spark):
     assert p[2] == pytest.approx(two(1, 1, 1, two(1, 2, 2, base[2])), rel=1e-2)
 
 
+def test_weights_near_one_still_tell_that_something_follows():
+    got = lm._weights(np.array([0.9999, 1.0, 0.5]), np.array([True, False, True]))
+    assert got[0] == 1 and got[1] == 0 and got[2] == round(np.log10(2) * lm.SCALE)
+
+
 def test_model_in_more_shards_is_the_same(spark, docs, monkeypatch):
     want = sorted(map(str, lm.score(docs).collect()))
     monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
