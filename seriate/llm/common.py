@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import re
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriate.operators import code
+
 #: A word of the contracts: a run of characters outside space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -26,23 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _package() -> str:
-    """This package's code as a zip file on the driver."""
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="seriate-code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    return str(path)
+def _released() -> None:
+    """Give memory that a task no longer needs back to the system: idle workers stay, and share the executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tidy(function):
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _released()
+
+    return run
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package's code sent to the executors, once for each Spark application."""
-    sc = df.sparkSession.sparkContext
-    if not any(x.endswith(Path(_package()).name) for x in sc.listFiles):
-        sc.addPyFile(_package())
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow, with this package's code on the executors; tasks give their memory back as they end."""
+    return code.arrow_map(df, _tidy(function), schema)
 
 
 @lru_cache(maxsize=1)
@@ -101,9 +111,10 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64, len(words))
+def buckets_for(df: DataFrame, each: int, least: int = 64, most: int = 1 << 16) -> int:
+    """A power of two: so many buckets that each gets about `each` bytes of df, by Spark's own estimate of its size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(most, max(least, 1 << (max(1, size // each) - 1).bit_length())))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,6 +143,93 @@ def rolled(a: np.ndarray, k: int, base: int) -> np.ndarray:
     return out
 
 
+#: Bytes that are hashed at once, and the longest word that is hashed so; a longer one is hashed by XXH64.
+_STEP, _LONG = 1 << 18, 64
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+
+    def of(base: int) -> np.ndarray:
+        out = np.full(_STEP + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and the number of words of each text.
+
+    A word's hash is a polynomial in its letters' codes, mixed with its length: sums over stretches of the whole
+    text give those of all its words at once.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    space = _SPACES[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.r_[0, edge]
+    starts, ends = edge[::2], edge[1::2]
+    out, size, (up, down) = np.empty(len(starts), np.uint64), ends - starts, _powers()
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + _STEP, "right")))
+        if ends[i] - a <= _STEP:
+            n = int(ends[j - 1] - a)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_LETTERS[data[a : a + n]] * up[:n], out=sums[1:])
+            s = starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[s]) * down[s]
+        i = j
+    out = mixed(out + size.astype(np.uint64) * np.uint64(_BASE))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(starts, bounds)
+    return out, np.diff(np.r_[0, upto])
+
+
+def text_slices(texts: list[bytes], most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about so many bytes; a longer text is a range of its own."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def squeezed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers as planes of bytes in one zstandard frame: sorted and small numbers take little room."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes)
+
+
+def unsqueezed(blob: bytes, kinds: list) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(planes) // sum(widths), 0, []
+    for kind, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + n * w].reshape(w, n).T).view(kind).reshape(n))
+        at += n * w
+    return out
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences; np.cumsum gives them back."""
+    return np.diff(a, prepend=a.dtype.type(0)) if len(a) else a
+
+
 def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sum of values of each."""
     if not len(keys):

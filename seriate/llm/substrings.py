@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriate.llm.common import Bitmap, arrow_map, blob_batches, bytes_of, joined, mixed, rolled, settle, stored, word_hashes
+from seriate.llm.common import Bitmap, arrow_map, blob_batches, bytes_of, joined, mixed, rolled, settle, stored, text_slices, word_hashes
 
 WINDOW = 13
 ANCHOR = 7
@@ -44,6 +44,13 @@ _EDGES = "a long, b int, prev int, next int, doc long, pos int, n long"
 _SPANS = "a long, b int, tail int, prev int, next int, doc long, pos int, len int, n long"
 
 
+def hashed(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words."""
+    for i, j in text_slices(texts):
+        h, n = word_hashes(texts[i:j])
+        yield from np.split(h, np.cumsum(n)[:-1])
+
+
 def _least(a: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of width values."""
     size = 1
@@ -72,11 +79,10 @@ def _packed(chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBa
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for b in batches:
-        for doc, text in zip(b["doc_id"].to_pylist(), bytes_of(b["text"]), strict=True):
-            words = text.split()
+        for doc, words in zip(b["doc_id"].to_pylist(), hashed(bytes_of(b["text"])), strict=True):
             if doc is None or len(words) < WINDOW:
                 continue
-            m = anchors(word_hashes(words))
+            m = anchors(words)
             m = m[np.r_[True, m[1:] != m[:-1]]]
             held.append((m, np.full(len(m), doc, np.int64)))
             size += len(m)
@@ -122,11 +128,9 @@ def _runs(bits):
         flags = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for doc, t, text in zip(b["doc_id"].to_pylist(), b["t"].to_pylist(), bytes_of(b["text"]), strict=True):
-                words = text.split()
-                if doc is None or len(words) < WINDOW:
+            for doc, t, h in zip(b["doc_id"].to_pylist(), b["t"].to_pylist(), hashed(bytes_of(b["text"])), strict=True):
+                if doc is None or len(h) < WINDOW:
                     continue
-                h = word_hashes(words)
                 ok = np.r_[False, Bitmap().has(flags, anchors(h), PROBES), False]
                 starts, ends = np.flatnonzero(ok[1:] & ~ok[:-1]), np.flatnonzero(~ok[1:] & ok[:-1])
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
