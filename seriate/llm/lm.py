@@ -3,8 +3,12 @@
 Training counts all words, pairs and triples of the training texts. Estimates are interpolated by absolute discounting down to the unigram estimate (c + 0.5) / (N + 0.5 (V + 1)), so each
 context's probabilities sum to one up to quantisation.
 
-The model is a set of files in the shared folder, memory-mapped by the tasks that score. Words are known by the rank
-of their 64-bit hash. A shard of the trie holds the contexts (words) that have pairs in it, monotone pointers to
+The training data are gathered as triples alone: each word that follows another comes with the word behind it (or none,
+behind the end of a text), so that sums of triples are the counts of pairs too. Triples are summed in their task and sent
+sorted, as planes of bytes.
+
+The model is a set of files in the shared folder, memory-mapped by the tasks that score, and deleted when all
+scores are written. Words are known by the rank of their 64-bit hash. A shard of the trie holds the contexts (words) that have pairs in it, monotone pointers to
 their successors, the successors' ids made monotone by adding the context's rank times V, the same again for
 triples below each pair, and 16-bit probabilities and back-off weights. All sequences are Elias-Fano coded. A lookup
 finds the context's range and searches the successor relative to it. Shards are dealt by a hash of the pair, so a
@@ -31,21 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriate.llm.common import Bitmap, arrow_map, blob_batches, bytes_of, joined, mixed, new_path, settle, stored, sums_by
+from seriate.llm.common import arrow_map, buckets_for, bytes_of, dropped, mixed, new_path, squeezed, steps, stored, sums_by, text_slices, unsqueezed, word_hashes
 
 DISCOUNT = 0.7
-#: Shards of the words, and the least number of shards of the trie; the first bits of a hash name one.
+#: Shards of the words and of the trie, at least; the first bits of a hash name one.
 SHARD_BITS = 6
-SHARDS = 1 << SHARD_BITS
+#: Bytes of text to a shard of words.
+WORD_BYTES = 1 << 25
 #: Training tokens of a shard of the trie, at most; more tokens make more shards.
 SHARD_TOKENS = 2_000_000
-GATHERED, GRAMS = 3_000_000, 1_500_000
-#: Holds the trie's pairs, so that most others aren't looked up: 64 MB, whatever the input.
-PAIRS = Bitmap(1 << 29)
-#: Tokens that are looked up at once.
-SLICE_WORDS = 600_000
+#: Words, and triples, that a task sums before it sends them.
+GATHERED, GRAMS = 4_000_000, 2_500_000
+#: Bytes of text whose tokens are looked up at once, and words that a worker remembers.
+SLICE_BYTES, REMEMBERED = 6_000_000, 1 << 19
 SCALE = 4096
-_REST = np.uint64((1 << (64 - SHARD_BITS)) - 1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -133,10 +136,12 @@ class EliasFano:
         hi = self._zero(h) - h
         lo = np.where(h == 0, 0, self._zero(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0))
         want, end = x & np.uint64((1 << self.low_bits) - 1), hi.copy()
-        while (go := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = _unpacked(self.low, self.low_bits, np.minimum(mid, self.n - 1)) < want
-            lo, hi = np.where(go & less, mid + 1, lo), np.where(go & ~less, mid, hi)
+        left = np.flatnonzero(lo < hi)
+        while len(left):
+            mid = (lo[left] + hi[left]) >> 1
+            less = _unpacked(self.low, self.low_bits, mid) < want[left]
+            lo[left[less]], hi[left[~less]] = mid[less] + 1, mid[~less]
+            left = left[lo[left] < hi[left]]
         ok = (lo < end) & (_unpacked(self.low, self.low_bits, np.minimum(lo, self.n - 1)) == want)
         out[ask[ok]] = lo[ok]
         return out
@@ -204,25 +209,56 @@ def _weights(w: np.ndarray, follows: np.ndarray) -> np.ndarray:
 _POWERS = 10.0 ** (-np.arange(65536) / SCALE)
 
 
+class _Memory:
+    """Words that a worker looked up last: each hash has one slot, which the latest takes."""
+
+    def __init__(self):
+        self.keys, self.ids = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.int64)
+        self.counts, self.weights = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.uint16)
+
+
+_MEMORY: dict[tuple[str, int], _Memory] = {}
+
+
 class Model:
     """Lookups in the mapped files. bases: ids before each shard of words; have, weighed: shards of the trie and of weights that exist."""
 
     def __init__(self, folder: str, bases: list[int], tokens: int, have: list[int], weighed: list[int], shard_bits: int):
         self.folder, self.bases, self.tokens, self.have = folder, np.array(bases, np.int64), tokens, frozenset(have)
         self.weighed, self.shard_bits = frozenset(weighed), shard_bits
+        self.word_bits = (len(bases) - 1).bit_length() - 1
         self.size = int(self.bases[-1])
-        self.id_type = np.uint32 if self.size < 1 << 32 else np.uint64
+        # one more value stands for no word
+        self.id_type = np.uint32 if self.size < (1 << 32) - 1 else np.uint64
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id (or -1), count and coded back-off weight of each hash."""
+        name = (self.folder, len(self.weighed))
+        if name not in _MEMORY:
+            _MEMORY.clear()
+            _MEMORY[name] = _Memory()
+        m, slot = _MEMORY[name], (h & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        new = np.flatnonzero((m.keys[slot] != h) | (h == 0))
+        out = m.ids[slot], m.counts[slot], m.weights[slot]
+        if len(new):
+            u, back = np.unique(h[new], return_inverse=True)
+            found = self._found(u)
+            for x, y in zip(out, found, strict=True):
+                x[new] = y[back]
+            slot = (u & np.uint64(REMEMBERED - 1)).astype(np.int64)
+            slot, first = np.unique(slot, return_index=True)
+            for x, y in zip((m.keys, m.ids, m.counts, m.weights), (u, *found), strict=True):
+                x[slot] = y[first]
+        return out
+
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, counts, weights = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.uint16)
-        shard = shard_of(h)
-        for s in np.unique(shard).tolist():
+        shard = shard_of(h, self.word_bits)
+        for s, rows in _by_shard(shard, None):
             if self.bases[s + 1] == self.bases[s]:
                 continue
             a = _mapped(f"{self.folder}/words-{s}")
-            rows = np.flatnonzero(shard == s)
-            at = _sequence(a).find(h[rows] & _REST)
+            at = _sequence(a).find(_rest(h[rows], self.word_bits))
             rows, at = rows[at >= 0], at[at >= 0]
             ids[rows], counts[rows] = at + self.bases[s], a[6][a[5][at]]
             if s in self.weighed:
@@ -274,11 +310,15 @@ class Model:
         return out
 
 
-def _by_shard(shard: np.ndarray, have: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
-    o = np.argsort(shard, kind="stable")
-    found, first = np.unique(shard[o], return_index=True)
-    for s, lo, hi in zip(found.tolist(), first, np.r_[first[1:], len(o)], strict=False):
-        if s in have:
+def _by_shard(shard: np.ndarray, have: frozenset[int] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard (of those in have) and the places of its rows."""
+    if not len(shard):
+        return
+    o = np.argsort(shard.astype(np.uint16) if shard.max() < 65536 else shard, kind="stable")
+    own = shard[o]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    for s, lo, hi in zip(own[first].tolist(), first, np.r_[first[1:], len(o)], strict=True):
+        if have is None or s in have:
             yield s, o[lo:hi]
 
 
@@ -294,17 +334,19 @@ def pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mixed(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64))
 
 
-def hashed(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of texts: first number, hashes of all tokens (END behind each text), and each text's length."""
-    h, words, sizes, first = xxhash.xxh64_intdigest, [], [], 0
-    for i, t in enumerate(texts):
-        own = t.lower().split()
-        own.append(b"\n")
-        words += own
-        sizes.append(len(own))
-        if len(words) > SLICE_WORDS or i + 1 == len(texts):
-            yield first, np.fromiter(map(h, words), np.uint64, len(words)), np.array(sizes)
-            words, sizes, first = [], [], i + 1
+def _rest(h: np.ndarray, bits: int) -> np.ndarray:
+    return h & np.uint64((1 << (64 - bits)) - 1)
+
+
+def hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of texts: hashes of all tokens (END behind each text), and each text's number of tokens."""
+    for i, j in text_slices(texts, SLICE_BYTES):
+        words, n = word_hashes([t.lower() for t in texts[i:j]])
+        h, ends = np.empty(len(words) + len(n), np.uint64), np.cumsum(n + 1) - 1
+        inner = np.ones(len(h), bool)
+        inner[ends] = False
+        h[inner], h[ends] = words, END
+        yield h, n + 1
 
 
 def _inner(h: np.ndarray) -> np.ndarray:
@@ -312,208 +354,188 @@ def _inner(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(h[:-1] != END) + 1
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with counts, as blobs by shard."""
+def _gather(bits: int):
+    """Words with counts, summed for each task, as blobs by shard."""
 
-    def flush(held):
-        words, n = sums_by(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
-        yield from blob_batches(shard_of(words), [words, n.astype(np.uint32)], ["x", "y"], SHARDS)
+    def flush(words, n):
+        shard = shard_of(words, bits)
+        st = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        blobs = [squeezed([steps(words[i:j]), n[i:j].astype(np.uint32)]) for i, j in zip(st, np.r_[st[1:], len(words)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[st].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        for b in batches:
+            for h, _ in hashed(bytes_of(b["text"])):
+                held.append(h)
+                size += len(h)
+                if size > GATHERED:
+                    u, c = np.unique(np.concatenate(held), return_counts=True)
+                    words, n = sums_by(np.r_[words, u], np.r_[n, c])
+                    held, size = [], 0
+                    if len(words) > GATHERED:
+                        yield from flush(words, n)
+                        words, n = words[:0], n[:0]
+        if held:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            words, n = sums_by(np.r_[words, u], np.r_[n, c])
+        if len(words):
+            yield from flush(words, n)
+
+    return run
 
-    held, size = [], 0
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each bucket of a task."""
+    held: dict[int, list[bytes]] = {}
     for b in batches:
-        for _, h, _ in hashed(bytes_of(b["text"])):
-            held.append(h)
-            size += len(h)
-            if size > GATHERED:
-                yield from flush(held)
-                held, size = [], 0
-    if held:
-        yield from flush(held)
+        for bucket, blob in zip(b["bucket"].to_pylist(), b[column].to_pylist(), strict=True):
+            held.setdefault(bucket, []).append(blob)
+    for bucket in sorted(held):
+        yield bucket, held.pop(bucket)
 
 
-def _word_file(folder: str):
+def _word_file(folder: str, bits: int):
     """Writes shards of words: hashes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for bucket, x, y in zip(*(b[c].to_pylist() for c in ("bucket", "x", "y")), strict=True):
-                held.setdefault(bucket, []).append((x, y))
-        for bucket in sorted(held):
-            rows = held.pop(bucket)
-            h, n = sums_by(joined([x for x, _ in rows], np.uint64), joined([y for _, y in rows], np.uint32).astype(np.int64))
+        for bucket, blobs in _by_bucket(batches, "words"):
+            parts = [unsqueezed(x, [np.uint64, np.uint32]) for x in blobs]
+            h, n = sums_by(np.concatenate([np.cumsum(x) for x, _ in parts]), np.concatenate([y for _, y in parts]).astype(np.int64))
             values, codes = np.unique(n, return_inverse=True)
             kind = np.uint16 if len(values) < 65536 else np.uint32
-            _saved(f"{folder}/words-{bucket}", [*EliasFano.of(h & _REST).arrays(), codes.astype(kind), values])
+            _saved(f"{folder}/words-{bucket}", [*EliasFano.of(_rest(h, bits)).arrays(), codes.astype(kind), values])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["bucket", "size", "total"])
 
     return run
 
 
+def _summed(x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct triples, and the sum of n of each."""
+    if x.dtype == np.uint32:
+        pair = (x.astype(np.uint64) << np.uint64(32)) | y
+        o = np.argsort(z)
+        o = o[np.argsort(pair[o], kind="stable")]
+    else:
+        o = np.lexsort((z, y, x))
+    x, y, z, n = x[o], y[o], z[o], n[o]
+    st = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+    return x[st], y[st], z[st], np.add.reduceat(n, st)
+
+
 def _grams(model: Model):
-    """All pairs and triples of ids, summed for each task, as blobs by the pair's shard."""
-    shard_bits = model.shard_bits
+    """All triples of ids, summed for each task, as blobs by the shard of their first two."""
 
     def flush(held):
-        for kind in (0, 1):
-            rows = [np.concatenate(x) for x in zip(*(x[kind] for x in held), strict=True)]
-            rows, n = _summed(rows, np.ones(len(rows[0]), np.int64))
-            if not len(n):
-                continue
-            shard = shard_of(pair_keys(rows[0], rows[1]), shard_bits)
-            for out in blob_batches(shard, [*rows, n.astype(np.uint32)], ["x", "y", "z", "n"] if kind else ["x", "y", "n"], 1 << shard_bits):
-                third = out["z"] if kind else pa.nulls(len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([out["bucket"], out["x"], out["y"], third, out["n"]], ["bucket", "x", "y", "z", "n"])
+        x, y, z = (np.concatenate(c) for c in zip(*held, strict=True))
+        x, y, z, n = _summed(x, y, z, np.ones(len(x), np.uint32))
+        shards, blobs = [], []
+        for s, rows in _by_shard(shard_of(pair_keys(x, y), model.shard_bits), None):
+            shards.append(s)
+            blobs.append(squeezed([steps(x[rows]), y[rows], z[rows], n[rows].astype(np.uint32)]))
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for _, h, _ in hashed(bytes_of(b["text"])):
-                two = _inner(h)
-                three = two[two > 1]
-                three = three[h[three - 2] != END]
-                u, back = np.unique(h, return_inverse=True)
-                i = model.words(u)[0].astype(model.id_type)[back]
-                held.append(((i[two - 1], i[two]), (i[three - 2], i[three - 1], i[three])))
-                size += len(two) + len(three)
+            for h, _ in hashed(bytes_of(b["text"])):
+                ids, at = model.words(h)[0].astype(model.id_type), _inner(h)
+                behind = np.r_[ids[1:], ids[:1]]
+                behind[h == END] = model.size  # nothing follows the end
+                held.append((ids[at - 1], ids[at], behind[at]))
+                size += len(at)
                 if size > GRAMS:
                     yield from flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush(held)
 
     return run
 
 
-def _summed(rows: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct rows (columns) and the sum of n of each."""
-    if not len(n):
-        return rows, n
-    o = np.lexsort(rows[::-1])
-    rows, n = [x[o] for x in rows], n[o]
-    new = np.zeros(len(o), bool)
-    new[0] = True
-    for x in rows:
-        new[1:] |= x[1:] != x[:-1]
-    st = np.flatnonzero(new)
-    return [x[st] for x in rows], np.add.reduceat(n, st)
-
-
 def _trie_file(model: Model):
-    """Counts pairs and triples (z not null) and writes their shard of the trie.
-
-    Gives slices of the bitmap of pairs, and the mass that each context's pairs keep by the context's shard of words.
-    """
-
-    def write(bucket: int, pairs: list, triples: list) -> Iterator[pa.RecordBatch]:
-        (x, y), c = _summed([joined([b[i] for b in pairs], model.id_type) for i in (0, 1)], joined([b[3] for b in pairs], np.uint32).astype(np.int64))
-        (t1, t2, z), c3 = _summed([joined([b[i] for b in triples], model.id_type) for i in (0, 1, 2)], joined([b[3] for b in triples], np.uint32).astype(np.int64))
-        before = model.counts(x)
-        keys = pair_keys(x, y)
-        slices = PAIRS.slice_of(keys)
+    """Sums triples and pairs, writes their shard of the trie, and gives the number of each context's successors by the context's shard of words."""
+
+    def write(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        kind = model.id_type
+        parts = [unsqueezed(b, [kind, kind, kind, np.uint32]) for b in blobs]
+        x, y, z, n = _summed(np.concatenate([np.cumsum(p[0], dtype=kind) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2)), np.concatenate([p[3] for p in parts]).astype(np.int64))
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        at = np.flatnonzero(new)
+        c, some = np.add.reduceat(n, at), z != kind(model.size)
+        place, z, c3 = (np.cumsum(new) - 1)[some], z[some].astype(np.uint64), n[some]
+        x, y = x[at], y[at]
         st = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        context = EliasFano.of(x[st].astype(np.uint64))
-        rank = np.repeat(np.arange(len(st)), np.diff(np.r_[st, len(x)]))
-        size = np.uint64(model.size)
-        values = rank.astype(np.uint64) * size + y.astype(np.uint64)
-        succ = EliasFano.of(values)
-        p2 = (c - DISCOUNT) / before
-        # triples by the place of their pair; sums come in the order of ids
-        place = np.searchsorted(values, np.searchsorted(x[st], t1).astype(np.uint64) * size + t2.astype(np.uint64))
+        size, ends = np.uint64(model.size), np.r_[st[1:], len(x)]
+        rank = np.repeat(np.arange(len(st)), ends - st)
         below = np.bincount(place, minlength=len(x))
-        kept3 = np.bincount(place, c3 - DISCOUNT, minlength=len(x))
-        pointers = EliasFano.of(np.r_[0, np.cumsum(below)].astype(np.uint64))
-        succ3 = EliasFano.of(place.astype(np.uint64) * size + z.astype(np.uint64))
-        starts = EliasFano.of(np.r_[st, len(x)].astype(np.uint64))
-        arrays = [*context.arrays(), *starts.arrays(), *succ.arrays(), _coded(p2), _weights(1 - kept3 / c, below > 0), *pointers.arrays(), *succ3.arrays(), _coded((c3 - DISCOUNT) / c[place])]
+        arrays = [*EliasFano.of(x[st].astype(np.uint64)).arrays(), *EliasFano.of(np.r_[st, len(x)].astype(np.uint64)).arrays(), *EliasFano.of(rank.astype(np.uint64) * size + y.astype(np.uint64)).arrays()]
+        # every pair but those at the end of a text has its count in triples, so the discounts are what they leave
+        arrays += [_coded((c - DISCOUNT) / model.counts(x[st])[rank]), _weights(DISCOUNT * below / c, below > 0)]
+        arrays += [*EliasFano.of(np.r_[0, np.cumsum(below)].astype(np.uint64)).arrays(), *EliasFano.of(place.astype(np.uint64) * size + z).arrays(), _coded((c3 - DISCOUNT) / c[place])]
         _saved(f"{model.folder}/trie-{bucket}", arrays)
-        for s in np.unique(slices).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([s], pa.int32()), pa.array([PAIRS.made(keys[slices == s], 1)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], names)
-        n, context = len(st), x[st].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(model.bucket_of(context).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(context), pa.array(np.add.reduceat(c - DISCOUNT, st))], names)
-
-    names = ["bucket", "slice", "bits", "x", "kept"]
+        context, home, out = x[st].astype(np.int64), model.bucket_of(x[st]), [[], []]
+        for s, rows in _by_shard(home, None):
+            out[0].append(s)
+            out[1].append(squeezed([steps((context[rows] - model.bases[s]).astype(np.uint64)), (ends - st)[rows].astype(np.uint64)]))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(out[0]), pa.int32()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "bucket", "followers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            for bucket, *blobs in zip(*(b[c].to_pylist() for c in ("bucket", "x", "y", "z", "n")), strict=True):
-                held.setdefault(bucket, ([], []))[blobs[2] is not None].append(blobs)
-        for bucket in sorted(held):
-            yield from write(bucket, *held.pop(bucket))
+        for bucket, blobs in _by_bucket(batches, "grams"):
+            yield from write(bucket, blobs)
 
     return run
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the bitmap, each made of those that shards of the trie gave."""
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        for s, x in zip(b["slice"].to_pylist(), b["bits"].to_pylist(), strict=True):
-            own = np.frombuffer(x, np.uint8)
-            held[s] = held[s] | own if s in held else own
-    for s, x in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "bits"])
-
-
 def _weight_file(model: Model):
-    """Writes a shard of the words' back-off weights."""
-
-    def run(mass: pa.Table) -> pa.Table:
-        bucket = mass["bucket"][0].as_py()
-        ids = mass["x"].to_numpy()
-        weight = np.ones(int(model.bases[bucket + 1] - model.bases[bucket]))
-        weight[ids - model.bases[bucket]] -= mass["kept"].to_numpy() / model.counts(ids)
-        follows = np.zeros(len(weight), bool)
-        follows[ids - model.bases[bucket]] = True
-        _saved(f"{model.folder}/weights-{bucket}", [_weights(weight, follows)])
-        return pa.table({"bucket": pa.array([bucket], pa.int32())})
+    """Writes shards of the words' back-off weights: what the discounts of their successors leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _by_bucket(batches, "followers"):
+            n = np.zeros(int(model.bases[bucket + 1] - model.bases[bucket]), np.int64)
+            for blob in blobs:
+                at, more = unsqueezed(blob, [np.uint64, np.uint64])
+                n[np.cumsum(at).astype(np.int64)] += more.astype(np.int64)  # a shard of the trie names each context once
+            counts = model.counts(np.arange(len(n)) + model.bases[bucket])
+            _saved(f"{model.folder}/weights-{bucket}", [_weights(DISCOUNT * n / counts, n > 0)])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
     return run
 
 
-def train(docs: DataFrame):
-    """Counts all texts of docs and writes the model's files; returns the model and the broadcast bitmap of pairs."""
-    spark = docs.sparkSession
-    folder = new_path(spark, "lm")
+def train(docs: DataFrame) -> Model:
+    """Counts all texts of docs and writes the model's files."""
+    folder = new_path(docs.sparkSession, "lm")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    words = arrow_map(texts, _gather, "bucket int, x binary, y binary").repartition("bucket")
-    sizes = {r["bucket"]: r for r in arrow_map(words, _word_file(folder), "bucket int, size long, total long").collect()}
-    bases = np.r_[0, np.cumsum([sizes[i]["size"] if i in sizes else 0 for i in range(SHARDS)])].tolist()
+    bits = buckets_for(texts, WORD_BYTES, 1 << SHARD_BITS).bit_length() - 1
+    words = arrow_map(texts, _gather(bits), "bucket int, words binary").repartition("bucket")
+    sizes = {r["bucket"]: r for r in arrow_map(words, _word_file(folder, bits), "bucket int, size long, total long").collect()}
+    bases = np.r_[0, np.cumsum([sizes[i]["size"] if i in sizes else 0 for i in range(1 << bits)])].tolist()
     tokens = sum(r["total"] for r in sizes.values())
-    settle(spark)
     shard_bits = max(SHARD_BITS, (tokens // SHARD_TOKENS).bit_length())
     model = Model(folder, bases, tokens, [], [], shard_bits)
     # one shard of the trie for each task
-    grams = arrow_map(texts, _grams(model), "bucket int, x binary, y binary, z binary, n binary").repartitionById(1 << shard_bits, F.col("bucket"))
-    made = stored(arrow_map(grams, _trie_file(model), "bucket int, slice int, bits binary, x long, kept double"), "lm-trie")
-    settle(spark)
-    have = [r["bucket"] for r in made.where("slice IS NOT NULL").select("bucket").distinct().collect()]
-    slices = arrow_map(made.where("slice IS NOT NULL").select("slice", "bits").repartition("slice"), _slices, "slice int, bits binary")
-    bits = spark.sparkContext.broadcast(PAIRS.whole({r["slice"]: bytes(r["bits"]) for r in slices.collect()}))
-    mass = made.where("x IS NOT NULL").groupBy("bucket", "x").agg(F.sum("kept").alias("kept"))
-    weighed = [r["bucket"] for r in mass.groupBy("bucket").applyInArrow(_weight_file(model), "bucket int").collect()]
-    return Model(folder, bases, tokens, have, weighed, shard_bits), bits
+    grams = arrow_map(texts, _grams(model), "bucket int, grams binary").repartitionById(1 << shard_bits, F.col("bucket"))
+    made = stored(arrow_map(grams, _trie_file(model), "shard int, bucket int, followers binary"), "lm-trie", f"{folder}/followers")
+    have = [r["shard"] for r in made.select("shard").distinct().collect()]
+    weighed = [r["bucket"] for r in arrow_map(made.select("bucket", "followers").repartition("bucket"), _weight_file(model), "bucket int").collect()]
+    return Model(folder, bases, tokens, have, weighed, shard_bits)
 
 
 # ---- scoring --------------------------------------------------------------------------------------------
 
 
-def probabilities(model: Model, h: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probabilities(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: whether it is known, its unigram estimate, and the model's probability."""
-    u, back = np.unique(h, return_inverse=True)
-    ids, counts, weights = (x[back] for x in model.words(u))
+    ids, counts, weights = model.words(h)
     base = (counts + 0.5) / (model.tokens + 0.5 * (model.size + 1))
     p = base.copy()
     # pairs: only behind words that have successors in the trie
     i = _inner(h)
     p[i] = base[i] * _POWERS[weights[i - 1]]
     i = i[(weights[i - 1] > 0) & (ids[i] >= 0)]
-    keys = pair_keys(ids[i - 1], ids[i])
-    maybe = PAIRS.has(flags, keys, 1)  # most pairs that training didn't see aren't looked up
-    i, keys = i[maybe], keys[maybe]
     shard = np.zeros(len(h), np.int64)
-    shard[i] = shard_of(keys, model.shard_bits)
+    shard[i] = shard_of(pair_keys(ids[i - 1], ids[i]), model.shard_bits)
     place = np.full(len(h), -1, np.int64)
     place[i] = model.pairs(shard[i], ids[i - 1], ids[i])
     i = np.flatnonzero(place >= 0)
@@ -531,13 +553,12 @@ def probabilities(model: Model, h: np.ndarray, flags: np.ndarray) -> tuple[np.nd
     return ids >= 0, base, p
 
 
-def _scores(model: Model, bits):
+def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
-            for _, h, sizes in hashed(bytes_of(b["text"])):
-                known, base, p = probabilities(model, h, flags)
+            for h, sizes in hashed(bytes_of(b["text"])):
+                known, base, p = probabilities(model, h)
                 st = np.r_[0, np.cumsum(sizes)[:-1]]
                 for c, v in zip(cols, (sizes, np.add.reduceat(known.astype(np.int64), st), np.add.reduceat(np.log10(base), st), np.add.reduceat(np.log10(p), st)), strict=True):
                     c.append(v)
@@ -550,7 +571,8 @@ def _scores(model: Model, bits):
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every row by a model of the rows that are not held out."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    model, bits = train(docs.where(~held))
-    settle(docs.sparkSession)
+    model = train(docs.where(~held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _scores(model, bits), _RESULT)
+    out = stored(arrow_map(rows, _scores(model), _RESULT), "lm-scores")
+    dropped(docs.sparkSession, model.folder)
+    return out

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seriate.llm import components, langid, lm, mixing, packing, simhash, store, substrings, toxicity
+from seriate.llm.common import word_hashes
 from seriate.llm.tokens import encoder
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -295,30 +296,78 @@ def test_language_model(docs, rows):
         assert r["base_score"] == pytest.approx(base) and r["n_tokens"] == len(t) and r["n_known"] == sum(c[w] > 0 for w in t) and r["train_tokens"] == n
         assert r["held_out"] == (crc(r["doc_id"]) == 1)
     held = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) and held
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and held
+
+
+def trigram(texts):
+    """The model's definition, by plain dictionaries: log10 probability of a list of tokens that ends with None."""
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        one.update(t)
+        two.update(zip(t, t[1:], strict=False))
+        three.update(zip(t, t[1:], t[2:], strict=False))
+    n, v, d = sum(one.values()), len(one), lm.DISCOUNT
+    after1, after2 = Counter(p[:1] for p in two), Counter(p[:2] for p in three)
+
+    def probability(w, before):
+        p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        if before and after1[before[-1:]]:
+            c = one[before[-1]]
+            p = max(0, two[before[-1], w] - d) / c + d * after1[before[-1:]] / c * p
+        if len(before) > 1 and after2[before[-2:]]:
+            c = two[before[-2:]]
+            p = max(0, three[*before[-2:], w] - d) / c + d * after2[before[-2:]] / c * p
+        return p
+
+    return lambda t: sum(np.log10(probability(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t))
+
+
+def test_scores_equal_a_model_of_dictionaries(docs, rows):
+    tokens = lambda t: [*WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    of, want = {r[0]: tokens(r[1]) for r in rows}, trigram([tokens(r[1]) for r in rows if crc(r[0]) != 1])
+    for r in lm.score(docs).collect():
+        t = of[r["doc_id"]]
+        # probabilities are kept to 1/4096 of a power of ten, in two levels and their weights
+        assert r["score"] == pytest.approx(want(t), abs=4 * len(t) / lm.SCALE)
+
+
+def test_word_hashes_tell_words_apart_and_nothing_else():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"ab \n\t\xc3c") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [b"x" * 600_000 + b" a", b"a " * 200_000, b" " + b"y" * 262_144 + b" z", b"ab" * 40 + b" q", b"\v\f\r\x1c\xa0"]
+    h, n = word_hashes(texts)
+    words = [t.split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    of = {}
+    for w, x in zip([w for t in words for w in t], h.tolist(), strict=True):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of)
+
+
+def codes(text):
+    """The model's hashes of a text's words and of its end."""
+    return next(lm.hashed([text.encode()]))[0]
 
 
 def test_model_probabilities_sum_to_one(spark):
     texts = ["a b c a b d", "a b c", "b c a b", "a b d d", "c a b c"] * 3
     d = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, bits = lm.train(d)
-    flags = np.frombuffer(bits.value, np.uint8)
-    h = {w: np.uint64(xxhash.xxh64_intdigest(w.encode())) for w in "abcdz"} | {"end": lm.END}
+    model = lm.train(d)
+    h = {w: codes(w)[0] for w in "abcdz"} | {"end": lm.END}
     for context in ("a", "ab", "bc", "zz"):
-        last = [lm.probabilities(model, np.array([*(h[x] for x in context), h[w]], np.uint64), flags)[2][-1] for w in h]
+        last = [lm.probabilities(model, np.array([*(h[x] for x in context), h[w]], np.uint64))[2][-1] for w in h]
         assert sum(last) == pytest.approx(1, abs=5e-3)
     # the trie against counts
     pairs = Counter(p for t in texts for w in [t.split()] for p in zip(w, w[1:], strict=False))
-    known = lm.probabilities(model, np.array([h["a"], h["b"]], np.uint64), flags)[2][1]
+    known = lm.probabilities(model, np.array([h["a"], h["b"]], np.uint64))[2][1]
     assert known > (pairs["a", "b"] - 1) / sum(t.split().count("a") for t in texts) - 1e-3
 
 
 def test_model_keeps_what_training_saw_once(spark):
     d = spark.createDataFrame([("a b c",), ("a d",), ("c b a",)], "text string")
-    model, bits = lm.train(d)
-    flags = np.frombuffer(bits.value, np.uint8)
-    h = np.array([*(xxhash.xxh64_intdigest(w.encode()) for w in "abc")], np.uint64)
-    _, base, p = lm.probabilities(model, h, flags)
+    model = lm.train(d)
+    _, base, p = lm.probabilities(model, codes("a b c")[:3])
     # 11 tokens of 5 words; a comes thrice and has three successors, b twice and has two, the pair a b once
     assert base[1] == pytest.approx(2.5 / 14)
     two = lambda n, successors, count, below: (n - lm.DISCOUNT) / count + lm.DISCOUNT * successors / count * below
