@@ -5,12 +5,15 @@ each run of anything but letters as one space) is encoded with each of them, in
 counts all through a long text, and the language with the smallest sum of sizes wins. If the runner-up comes
 within MARGIN of it, the text is rejected.
 
-Learning takes at most DOCS_PER_LANG documents of each language (the least hash in each of as many hash
-buckets), SHARE characters of each, and DICT_BYTES bytes in all; prediction reads whole texts.
+Learning takes at most DOCS_PER_LANG rows of each language (the least hash in each of as many hash buckets), of
+each of them PIECES pieces spread over the whole text, and DICT_BYTES bytes in all. Texts that learning rows hold
+under several languages tell nothing and are left out. All languages get dictionaries of the same size, that of the
+smallest (but LEAST_BYTES at least), as a larger one costs longer offsets. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; if no language was
-learned, every text is; ties go to the first language by name; a null doc_id hashes as the empty string and
-counts as held out if its remainder is 0; repeated rows stay; only doc_id, text and (for learning) lang are read.
+learned, every text is; of languages that tie the first by name is given and the text is rejected; rows with a null
+doc_id are never learned from and are held out if the empty string's checksum says so; repeated rows stay, and rows
+with the same doc_id are told apart by their texts; only doc_id, text and (for learning) lang are read.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriate.llm.common import arrow_map, texts_of, with_hint
+from seriate.llm.common import arrow_map, stored, texts_of, with_hint
 
 DOCS_PER_LANG = 128
-SHARE = 4096
-DICT_BYTES = 1 << 17
-LANGS = 256
+PIECES, PIECE_CHARS = 4, 1024
+DICT_BYTES, LEAST_BYTES = 1 << 17, 4096
+#: A sample of so many rows is broadcast.
+SAMPLE = DOCS_PER_LANG * 256
 PIECE = 4096
 LEVEL = 5
 MARGIN = 0.002
@@ -42,25 +46,36 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def _pieces(text: Column) -> Column:
+    """The whole of a short text, or PIECES pieces spread evenly over a long one."""
+    spread = [F.substring(text, (F.lit(1) + F.floor((F.length(text) - PIECE_CHARS) * F.lit(i) / F.lit(PIECES - 1))).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
+    return F.when(F.length(text) <= PIECES * PIECE_CHARS, text).otherwise(F.concat_ws("\n", *spread))
+
+
 def learned(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary text for each language, from the rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("doc_id").isNotNull())
-    h = F.xxhash64(F.col("doc_id").cast("long"))
-    picked = rows.groupBy(F.col("lang").cast("string").alias("lang"), F.pmod(h, F.lit(DOCS_PER_LANG)).alias("b")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"))).alias("x"))
-    ids = with_hint(picked.select(F.col("x.doc_id").alias("doc_id")).distinct(), DOCS_PER_LANG * LANGS)
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(ids, "doc_id", "left_semi")
-    # a text gives no more than its share of the dictionary
-    sample = found.where("text IS NOT NULL").select("lang", "doc_id", F.substring("text", 1, SHARE).alias("text")).collect()
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(doc, text).alias("h"), F.xxhash64(text).alias("t"), text.alias("text"))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(DOCS_PER_LANG)).alias("b")).agg(F.min(F.struct("h", "t", _pieces(F.col("text")).alias("text"))).alias("x"))
+    sample = stored(least.select("lang", "x.h", "x.t", "x.text"), "langid-sample")
+    chosen = with_hint(sample.select("t").distinct(), SAMPLE)
+    several = rows.select("lang", "t").join(chosen, "t", "left_semi").groupBy("t").agg(F.min("lang").alias("a"), F.max("lang").alias("b")).where("a <> b")
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sample.join(several, "t", "left_anti").orderBy("lang", "h", "text").collect():
         texts.setdefault(r["lang"], []).append(letters(r["text"]))
-    out = {}
-    for lang, parts in sorted(texts.items()):
-        share = max(1, DICT_BYTES // len(parts))
-        short = sum(min(share, len(p)) for p in parts)
-        share += (DICT_BYTES - short) // max(1, sum(len(p) > share for p in parts))
-        out[lang] = b"\n".join(p[:share] for p in parts)[:DICT_BYTES]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    whole = {lang: sum(map(len, parts)) + len(parts) - 1 for lang, parts in texts.items()}
+    size = min(DICT_BYTES, max(LEAST_BYTES, min(whole.values(), default=0)))
+    return {lang: raw for lang, parts in sorted(texts.items()) if len(raw := _shared(parts, size)) >= 8}
+
+
+def _shared(parts: list[bytes], size: int) -> bytes:
+    """Parts of at most size bytes together: the longest give way first."""
+    low, high = 1, size
+    while low < high:  # the greatest share that fits
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(mid, len(p)) + 1 for p in parts) - 1 <= size else (low, mid - 1)
+    return b"\n".join(p[:low] for p in parts)[:size]
 
 
 def letters(text: str) -> bytes:
@@ -90,7 +105,7 @@ class Classifier:
         margin = float((rest.min() - s[best]) / rest.min()) if len(rest) else 1.0
         # of two texts with the same margin, the longer is the surer
         score = 1 / np.exp(-np.clip((s - s[best]) / (2 + s[best] / 50), 0, 50)).sum()
-        return self.langs[best], float(score), margin, margin < self.margin
+        return self.langs[best], float(score), margin, margin <= 0 or margin < self.margin
 
 
 def _predicted(dictionaries: dict[str, bytes], margin: float):
