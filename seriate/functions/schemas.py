@@ -10,3 +10,5 @@ RECORD_FIELDS = f"array<struct<pos: int, tag: string, ind1: string, ind2: string
 RECORDS = f"file string, record_index bigint, leader string, fields {RECORD_FIELDS}, unreadable boolean"
 STATEMENTS = "record_index bigint, field_index int, text string"
 CONVERTED = f"link string, conformed boolean, held boolean, flagged boolean, belongs_in string, switch string, field_853 {FIELD}, fields_863 array<{FIELD}>, warnings {WARNINGS}, attention array<string>, left_out array<string>"
+#: Settings of one record over those of the run; null is not set.
+SETTINGS = "struct<frequency: string, per_higher: string, continuity: string, captions: array<struct<level: int, caption: string>>>"

@@ -1,28 +1,35 @@
 """Clusters of statements by shape, and a library of confirmed patterns that read them.
 
-A library holds at most 200 patterns, so it travels with the code that applies it; the first pattern by priority that
-matches a whole statement wins, and statements that none matches go to the grammar.
+Clusters: texts are counted and signed natively, each task sums up what its texts of a signature add to the pattern
+(captions seen, the longest free text), and only these sums meet; so a signature that holds a third of all texts is
+never in one task. Matches are counted natively, by the expression in the Java dialect.
+
+Libraries: at most 200 patterns, so one travels with the code that applies it. The first pattern by priority that
+applies to a statement wins; the grammar reads the statement all the same, and the pattern gives what the grammar
+can't know: captions, or the reading of a statement that the grammar refuses.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriate.functions import grammar, shape
+from seriate.functions import budget, dialects, fields, grammar, shape
 from seriate.functions.chronology import code_of, full_year
 from seriate.functions.schemas import PARSED
-from seriate.operators.code import arrow_map, grouped_map
+from seriate.operators.code import arrow_map
 from seriate.operators.reading import arrow_schema, table_of, to_row
 
-MOST_PATTERNS, MOST_CHARS, MOST_EXAMPLES = 200, 4000, 25
+MOST_PATTERNS, MOST_CHARS, MOST_EXAMPLES, MOST_PROBES = 200, 4000, 25, 200
 KINDS = ("enum", "year", "month", "day", "ignore", "unresolved")
 SUGGESTED = {"vol": "v.", "iss": "no.", "part": "pt."}
 
@@ -50,39 +57,65 @@ def simple_signature(text: Column) -> Column:
 # ---- clusters -------------------------------------------------------------------------------------------
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b["text"].to_pylist()
-        yield pa.RecordBatch.from_arrays([b["text"], b["n"], b["pos"], pa.array([shape.signature(t) for t in texts], pa.string())], ["text", "n", "pos", "signature"])
+#: Signatures that a task sums up before it sends them.
+HELD_SIGNATURES = 50_000
+_CLUSTER = "signature string, state string"
+
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the texts of each signature add to its pattern; also sums of such sums (column state)."""
+    held: dict[str, shape.State] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            more = shape.State.of(r["text"], r["pos"]) if "text" in r else shape.State.loads(r["state"])
+            own = held.get(r["signature"])
+            held[r["signature"]] = more if own is None else own.plus(more)
+        if len(held) > HELD_SIGNATURES:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([x.dumps() for x in held.values()])], ["signature", "state"])
+            held = {}
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.dumps() for x in held.values()], pa.string())], ["signature", "state"])
 
-_CLUSTER = "signature string, label string, count bigint, first_pos bigint, examples array<string>, regex string, groups array<string>, matched bigint, declined string"
 
+_MADE = "signature string, label string, regex string, java string, groups array<string>, declined string, variants string"
 
-def _cluster(schema: pa.Schema):
-    def run(keys: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
-        texts = [r["text"] for r in rows]
-        made = shape.pattern(texts)
-        rx = re.compile(made["regex"], re.I) if made["regex"] else None
-        matched = sum(r["n"] for r in rows if rx and rx.fullmatch(r["text"]))
-        row = {"signature": keys[0].as_py(), "label": shape.label(texts[0]), "count": sum(r["n"] for r in rows), "first_pos": rows[0]["pos"], "examples": texts[:MOST_EXAMPLES], "regex": made["regex"], "groups": made["groups"], "matched": matched, "declined": made["declined"]}
-        return table_of([row], schema)
 
-    return run
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label, expression and caption variants of each signature; all its sums are in one task, one for each task before."""
+    for b in _summed(batches):
+        rows = []
+        for signature, state in zip(b["signature"].to_pylist(), b["state"].to_pylist(), strict=True):
+            state = shape.State.loads(state)
+            made = state.pattern()
+            java = dialects.convert(made["regex"], "java") if made["regex"] else None
+            rows.append([signature, shape.label(state.text), made["regex"], java and java.text, made["groups"], made["declined"], json.dumps(state.variants())])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in _MADE.split(", ")])
 
 
 def clusters(statements: DataFrame) -> DataFrame:
     """Clusters of statements (text, pos) by signature, the largest first.
 
-    Texts are counted before they are dealt by signature. Of each signature, texts that have the same captions and
-    lengths of unknown text add nothing to its pattern, so one of each is enough for the grouped step.
+    signature, label, count, first_pos, examples (the first by place), regex, groups, matched, match_rate, declined,
+    variants (JSON: spellings of captions by kind).
     """
     texts = statements.select(F.trim("text").alias("text"), "pos").where("text <> ''").groupBy("text").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    signed = arrow_map(texts, _signed, "text string, n long, pos long, signature string")
-    form = F.regexp_replace(F.lower("text"), "[0-9]", "0")
-    alike = signed.groupBy("signature", form.alias("form")).agg(F.min_by("text", "pos").alias("text"), F.sum("n").alias("n"), F.min("pos").alias("pos"))
-    return grouped_map(alike.select("signature", "text", "n", "pos"), ["signature"], _cluster(arrow_schema(_CLUSTER)), _CLUSTER).withColumn("match_rate", F.round(F.coalesce(F.col("matched") / F.nullif("count", F.lit(0)), F.lit(1.0)), 4)).orderBy(F.desc("count"), "first_pos")
+    signed = texts.withColumn("signature", simple_signature(F.col("text")))
+    sums = arrow_map(signed.select("signature", "text", "pos"), _summed, _CLUSTER)
+    made = arrow_map(sums.repartition("signature"), _made, _MADE)
+    counted = signed.join(made.select("signature", "java"), "signature")
+    hit = F.rlike("text", "java")  # of the whole text, whatever its case
+    sizes = counted.groupBy("signature").agg(F.sum("n").alias("count"), F.min("pos").alias("first_pos"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("matched"))
+    nth = F.row_number().over(Window.partitionBy("signature").orderBy("pos", "text"))
+    few = signed.withColumn("nth", nth).where(F.col("nth") <= MOST_EXAMPLES).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("few"))
+    out = sizes.join(made.drop("java"), "signature").join(few, "signature")
+    rate = F.round(F.coalesce(F.col("matched") / F.nullif("count", F.lit(0)), F.lit(1.0)), 4)
+    return out.select("signature", "label", "count", "first_pos", F.col("few.text").alias("examples"), "regex", "groups", "matched", rate.alias("match_rate"), "declined", "variants").orderBy(F.desc("count"), "first_pos")
+
+
+def cluster_json(found: DataFrame) -> DataFrame:
+    """Each cluster as one JSON document."""
+    return found.select(F.to_json(F.struct("signature", "label", "count", "examples", "regex", F.col("groups").alias("named_groups"), "match_rate", "declined", F.col("declined").isNotNull().alias("too_complex"))).alias("json"))
 
 
 # ---- roles and the library ------------------------------------------------------------------------------
@@ -127,10 +160,34 @@ def infer_roles(groups: list[str]) -> list[Role]:
     for a, b in zip(out, out[1:], strict=False):
         if a.kind == "unresolved" and b.caption == "no." and a.boundary == b.boundary:
             a.kind, a.caption, a.suggested = "enum", "v.", True
+    return levelled(out)
+
+
+def levelled(roles: list[Role]) -> list[Role]:
+    """Levels for enumeration roles that have none: of each boundary, the first that is free."""
     for edge in ("start", "end"):
-        for i, r in enumerate(r for r in out if r.boundary == edge and r.kind == "enum"):
-            r.level = i
-    return out
+        own = [r for r in roles if r.boundary == edge and r.kind == "enum"]
+        free = (i for i in range(len(own)) if i not in {r.level for r in own})
+        for r in own:
+            if r.level is None:
+                r.level = next(free)
+    return roles
+
+
+def role_of(raw: dict) -> Role:
+    """A role of a document; older ones give a level by its word (vol, iss, part) or by the name of a date."""
+    known = {k: raw[k] for k in ("group", "boundary", "kind", "level", "caption", "suggested") if k in raw}
+    word = known.get("level")
+    if isinstance(word, str):
+        known["level"] = None
+        if word in SUGGESTED:
+            known |= {"kind": "enum", "caption": known.get("caption") or SUGGESTED[word], "level": list(SUGGESTED).index(word)}
+        elif word in KINDS:
+            known["kind"] = word
+        else:
+            known["kind"] = "unresolved"
+    edge = known["group"].partition("_")[0]
+    return Role(**{"boundary": edge if edge in ("start", "end") else "start", "kind": "unresolved"} | known)
 
 
 def merged_roles(old: list[Role], groups: list[str]) -> list[Role]:
@@ -160,17 +217,30 @@ def faults(p: Pattern) -> list[str]:
     return out
 
 
-def load(document) -> tuple[list[Pattern], list[str]]:
-    """Patterns of a library document (or bare list, or their JSON), by priority; what doesn't hold is said."""
+def load(document, known: frozenset[str] = frozenset(), probe: bool = True, statements: list[str] = ()) -> tuple[list[Pattern], list[str]]:
+    """Patterns of a library document (or bare list, or their JSON), by priority; what doesn't hold is said.
+
+    Expressions that aren't known are tried in a process of their own, on fixed texts and some statements, before they
+    may enter: on executors nothing could end one that runs away.
+    """
     if isinstance(document, (str, bytes)):
-        document = json.loads(document)
+        try:
+            document = json.loads(document)
+        except ValueError as e:
+            return [], [f"this isn't JSON: {e}"]
     if isinstance(document, dict):
         if document.get("schema") != 1:
             return [], [f"schema {document.get('schema')} isn't known"]
         document = document.get("patterns", [])
+    if not isinstance(document, list):
+        return [], ["a library is a list of patterns"]
     out, errors, seen = [], [], {}
     for raw in document[:MOST_PATTERNS]:
-        p = Pattern(**{**raw, "roles": [Role(**r) for r in raw.get("roles", [])]})
+        try:
+            p = Pattern(**{**raw, "roles": levelled([role_of(r) for r in raw.get("roles", [])])})
+        except (TypeError, KeyError, AttributeError) as e:
+            errors.append(f"a pattern can't be read: {e}")
+            continue
         if seen.get(p.id) == raw:
             errors.append(f"{p.id} comes twice")
         elif bad := faults(p):
@@ -182,7 +252,21 @@ def load(document) -> tuple[list[Pattern], list[str]]:
             out.append(p)
     if len(document) > MOST_PATTERNS:
         errors.append(f"only the first {MOST_PATTERNS} patterns were read; {len(document) - MOST_PATTERNS} more were ignored")
-    return sorted(out, key=lambda p: -p.priority), errors
+    fresh = [p.regex for p in out if p.regex not in known]
+    slow = set(budget.runaways(fresh, list(statements)[:MOST_PROBES])) if probe and fresh else set()
+    errors += [f"{p.label or p.id}: the expression doesn't end in time" for p in out if p.regex in slow]
+    return sorted((p for p in out if p.regex not in slow), key=lambda p: -p.priority), errors
+
+
+def merged_library(old: list[Pattern], new: list[Pattern], replace: bool = False) -> list[Pattern]:
+    """A library with another taken in: whole, or pattern by pattern (one of the same id takes the old one's place)."""
+    kept = [] if replace else [p for p in old if p.id not in {q.id for q in new}]
+    return sorted([*kept, *new][:MOST_PATTERNS], key=lambda p: -p.priority)
+
+
+def pattern_id(signature: str) -> str:
+    """The same name for a signature wherever it is found."""
+    return "p" + hashlib.sha256(signature.encode()).hexdigest()[:10]
 
 
 def export(patterns: list[Pattern]) -> dict:
@@ -192,64 +276,156 @@ def export(patterns: list[Pattern]) -> dict:
 # ---- application ----------------------------------------------------------------------------------------
 
 
-def _from_captures(p: Pattern, m: re.Match) -> dict:
-    """A range built from what the groups caught."""
-    sides, notes, review = {"start": grammar.boundary(), "end": grammar.boundary()}, [], False
-    for r in sorted(p.roles, key=lambda r: (r.boundary, r.level or 0)):
-        value = m[r.group]
-        if value is None:
+_WORD_BEFORE = re.compile(r"([A-Za-z][A-Za-z.'’]*)(-?)\s*$")
+
+
+def _qualifier(m: re.Match, group: str) -> str:
+    """The word right before a date that it may qualify (Late Summer); a month and a hyphen are a run of their own."""
+    found = _WORD_BEFORE.search(m.string[: m.start(group)])
+    return "" if not found or (found[2] and code_of(found[1])) else f"{found[1]}{found[2]} "
+
+
+def _from_captures(p: Pattern, m: re.Match) -> tuple[dict | None, list[dict], list[str], list[str]]:
+    """A range built from what the groups caught; what is said, what waits for a decision, what is set aside."""
+    sides, notes, waits, aside = {"start": grammar.boundary(), "end": grammar.boundary()}, [], [], []
+    levels: dict[str, dict[int, tuple]] = {"start": {}, "end": {}}
+    for r in p.roles:
+        value = (m[r.group] or "").strip()
+        if not value:
             continue
-        if r.kind == "ignore":
-            notes.append({"kind": "left_out", "text": f"{value} is set aside by pattern {p.id}"})
-        elif r.kind == "unresolved":
-            review = True
-            notes.append({"kind": "note", "text": f"{value} waits for a decision"})
+        if r.kind in ("ignore", "unresolved"):
+            notes.append({"kind": "note", "text": f"{value} is matched by the pattern, but not encoded"})
+            (waits if r.kind == "unresolved" else aside).append(value)
         elif r.kind == "enum":
-            sides[r.boundary]["enum"].append((r.caption, value))
+            levels[r.boundary][len(levels[r.boundary]) if r.level is None else r.level] = (r.caption, value)
+        elif r.kind == "year":
+            sides[r.boundary]["year"] = full_year(value)
+        elif word := _qualifier(m, r.group):
+            sides[r.boundary][r.kind] = word + value  # can't be coded, so the converter names it
         else:
-            sides[r.boundary][r.kind] = full_year(value) if r.kind == "year" else "/".join(code_of(x) or x for x in value.split("/")) if r.kind == "month" else value
-    end = sides["end"] if sides["end"]["enum"] or any(sides["end"][k] for k in ("year", "month", "day")) else None
+            sides[r.boundary][r.kind] = "/".join(code_of(x) or x for x in value.split("/")) if r.kind == "month" else value
+    for edge, found in levels.items():
+        sides[edge]["enum"] = [found.get(i, (None, None)) for i in range(max(found) + 1)] if found else []
+    some = {e: bool(b["enum"] or any(b[k] for k in ("year", "month", "day"))) for e, b in sides.items()}
+    if not any(some.values()):
+        return None, notes, waits, aside
     raw = m[0]
-    return {"raw": raw, "success": True, "needs_review": review, "belongs_in": None, "skipped": [], "warnings": notes, "attention": [], "ranges": [{"start": sides["start"], "end": end, "open": end is None and raw.rstrip().endswith("-"), "raw": raw, "break_after": ""}]}
+    return {"start": sides["start"], "end": sides["end"] if some["end"] else None, "open": not some["end"] and raw.rstrip(" )").endswith("-"), "raw": raw, "break_after": ""}, notes, waits, aside
 
 
-def _captioned(parsed: dict, p: Pattern) -> dict:
-    """Confirmed captions on the levels that have none."""
-    caps = {(r.boundary, r.level): r.caption for r in p.roles if r.kind == "enum" and r.caption}
+def captioned(parsed: dict, captions: dict[tuple[str, int], str]) -> bool:
+    """Puts confirmed captions, by boundary and level, on the levels that state none; whether there were any."""
+    filled = False
     for r in parsed["ranges"]:
         for edge in ("start", "end"):
             if r[edge]:
-                r[edge]["enum"] = [(c or (v and (caps.get((edge, i)) or caps.get(("start", i)))), v) for i, (c, v) in enumerate(r[edge]["enum"])]
-    return parsed
+                for i, (c, v) in enumerate(r[edge]["enum"]):
+                    if not c and v and (edge, i) in captions:
+                        r[edge]["enum"][i] = (captions[edge, i], v)
+                        filled = True
+    return filled
+
+
+def _captions(p: Pattern) -> dict[tuple[str, int], str]:
+    return {(r.boundary, r.level): r.caption for r in reversed(p.roles) if r.kind == "enum" and r.caption and r.level is not None}
+
+
+@lru_cache(maxsize=4096)
+def several_runs(text: str) -> bool:
+    """More runs than a pattern can describe: its roles don't say which run a value opens."""
+    return grammar.distributed(text) is not None or len(grammar.read(text)["ranges"]) > 1
+
+
+@lru_cache(maxsize=4096)
+def pieces(text: str) -> tuple[str, ...]:
+    """The parts of a statement that patterns see: a list of runs stays whole."""
+    return (text,) if grammar.distributed(text) is not None else tuple(shape.split_runs(text))
+
+
+def _hits(p: Pattern, text: str, lists: bool) -> list[tuple[str, re.Match | None]]:
+    rx = re.compile(p.regex, re.I)
+    return [(s, None if several_runs(s) and not lists else rx.fullmatch(s)) for s in (pieces(text) if p.split else (text,))]
+
+
+def _built(p: Pattern, text: str, hits: list[tuple[str, re.Match | None]]) -> dict | None:
+    """The reading of a statement that the grammar refuses, from what the pattern caught."""
+    out = {"raw": text, "success": True, "needs_review": False, "belongs_in": None, "skipped": [], "warnings": [], "attention": [], "ranges": []}
+    say = lambda x: out["warnings"].append({"kind": "note", "text": x})
+    waits, unread, lost = [], [], []
+    for part, m in hits:
+        if m is None:
+            read = grammar.read(part)
+            out["ranges"] += read["ranges"]
+            out["warnings"] += read["warnings"] if read["ranges"] else []
+            say(f"{part} doesn't match the pattern" + (" and was read without it" if read["ranges"] else ", and can't be read without it"))
+            unread += [] if read["ranges"] else [part]
+            continue
+        r, notes, waiting, aside = _from_captures(p, m)
+        out["warnings"] += notes
+        waits += waiting
+        if _written_as_list(part):
+            lost += aside
+        if r is None:
+            say(f"{part}: the pattern catches nothing to encode")
+            continue
+        out["ranges"].append(r)
+        for kind, raw in shape.tokens(part):
+            if kind == "UNKNOWN" and re.search(r"[^\s.,;:]", raw):
+                note = f"{raw.strip()} in {part} isn't recorded in any field"
+                if note not in out["attention"]:
+                    say(note)
+                    out["attention"].append(note)
+    if not out["ranges"]:
+        return None
+    for found, why in ((unread, "only part of the statement could be read, not: "), (lost, "the statement lists several runs, of which the pattern would set aside: ")):
+        if found:
+            note = why + ", ".join(found)
+            out["warnings"].insert(0, {"kind": "note", "text": note})
+            out["attention"].append(note)
+    out["needs_review"] = bool(waits or unread or lost)
+    return out
+
+
+def _written_as_list(text: str) -> bool:
+    """Commas before the dates, with bare numbers behind them."""
+    head = re.sub(r"\([^()]*\)\s*-?\s*$", "", text)
+    return any(x[:1].isdigit() for x in grammar.split_top(head, ",")[1:])
 
 
 def read_by(text: str, patterns: list[Pattern], fallback: str = "parser") -> tuple[str, dict]:
-    """Source (pattern id, skipped, parser or unmatched) and reading; fallback: parser, strict or off."""
-    body = text.strip()
-    parts = shape.split_runs(body)
-    for p in patterns:
-        rx = re.compile(p.regex, re.I)
+    """Source (pattern id, skipped, parser or unmatched) and reading.
+
+    fallback: parser (what no pattern matches is read by the grammar), strict (but held unless read without a word to
+    say), or off (left as it is; then all parts of a statement must match).
+    """
+    body, passed_over = (text or "").strip(), None
+    for p in patterns if body else ():
         if p.skip:
-            if rx.fullmatch(body):
-                return "skipped", _untouched(text, "skipped by a pattern")
+            if all(m for _, m in _hits(p, body, lists=True)):
+                return "skipped", _untouched(text, f"skipped by the pattern {p.label or p.id}")
             continue
-        segments = parts if p.split else [body]
-        hits = [rx.fullmatch(s) for s in segments]
-        if not (any(hits) if fallback != "off" else all(hits)):
+        if passed_over is None and several_runs(body) and re.compile(p.regex, re.I).fullmatch(body):
+            passed_over = p
+        hits = _hits(p, body, lists=False)
+        if not any(m for _, m in hits) or (fallback == "off" and not all(m for _, m in hits)):
             continue
         parsed = grammar.read(text)
+        if parsed["ranges"]:
+            captioned(parsed, _captions(p))
+            return p.id, parsed
         if parsed["belongs_in"]:
             return p.id, parsed
-        if parsed["success"] and not parsed["skipped"]:
-            return p.id, _captioned(parsed, p)
-        if all(hits):
-            made = [_from_captures(p, m) for m in hits]
-            return p.id, made[0] | {"raw": text, "needs_review": any(x["needs_review"] for x in made), "warnings": [w for x in made for w in x["warnings"]], "ranges": [r for x in made for r in x["ranges"]]}
+        if (made := _built(p, text, hits)) is not None:
+            return p.id, made
     if fallback == "off":
         return "unmatched", _untouched(text, "no pattern matches")
     parsed = grammar.read(text)
-    if fallback == "strict" and parsed["warnings"]:
-        parsed["needs_review"] = True
+    if fallback == "strict" and parsed["ranges"] and (said := fields.convert(grammar.read(text))["warnings"]):
+        return "parser", parsed | {"success": False, "needs_review": True, "ranges": [], "warnings": [{"kind": "note", "text": "held, as not all of it could be accounted for"}, *said]}
+    if passed_over is not None:
+        own = {(e, lvl): c for (b, lvl), c in _captions(passed_over).items() if b == "start" for e in ("start", "end")}
+        used = captioned(parsed, own)
+        parsed["warnings"].append({"kind": "note", "text": f"{passed_over.label or passed_over.id} matches, but describes one run of several" + ("; its captions are used" if used else "")})
     return "parser", parsed
 
 
@@ -269,10 +445,3 @@ def apply(statements: DataFrame, patterns: list[Pattern], fallback: str = "parse
 
     texts = statements.where("text IS NOT NULL").select("text").distinct()
     return statements.join(arrow_map(texts, run, ddl), "text", "left")
-
-
-def first_match(statements: DataFrame, patterns: list[tuple[str, str, int]]) -> DataFrame:
-    """id of the first pattern (id, Java expression, priority) that matches the whole text, natively."""
-    ordered = sorted(patterns, key=lambda p: -p[2])
-    hit = F.coalesce(*[F.when(F.trim("text").rlike(rf"(?is)\A(?:{rx})\z"), F.lit(i)) for i, rx, _ in ordered], F.lit("unmatched"))
-    return statements.withColumn("source", hit)

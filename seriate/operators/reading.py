@@ -74,6 +74,15 @@ def _reader(options: dict):
     return run, ddl
 
 
+def reader_of(library: list | None, fallback: str = "parser"):
+    """text -> (source, reading): by the grammar alone, or by patterns first."""
+    if library is None and fallback == "parser":
+        return lambda text: ("parser", grammar.read(text))
+    from seriate.operators.patterns import read_by  # patterns need this module
+
+    return lambda text: read_by(text, library or [], fallback)
+
+
 def _as_struct(ddl: str) -> list[str]:
     """Columns of a DDL as members of a struct."""
     return [f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields]
@@ -104,6 +113,12 @@ def outcome(parsed: Column, converted: Column) -> Column:
     )
 
 
+def elsewhere(text: Column) -> Column:
+    """868 or 867 for an index or a supplement, by the words outside brace notes; null for holdings. As grammar.read has it."""
+    plain = F.regexp_replace(text, r"\{[^{}]*\}?", " ")
+    return F.when(plain.rlike(f"(?i){grammar.INDEX.pattern}"), "868").when(plain.rlike(f"(?i){grammar.SUPPLEMENT.pattern}"), "867")
+
+
 def display(field: Column) -> Column:
     """853 31 $8 1 $a v., natively."""
     ind = F.transform(F.array(field["ind1"], field["ind2"]), lambda i: F.when(F.coalesce(F.trim(i), F.lit("")) == "", "#").otherwise(i))

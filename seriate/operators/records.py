@@ -1,24 +1,40 @@
 """Records: conversion of all statements of a record, and the record rewritten.
 
-Statements of a record are folded in order. One that is held doesn't break a run. A statement joins the open
-run if its caption pattern agrees with the run's on all they share and one holds the other; the run's pattern
-then widens to the larger. Otherwise it opens a run with the next free link. Fields of a run are numbered through.
+Each distinct statement is read and converted once for each set of caption fields and settings that it meets. The
+statements of a record are then folded in order, by what their conversions have in common alone (patterns, kinds of
+dates, numbers of fields); the fields themselves pass through untouched, and links and sequence numbers are written into
+them by native expressions.
+
+The fold: a statement that is held doesn't break a run. A statement joins the open run if its caption pattern agrees
+with the run's on all they share and one holds the other; the run's pattern then widens to the larger. Otherwise it
+opens a run with the next free link. Fields of a run are numbered through, and its first statement carries the
+caption field of its fullest one. Where months change to seasons, or back, the statement is flagged.
+
+Defined results: a statement without a text is held; statements of a null record_index are one record; rows of the
+same place are folded in an order of their texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriate.functions import fields
-from seriate.functions.schemas import FIELD, PARSED, RECORD_FIELDS
-from seriate.operators.code import grouped_map
-from seriate.operators.reading import _field, arrow_schema, from_row, read_texts, table_of
+from seriate.functions.schemas import FIELD, PARSED, RECORD_FIELDS, SETTINGS
+from seriate.operators.code import arrow_map
+from seriate.operators.reading import arrow_schema, converted_row, reader_of, table_of
 
-CONVERTED_STATEMENT = f"record_index bigint, field_index int, link string, run int, field_853 {FIELD}, fields_863 array<{FIELD}>, held boolean, conformed boolean, flagged boolean, merged boolean, belongs_in string, warnings array<struct<kind: string, text: string>>"
+_LIGHT = "pattern array<struct<code: string, value: string>>, kinds array<string>, size int, loses boolean"
+_CONVERTED = f"link string, conformed boolean, held boolean, flagged boolean, belongs_in string, field_853 {FIELD}, fields_863 array<{FIELD}>, warnings array<struct<kind: string, text: string>>, attention array<string>, left_out array<string>"
+CONVERTED_STATEMENT = f"record_index bigint, field_index int, split_part int, text string, source string, link string, run int, first int, field_853 {FIELD}, fields_863 array<{FIELD}>, held boolean, conformed boolean, flagged boolean, merged boolean, belongs_in string, left_as_uploaded boolean, change string, warnings array<struct<kind: string, text: string>>, attention array<string>, left_out array<string>"
 #: Subfields of an 866 that the new fields account for.
 ACCOUNTED = ("a", "x", "z", "8")
+#: What becomes of statements that would lose a value: they convert, they are held, or their record is left as it is.
+POLICIES = ("convert", "statement", "record")
 
 
 def pattern_of(field: dict) -> dict[str, str]:
@@ -32,94 +48,223 @@ def compatible(a: dict[str, str], b: dict[str, str], merge: bool = True) -> bool
     return all(a[k] == b[k] for k in a.keys() & b.keys()) and (a.keys() <= b.keys() or b.keys() <= a.keys())
 
 
-def fold(statements: list[dict], existing: list[dict], merge: bool = True, **options) -> list[dict]:
-    """Statements (field_index, parsed) of one record, in order, with links, sequence numbers and caption fields."""
-    taken = {fields.slots(f)["link"] for f in existing}
-    out, runs, open_run, last_kind = [], [], None, None
-    for s in statements:
-        c = fields.convert(s["parsed"], existing=existing, **options)
-        row = {"field_index": s["field_index"], "merged": False, "run": None} | c
-        out.append(row)
-        if c["held"]:
-            continue
-        kinds = set(fields.chron_kinds(c["ranges"]))
-        if len(kinds) == 1:
-            kind = kinds.pop()
-            if last_kind and kind != last_kind:
-                row["warnings"].append({"kind": "note", "text": f"changes from {last_kind} to {kind} between statements"})
-                row["flagged"] = row["flagged"] or not c["conformed"]
-            last_kind = kind
-        if c["conformed"]:
-            open_run = next((r for r in runs if r["link"] == c["link"]), None)
-            if open_run is None:
-                open_run = {"link": c["link"], "pattern": None, "head": None, "members": []}
-                runs.append(open_run)
-        else:
-            pattern = pattern_of(c["field_853"])
-            if open_run is None or open_run["link"] is not None or not compatible(open_run["pattern"], pattern, merge):
-                open_run = {"link": None, "pattern": pattern, "head": row, "members": []}
-                runs.append(open_run)
-            elif pattern != open_run["pattern"]:
-                row["merged"] = True
-                if len(pattern) > len(open_run["pattern"]):
-                    open_run["pattern"], open_run["head"] = pattern, row
-        open_run["members"].append(row)
-    free = (str(i) for i in range(1, len(runs) + len(taken) + 1) if str(i) not in taken)
-    for i, r in enumerate(runs):
-        link, n = r["link"] or next(free), 0
-        for row in r["members"]:
-            row["link"], row["run"] = link, i + 1
-            for f in row["fields_863"]:
-                n += 1
-                f["subfields"][0] = ("8", f"{link}.{n}")
-            row["field_853"] = None
-        if r["head"] is not None:
-            head = fields.convert(next(s for s in statements if s["field_index"] == r["head"]["field_index"])["parsed"], existing=None, **options)
-            r["members"][0]["field_853"] = head["field_853"] | {"subfields": [("8", link), *head["field_853"]["subfields"][1:]]}
-    return out
-
+def light(c: dict) -> dict:
+    """What the fold needs of a conversion."""
+    kinds = [] if c["held"] else sorted(set(fields.chron_kinds(c["ranges"])))
+    pattern = [] if c["field_853"] is None else [{"code": k, "value": v} for k, v in pattern_of(c["field_853"]).items()]
+    return {"pattern": pattern, "kinds": kinds, "size": len(c["fields_863"]), "loses": bool(c["left_out"]) and not c["held"]}
 
-def _fold_group(options: dict):
-    schema = arrow_schema(CONVERTED_STATEMENT)
 
-    def run(keys: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["field_index"])
-        existing = [f | {"subfields": [(s["code"], s["value"]) for s in f["subfields"]]} for f in rows[0]["existing"] or []]
-        found = fold([{"field_index": r["field_index"], "parsed": from_row(r["parsed"])} for r in rows], existing, **options)
-        out = [{"record_index": keys[0].as_py(), **{k: r[k] for k in ("field_index", "link", "run", "held", "conformed", "flagged", "merged", "belongs_in", "warnings")}, "field_853": _field(r["field_853"]), "fields_863": [_field(f) for f in r["fields_863"]]} for r in found]
-        return table_of(out, schema)
+def folded(rows: list[dict], taken: set[str], on_record: set[str], merge: bool = True, policy: str = "convert") -> list[dict]:
+    """Links and places of the statements of one record, in order.
 
-    return run
+    rows: held, conformed, link, pattern, kinds, size, loses, origin (of a statement that a person split, else None).
+    taken: links of the record's caption fields; on_record: the kinds of date that they declare.
+    """
+    losing = [i for i, r in enumerate(rows) if r["loses"]] if policy != "convert" else []
+    if losing and policy == "record":
+        return [_nothing() | {"left": True, "held": True} for _ in rows]
+    out = [_nothing() | {"held": r["held"] or i in losing, "by_policy": i in losing} for i, r in enumerate(rows)]
+    runs, current, last = [], None, None
+    for i, r in enumerate(rows):
+        if out[i]["held"]:
+            continue
+        if r["conformed"]:
+            current = next((x for x in runs if x["link"] == r["link"]), None)
+            if current is None:
+                current = {"link": r["link"], "pattern": None, "head": None, "members": []}
+                runs.append(current)
+        elif current is None or current["link"] is not None or not compatible(current["pattern"], r["pattern"], merge):
+            current = {"link": None, "pattern": r["pattern"], "head": i, "members": []}
+            runs.append(current)
+        elif r["pattern"] != current["pattern"]:
+            out[i]["merged"] = True
+            if len(r["pattern"]) > len(current["pattern"]):
+                current["pattern"], current["head"] = r["pattern"], i
+        current["members"].append(i)
+        if len(r["kinds"]) == 1:
+            kind = r["kinds"][0]
+            if last is not None and rows[last]["kinds"][0] != kind:
+                own = r["origin"] is not None and r["origin"] == rows[last]["origin"]
+                out[i] |= {"change": "split" if own else "between", "before": rows[last]["kinds"][0]}
+            elif not r["conformed"] and on_record and kind not in on_record:
+                out[i] |= {"change": "existing", "before": min(on_record)}
+            last = i
+    free = (str(i) for i in range(1, len(runs) + len(taken) + 1) if str(i) not in taken)
+    for n, run in enumerate(runs, 1):
+        link, first = run["link"] or next(free), 1
+        for i in run["members"]:
+            out[i] |= {"run": n, "link": link, "first": first}
+            first += rows[i]["size"]
+        if run["head"] is not None:
+            out[run["members"][0]]["head"] = run["head"]
+            out[run["members"][0]]["beside"] = bool(taken)
+    return out
 
 
-def convert_records(statements: DataFrame, existing: DataFrame | None = None, **options) -> DataFrame:
-    """One row for each statement of each record; existing: record_index, existing (array of 853 fields)."""
-    read = statements.join(read_texts(statements.where("text IS NOT NULL")).select("text", "parsed"), "text")
-    rows = read.join(existing, "record_index", "left") if existing is not None else read.withColumn("existing", F.lit(None).cast(f"array<{FIELD}>"))
-    return grouped_map(rows.select("record_index", "field_index", "parsed", "existing"), ["record_index"], _fold_group(options), CONVERTED_STATEMENT)
+def _nothing() -> dict:
+    return {"run": None, "link": None, "first": None, "head": None, "merged": False, "change": None, "before": None, "left": False, "by_policy": False, "beside": False}
 
 
-def fields_863(converted: DataFrame) -> DataFrame:
-    """One row for each holdings field, with link and sequence number."""
-    rows = converted.select("record_index", "field_index", "link", F.posexplode("fields_863").alias("range_index", "field"))
-    order = Window.partitionBy("record_index", "link").orderBy("field_index", "range_index")
-    return rows.withColumn("seq", F.row_number().over(order))
+def _said(row: dict, kinds: list[str], left_out: list[str]) -> list[str]:
+    """What the fold has to say about a statement, beside what its conversion says."""
+    out = []
+    if row["change"] in ("between", "split"):
+        out.append(f"changes from {row['before']} to {kinds[0]} between statements" + (", where the statement was split" if row["change"] == "split" else ""))
+    elif row["change"] == "existing":
+        out.append(f"gives a {kinds[0]}, but the record's caption field a {row['before']}")
+    if row["beside"]:
+        out.append(f"a caption field {row['link']} is added beside those of the record")
+    if row["by_policy"]:
+        out.append("held by the setting on what would be left out: " + "; ".join(left_out))
+    if row["left"]:
+        out.append("its record is left as it is, as something would be left out")
+    return out
 
 
-# ---- runs and links natively, where patterns are equal or not ---------------------------------------------
+def fold(statements: list[dict], existing: list[dict], merge: bool = True, policy: str = "convert", **options) -> list[dict]:
+    """Statements (field_index, parsed, perhaps origin) of one record, in order, with links, sequence numbers and caption fields."""
+    made = [fields.convert(s["parsed"], existing=existing, **options) for s in statements]
+    rows = [c | light(c) | {"origin": s.get("origin")} for c, s in zip(made, statements, strict=True)]
+    for r in rows:
+        r["pattern"] = {x["code"]: x["value"] for x in r["pattern"]}
+    taken = {fields.slots(f)["link"] for f in existing}
+    out = folded(rows, taken, {fields.slots(f)["kind"] for f in existing} - {None}, merge, policy)
+    for s, c, r, o in zip(statements, made, rows, out, strict=True):
+        said = _said(o, r["kinds"], c["left_out"])
+        o["warnings"] = c["warnings"] + [{"kind": "note", "text": x} for x in said]
+        o |= {"field_index": s["field_index"], "belongs_in": c["belongs_in"], "conformed": c["conformed"] and not o["held"], "flagged": c["flagged"] or o["change"] in ("between", "existing")}
+        head = o["head"] is not None and made[o["head"]]["field_853"]
+        o["field_853"] = head and head | {"subfields": [("8", o["link"]), *head["subfields"][1:]]} or None
+        o["fields_863"] = [] if o["held"] else [f | {"subfields": [("8", f"{o['link']}.{o['first'] + i}"), *f["subfields"][1:]]} for i, f in enumerate(c["fields_863"])]
+    return out
 
 
-def exact_runs(rows: DataFrame, record: str, order: str, pattern: str) -> DataFrame:
-    """run: number of the stretch of equal patterns, by gaps and islands."""
-    w = Window.partitionBy(record).orderBy(order)
-    change = (~F.col(pattern).eqNullSafe(F.lag(pattern).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    return rows.withColumn("run", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _converter(library: list | None, fallback: str, options: dict):
+    """Reads and converts each distinct (text, existing, settings)."""
+    ddl = f"text string, existing array<{FIELD}>, settings {SETTINGS}, source string, {_CONVERTED}, {_LIGHT}"
+    schema, read = arrow_schema(ddl), reader_of(library, fallback)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                source, parsed = read(r["text"])
+                own = {k: v for k, v in (r["settings"] or {}).items() if v is not None}
+                overrides = {x["level"]: x["caption"] for x in own.pop("captions", [])}
+                existing = [f | {"subfields": [(x["code"], x["value"]) for x in f["subfields"]]} for f in r["existing"] or []]
+                for x in parsed["ranges"]:
+                    for edge in (x["start"], x["end"]):
+                        if edge:  # a caption that the statement states isn't replaced
+                            edge["enum"] = [(c or (v and overrides.get(i)), v) for i, (c, v) in enumerate(edge["enum"])]
+                c = fields.convert(parsed, existing=existing, **options | own)
+                rows.append(r | {"source": source} | {k: v for k, v in converted_row(c).items() if k != "switch"} | light(c))
+            yield from table_of(rows, schema).to_batches()
+
+    return run, ddl
+
+
+_FOLDED = "run int, link string, first int, head int, merged boolean, change string, left boolean, by_policy boolean"
+
+
+def _folder(columns: str, policy: str):
+    """The fold over partitions in record order; a record may go on in the next batch."""
+    schema = arrow_schema(f"{columns}, said array<string>, {_FOLDED}")
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        keep = ("held", "conformed", "link", "pattern", "kinds", "size", "loses", "left_out", "origin", "taken", "on_record", "merge")
+        light_ = table.select(keep).to_pylist()
+        ids = table["record_index"].to_pylist()
+        out, first = [], 0
+        while first < len(ids):
+            end = first + 1
+            while end < len(ids) and ids[end] == ids[first]:
+                end += 1
+            rows = light_[first:end]
+            for r in rows:
+                r["pattern"] = {x["code"]: x["value"] for x in r["pattern"]}
+            for r, o in zip(rows, folded(rows, set(rows[0]["taken"]), set(rows[0]["on_record"]), rows[0]["merge"], policy), strict=True):
+                out.append(o | {"said": _said(o, r["kinds"], r["left_out"]), "head": None if o["head"] is None else o["head"] + first})
+            first = end
+        heads = pa.array([o["head"] for o in out], pa.int32())
+        made = {n: pa.array([o[n] for o in out], schema.field(n).type) for n in ("said", "run", "link", "first", "head", "merged", "change", "left", "by_policy")}
+        made["held"] = pa.array([o["held"] for o in out])
+        made["field_853"] = table["field_853"].combine_chunks().take(heads) if len(table) else table["field_853"]
+        cols = [made[n] if n in made else table[n] for n in schema.names]
+        return pa.table(cols, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            if not len(b):
+                continue
+            table = pa.Table.from_batches([b])
+            last = b["record_index"][-1]
+            same = pc.equal(b["record_index"], last) if last.is_valid else pc.is_null(b["record_index"])
+            start = pc.index(same, True).as_py()  # in record order, so all behind it are of the last record
+            if start:
+                held.append(table.slice(0, start))
+                yield from done(pa.concat_tables(held)).to_batches()
+                held = []
+            elif held and held[-1]["record_index"][-1] != last:
+                yield from done(pa.concat_tables(held)).to_batches()
+                held = []
+            held.append(table.slice(start))
+        if held:
+            yield from done(pa.concat_tables(held)).to_batches()
+
+    return run, f"{columns}, said array<string>, {_FOLDED}"
+
+
+def convert_records(statements: DataFrame, existing: DataFrame | None = None, *, library: list | None = None, fallback: str = "parser", settings: DataFrame | None = None, separate: DataFrame | None = None, policy: str = "convert", merge: bool = True, **options) -> DataFrame:
+    """One row for each statement (record_index, field_index, text, perhaps split_part) of each record.
+
+    existing: record_index, existing (array of 853 fields). library, fallback: patterns that read statements, as
+    patterns.read_by takes them. settings: record_index and settings of single records. separate: record_index of
+    records whose patterns aren't merged. policy: one of POLICIES.
+    """
+    rows = statements.select("record_index", F.col("field_index").cast("int").alias("field_index"), (F.col("split_part").cast("int") if "split_part" in statements.columns else F.lit(None).cast("int")).alias("split_part"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(existing.select("record_index", "existing"), "record_index", "left") if existing is not None else rows.withColumn("existing", F.lit(None).cast(f"array<{FIELD}>"))
+    rows = rows.withColumn("existing", F.when(F.size("existing") > 0, F.col("existing")))
+    rows = rows.join(settings.select("record_index", "settings"), "record_index", "left") if settings is not None else rows.withColumn("settings", F.lit(None).cast(SETTINGS))
+    rows = rows.join(separate.select("record_index").distinct().withColumn("apart", F.lit(True)), "record_index", "left") if separate is not None else rows.withColumn("apart", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("case", F.xxhash64("existing", "settings"))
+    run, ddl = _converter(library, fallback, options)
+    made = arrow_map(rows.select("text", "existing", "settings").distinct(), run, ddl).withColumn("case", F.xxhash64("existing", "settings")).drop("existing", "settings")
+    code = lambda f, c: F.get(F.filter(f["subfields"], lambda s: s["code"] == c), F.lit(0))["value"]
+    old = F.coalesce("existing", F.array().cast(f"array<{FIELD}>"))
+    taken = F.array_compact(F.transform(old, lambda f: F.trim(F.substring_index(code(f, "8"), ".", 1))))
+    said = F.flatten(F.transform(old, lambda f: F.transform(F.filter(f["subfields"], lambda s: s["code"].rlike("^[a-m]$")), lambda s: F.lower(F.trim(s["value"])))))
+    on_record = F.transform(F.filter(F.array_distinct(said), lambda v: v.isin("(month)", "(season)")), lambda v: F.substring(v, 2, 20))
+    on_record = F.transform(on_record, lambda v: F.rtrim(v, F.lit(")")))
+    origin = F.when(F.col("split_part").isNotNull(), F.col("field_index"))
+    both = rows.select("*", taken.alias("taken"), on_record.alias("on_record"), origin.alias("origin"), (F.lit(merge) & F.col("apart").isNull()).alias("merge")).drop("existing", "settings", "apart")
+    joined = both.join(made, ["text", "case"]).drop("case")
+    ordered = joined.repartition("record_index").sortWithinPartitions("record_index", "field_index", F.coalesce("split_part", F.lit(0)), "text")
+    fold_, folded_ddl = _folder(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields if f.name != "link"), policy)
+    out = arrow_map(ordered, fold_, folded_ddl)
+    stamped = lambda f, value: f.withField("subfields", F.transform(f["subfields"], lambda s: F.when(s["code"] == "8", s.withField("value", value)).otherwise(s)))
+    own = F.transform("fields_863", lambda f, i: stamped(f, F.concat("link", F.lit("."), (F.col("first") + i).cast("string"))))
+    notes = F.transform("said", lambda x: F.struct(F.lit("note").alias("kind"), x.alias("text")))
+    asks = F.col("change").isin("between", "existing")
+    return out.select(
+        *["record_index", "field_index", "split_part", "text", "source", "link", "run", "first"],
+        F.when(F.col("field_853").isNotNull(), stamped(F.col("field_853"), F.col("link"))).alias("field_853"),
+        F.when(F.col("held"), F.array().cast(f"array<{FIELD}>")).otherwise(own).alias("fields_863"),
+        "held",
+        (F.col("conformed") & ~F.col("held")).alias("conformed"),
+        (F.col("flagged") | F.coalesce(asks, F.lit(False))).alias("flagged"),
+        *["merged", "belongs_in", F.col("left").alias("left_as_uploaded"), "change"],
+        F.concat("warnings", notes).alias("warnings"),
+        F.concat("attention", F.when(asks, F.slice("said", 1, 1)).otherwise(F.array().cast("array<string>"))).alias("attention"),
+        F.when(F.col("held") & ~F.col("by_policy") & ~F.col("left"), F.array().cast("array<string>")).otherwise(F.col("left_out")).alias("left_out"),
+    )
 
 
-def links(run: Column, taken: Column, most: Column) -> Column:
-    """The run-th number from 1 that no caption field of the record has."""
-    free = F.array_except(F.sequence(F.lit(1), (most + F.size(taken)).cast("int")), taken)
-    return F.get(free, (run - 1).cast("int"))
+def fields_863(converted: DataFrame) -> DataFrame:
+    """One row for each holdings field, with link and sequence number."""
+    rows = converted.select("record_index", "field_index", "link", "first", F.posexplode("fields_863").alias("range_index", "field"))
+    return rows.withColumn("seq", F.col("first") + F.col("range_index")).drop("first")
 
 
 # ---- record fields ----------------------------------------------------------------------------------------
@@ -211,4 +356,4 @@ def apply(records: DataFrame, converted: DataFrame, remove_866: bool = False, cl
     return rows.withColumn("fields", F.when(keeps | F.col("made").isNull(), F.col("fields")).otherwise(renumbered)).drop("made")
 
 
-__all__ = ["PARSED", "apply", "convert_records", "exact_runs", "existing_853s", "fields_863", "fold", "links", "statements", "summary"]
+__all__ = ["PARSED", "apply", "convert_records", "existing_853s", "fields_863", "fold", "statements", "summary"]

@@ -6,7 +6,7 @@ SQL computes the fields from the same columns without reading any statement.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriate.functions import chronology
@@ -130,19 +130,19 @@ CLUSTER_COUNTS = f"SELECT {_SIGNATURE} AS signature, COUNT(*) AS n, 1.0::DOUBLE
 
 
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.clusters(_shapes(spark, sf_dir).where("o_orderkey % 6 < 3").select("text", F.col("o_orderkey").alias("pos")))
+    found = patterns.clusters(_shapes(spark, sf_dir).select("text", F.col("o_orderkey").alias("pos")))
     return found.select("label", F.array_join("groups", ",").alias("groups"), F.col("count").alias("n"))
 
 
-CLUSTER_LABELS = f"SELECT CASE {_K} WHEN 0 THEN 'VOL(YEAR)' WHEN 1 THEN 'VOL:ISS(YEAR:CHRON)' ELSE 'YEAR-' END AS label, CASE {_K} WHEN 0 THEN 'start_vol,start_year' WHEN 1 THEN 'start_vol,start_iss,start_year,start_month' ELSE 'start_year' END AS groups, COUNT(*) AS n FROM orders WHERE {_K} < 3 GROUP BY 1, 2"
+CLUSTER_LABELS = f"""SELECT CASE {_K} WHEN 0 THEN 'VOL(YEAR)' WHEN 1 THEN 'VOL:ISS(YEAR:CHRON)' WHEN 2 THEN 'YEAR-' WHEN 3 THEN 'VOL ‹Suppl.›(YEAR)' WHEN 4 THEN '‹?› NUM' ELSE 'VOL — VOL ISS(YEAR-CHRON YEAR)' END AS label,
+CASE {_K} WHEN 0 THEN 'start_vol,start_year' WHEN 1 THEN 'start_vol,start_iss,start_year,start_month' WHEN 2 THEN 'start_year' WHEN 3 THEN 'start_vol,start_year' WHEN 4 THEN 'start_num' ELSE 'start_vol,end_vol,start_iss,start_year,start_month,end_year' END AS groups, COUNT(*) AS n FROM orders GROUP BY 1, 2"""
 
 
 def native_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _shapes(spark, sf_dir).where("o_orderkey % 6 < 3")
-    return s.select("o_orderkey", patterns.simple_signature(F.col("text")).alias("signature"))
+    return _shapes(spark, sf_dir).select("o_orderkey", patterns.simple_signature(F.col("text")).alias("signature"))
 
 
-NATIVE_SIGNATURE = f"SELECT o_orderkey, {_SIGNATURE} AS signature FROM orders WHERE {_K} < 3"
+NATIVE_SIGNATURE = f"SELECT o_orderkey, {_SIGNATURE} AS signature FROM orders"
 
 
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +171,10 @@ LOG_ROWS = f"SELECT o_orderkey AS record_index, CASE {_K} WHEN 3 THEN 'belongs i
 
 
 def pattern_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.first_match(_shapes(spark, sf_dir), [("years", r"\d{4}-?", 1), ("volumes", r"v\..*", 0), ("issues", r"v\.\d+:no\..*", 5)])
-    return found.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    one = lambda i, rx, n: {"id": i, "label": i, "regex": rx, "priority": n, "roles": [{"group": "start_vol", "boundary": "start", "kind": "enum", "level": 0, "caption": "v."}]}
+    library, _ = patterns.load([one("years", r"(?P<start_vol>\d{4})-?", 1), one("volumes", r"v\. ?(?P<start_vol>\d+).*", 0), one("issues", r"v\.(?P<start_vol>\d+):no\..*", 5)])
+    found = patterns.apply(_shapes(spark, sf_dir), library, "off")
+    return found.groupBy("source").agg(F.count("*").alias("n"))
 
 
 PATTERN_PRIORITY = f"SELECT CASE {_K} WHEN 1 THEN 'issues' WHEN 2 THEN 'years' WHEN 4 THEN 'unmatched' ELSE 'volumes' END AS source, COUNT(*) AS n FROM orders GROUP BY 1"
@@ -187,6 +189,42 @@ def pattern_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATTERN_APPLY = f"SELECT CASE {_K} WHEN 0 THEN 'vol' WHEN 4 THEN 'skipped' ELSE 'parser' END AS source, {_K} NOT IN (3, 4) AS success, COUNT(*) AS n FROM orders GROUP BY 1, 2"
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that only patterns can settle: a list of runs, an uncaptioned end, free text, part of a list, and one with nothing to say."""
+    d, k = _dated(spark, sf_dir), F.col("o_orderkey") % 5
+    text = (
+        F.when(k == 0, _text(_s("v"), " no 3, 4 (", _s("y"), ")"))
+        .when(k == 1, _text("? ", _s("v")))
+        .when(k == 2, _text("Heft ", _s("v"), " ?"))
+        .when(k == 3, _text("? ", _s("v"), ", lost"))
+        .otherwise(_text("v.", _s("v"), "(", _s("y"), ")"))
+    )
+    return d.select("o_orderkey", "v", "y", text.alias("text"))
+
+
+def pattern_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What patterns add: captions of a list that they are passed over for, readings, wording that goes nowhere, and parts that hold a statement."""
+    roles = [{"group": "start_num", "boundary": "start", "kind": "enum", "level": 0, "caption": "v."}]
+    raw = [("list", r"(?P<start_num>\d+) no 3, 4 \(\d+\)", False), ("bare", r"\? (?P<start_num>\d+)", True), ("word", r"heft (?P<start_num>\d+) \?", False)]
+    library, _ = patterns.load([{"id": i, "label": i, "regex": rx, "roles": roles, "split": split} for i, rx, split in raw])
+    found = patterns.apply(_lists(spark, sf_dir), library)
+    first = F.get("parsed.ranges", F.lit(0))["start"]["enum"]
+    return found.select("o_orderkey", "source", F.size("parsed.ranges").alias("ranges"), F.get(first, F.lit(0))["caption"].alias("caption"), F.col("parsed.needs_review").alias("held"), F.size("parsed.attention").alias("attention"))
+
+
+PATTERN_READING = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'parser' WHEN 1 THEN 'bare' WHEN 2 THEN 'word' WHEN 3 THEN 'bare' ELSE 'parser' END AS source,
+CASE o_orderkey % 5 WHEN 0 THEN 2 ELSE 1 END::INTEGER AS ranges, 'v.' AS caption, o_orderkey % 5 = 3 AS held, CASE o_orderkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INTEGER AS attention FROM orders"""
+
+
+def pattern_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the strict setting what leaves anything to say is held: a date that is left out, or an unread part."""
+    found = patterns.apply(_shapes(spark, sf_dir), [], "strict")
+    return found.groupBy((F.col("o_orderkey") % 6).alias("shape"), F.col("parsed.success").alias("success"), F.col("parsed.needs_review").alias("held")).agg(F.count("*").alias("n"))
+
+
+PATTERN_STRICT = f"SELECT {_K} AS shape, {_K} < 3 AS success, {_K} >= 3 AS held, COUNT(*) AS n FROM orders GROUP BY 1"
+
+
 def number_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.audit(_shapes(spark, sf_dir))
     return found.select("text", F.size("missing").cast("int").alias("missing"), "trip")
@@ -204,12 +242,20 @@ def render_866(spark: SparkSession, sf_dir: str) -> DataFrame:
 RENDER_866 = f"WITH {_DATED} SELECT DISTINCT 'vol. ' || v || ' no ' || m || ' (' || mon || ' ' || y || ')' AS text, 'v.' || v || ':no.' || m || '(' || y || ':' || mon || ')' AS rendered FROM d"
 
 
+def _caption_field(link: str, *subs: tuple[str, str]) -> F.Column:
+    """One 853, as a record has it."""
+    sub = lambda c, v: F.struct(F.lit(c).alias("code"), F.lit(v).alias("value"))
+    return F.struct(F.lit("853").alias("tag"), F.lit("2").alias("ind1"), F.lit("0").alias("ind2"), F.array(sub("8", link), *[sub(c, v) for c, v in subs]).alias("subfields"))
+
+
 def record_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each priority has captions of its own, so each change of priority opens a run; link 2 is in use."""
     d = _dated(spark, sf_dir)
-    runs = records.exact_runs(d, "o_custkey", "o_orderkey", "o_orderpriority")
-    most = F.max("run").over(Window.partitionBy("o_custkey"))
-    seq = F.row_number().over(Window.partitionBy("o_custkey", "run").orderBy("o_orderkey"))
-    return runs.select("o_orderkey", "run", records.links(F.col("run"), F.array(F.lit(2)), most).alias("link"), seq.alias("seq"))
+    words = F.element_at(F.array(*map(F.lit, ("v.", "no.", "pt.", "ser.", ""))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    s = d.select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").cast("int").alias("field_index"), F.trim(_text(words, " ", _s("v"), " (", _s("y"), ")")).alias("text"))
+    old = d.select(F.col("o_custkey").alias("record_index")).distinct().withColumn("existing", F.array(_caption_field("2", ("a", "bk."), ("b", "ch."))))
+    made = records.convert_records(s, old)
+    return made.select(F.col("field_index").cast("long").alias("o_orderkey"), F.col("run").cast("long").alias("run"), F.col("link").cast("int").alias("link"), F.col("first").alias("seq"))
 
 
 RECORD_RUNS = """WITH c AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority IS DISTINCT FROM LAG(o_orderpriority) OVER w OR ROW_NUMBER() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
@@ -217,21 +263,93 @@ r AS (SELECT *, (SUM(ch) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIG
 SELECT o_orderkey, run, (CASE WHEN run >= 2 THEN run + 1 ELSE run END)::INTEGER AS link, (ROW_NUMBER() OVER (PARTITION BY o_custkey, run ORDER BY o_orderkey))::INTEGER AS seq FROM r"""
 
 
-def record_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements with one and with two levels take turns: the fuller pattern takes the sparser in, a season breaks the run."""
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with one and with two levels, with months, seasons or years alone, take turns."""
     d = _dated(spark, sf_dir)
     k = F.col("o_orderkey") % 4
     text = F.when(k == 3, _text("v.", _s("v"), "(Spring ", _s("y"), ")")).when(k == 1, _text("v.", _s("v"), ":no.", _s("m"), "(", _s("y"), ":", F.col("mon"), ")")).otherwise(_text("v.", _s("v"), "(", _s("y"), ")"))
-    s = d.select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").cast("int").alias("field_index"), text.alias("text"))
-    return records.convert_records(s).groupBy("record_index").agg(F.count("*").alias("n"), F.count_if(~F.col("held")).alias("written"), F.sum(F.size("fields_863")).alias("fields"))
+    return d.select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").cast("int").alias("field_index"), text.alias("text"))
+
+
+def _shown(made: DataFrame) -> DataFrame:
+    """Of each statement: its run, its field's number, the run's caption field where it is written, and flags."""
+    caption = F.array_join(F.transform("field_853.subfields", lambda s: F.concat(F.lit("$"), s["code"], s["value"])), "")
+    number = F.get(F.filter(F.get("fields_863", F.lit(0))["subfields"], lambda s: s["code"] == "8"), F.lit(0))["value"]
+    return made.select("record_index", F.col("field_index").cast("long").alias("field_index"), F.col("run").cast("long").alias("run"), number.alias("number"), caption.alias("caption"), "merged", "flagged", "held")
+
+
+def record_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fuller pattern takes the sparser in; months and seasons don't agree and open runs of their own."""
+    return _shown(records.convert_records(_turns(spark, sf_dir)))
+
+
+#: Kinds of date, and the last kind before a statement: what has none agrees with all.
+_TURNS = """t AS (SELECT o_custkey AS c, o_orderkey AS o, CASE o_orderkey % 4 WHEN 1 THEN 'month' WHEN 3 THEN 'season' END AS kind FROM orders),
+p AS (SELECT *, LAST_VALUE(kind IGNORE NULLS) OVER (PARTITION BY c ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)"""
+_PATTERN = "CASE {0} WHEN 'month' THEN '$av.$bno.$i(year)$j(month)' WHEN 'season' THEN '$av.$i(year)$j(season)' ELSE '$av.$i(year)' END"
+RECORD_FOLD = f"""WITH {_TURNS},
+r AS (SELECT *, 1 + (SUM(CASE WHEN kind <> before THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY o))::BIGINT AS run FROM p),
+q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY c, run ORDER BY o) AS seq, MAX(kind) OVER (PARTITION BY c, run) AS whole, MAX(kind) OVER (PARTITION BY c, run ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r)
+SELECT c AS record_index, o AS field_index, run, run || '.' || seq AS number, CASE WHEN seq = 1 THEN '$8' || run || {_PATTERN.format("whole")} END AS caption,
+seq > 1 AND kind IS DISTINCT FROM upto AS merged, COALESCE(kind <> before, FALSE) AS flagged, FALSE AS held FROM q"""
+
+
+def record_fold_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a caption field of their own: one that covers no statement (link 2), or one that covers those with years alone (link 7)."""
+    s = _turns(spark, sf_dir)
+    k = F.col("record_index") % 3
+    own = F.when(k == 1, F.array(_caption_field("2", ("a", "v.")))).when(k == 2, F.array(_caption_field("7", ("a", "v."), ("i", "(year)"))))
+    return _shown(records.convert_records(s, s.select("record_index").distinct().withColumn("existing", own)))
+
+
+RECORD_FOLD_EXISTING = f"""WITH {_TURNS},
+m AS (SELECT *, c % 3 AS g, c % 3 = 2 AND kind IS NULL AS own, LAG(kind) OVER w AS prev, ROW_NUMBER() OVER w = 1 AS top FROM p WINDOW w AS (PARTITION BY c ORDER BY o)),
+b AS (SELECT *, CASE WHEN own THEN 0 WHEN g = 2 THEN CASE WHEN top OR prev IS NULL OR kind <> prev THEN 1 ELSE 0 END WHEN top OR kind <> before THEN 1 ELSE 0 END AS opens FROM m),
+r AS (SELECT *, CASE WHEN own THEN 0 ELSE SUM(opens) OVER (PARTITION BY c ORDER BY o) END AS nth FROM b),
+f AS (SELECT *, MIN(o) OVER (PARTITION BY c, nth) AS since FROM r),
+n AS (SELECT *, DENSE_RANK() OVER (PARTITION BY c ORDER BY since) AS run, ROW_NUMBER() OVER (PARTITION BY c, nth ORDER BY o) AS seq,
+  CASE WHEN own THEN 7 WHEN g = 1 AND nth >= 2 THEN nth + 1 WHEN g = 2 AND nth >= 7 THEN nth + 1 ELSE nth END::BIGINT AS link,
+  MAX(kind) OVER (PARTITION BY c, nth) AS whole, MAX(kind) OVER (PARTITION BY c, nth ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM f)
+SELECT c AS record_index, o AS field_index, run::BIGINT AS run, link || '.' || seq AS number, CASE WHEN seq = 1 AND NOT own THEN '$8' || link || {_PATTERN.format("whole")} END AS caption,
+NOT own AND seq > 1 AND kind IS DISTINCT FROM upto AS merged, COALESCE(kind <> before, FALSE) AS flagged, FALSE AS held FROM n"""
+
+
+def left_out_refold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that would lose a month at one end are held, and the rest are numbered as if they weren't there."""
+    made = records.convert_records(_shapes(spark, sf_dir).select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").alias("field_index"), "text").where("o_orderkey % 6 IN (0, 5)"), policy="statement")
+    return _shown(made).select("record_index", "field_index", "number", "held")
 
 
-RECORD_FOLD = "SELECT o_custkey AS record_index, COUNT(*) AS n, COUNT(*) AS written, COUNT(*) AS fields FROM orders GROUP BY 1"
+LEFT_OUT_REFOLD = """WITH k AS (SELECT o_custkey AS record_index, o_orderkey AS field_index, o_orderkey % 6 = 5 AS held FROM orders WHERE o_orderkey % 6 IN (0, 5))
+SELECT record_index, field_index, CASE WHEN NOT held THEN '1.' || ROW_NUMBER() OVER (PARTITION BY record_index, held ORDER BY field_index) END AS number, held FROM k"""
+
+
+def left_out_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which something would be left out stay as they are."""
+    s = _shapes(spark, sf_dir).select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").alias("field_index"), "text").where("o_orderkey % 6 IN (0, 5)")
+    return records.convert_records(s, policy="record").groupBy("record_index", "left_as_uploaded").agg(F.count_if("held").alias("held"), F.sum(F.size("fields_863")).alias("fields"))
+
+
+LEFT_OUT_RECORDS = """SELECT o_custkey AS record_index, COUNT(*) FILTER (o_orderkey % 6 = 5) > 0 AS left_as_uploaded, CASE WHEN COUNT(*) FILTER (o_orderkey % 6 = 5) > 0 THEN COUNT(*) ELSE 0 END AS held,
+(CASE WHEN COUNT(*) FILTER (o_orderkey % 6 = 5) > 0 THEN 0 ELSE COUNT(*) END)::BIGINT AS fields FROM orders WHERE o_orderkey % 6 IN (0, 5) GROUP BY o_custkey"""
+
+
+def partly_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a statement that can be read in part, that part is written, and the statement is flagged."""
+    d = _dated(spark, sf_dir).select("o_orderkey", _text("v. ", _s("v"), " (", _s("y"), "), lacks ", _s("m")).alias("text"))
+    read = reading.read_statements(d)
+    return read.select("o_orderkey", F.col("converted.held").alias("held"), F.col("converted.flagged").alias("flagged"), F.element_at("parsed.skipped", -1).alias("skipped"), F.get("converted.fields_863", F.lit(0)).alias("field")).select("o_orderkey", "held", "flagged", "skipped", _value("a").alias("sub_a"), _value("i").alias("sub_i"))
+
+
+PARTLY_READ = f"WITH {_DATED} SELECT o_orderkey, FALSE AS held, TRUE AS flagged, 'lacks ' || m AS skipped, v::VARCHAR AS sub_a, y::VARCHAR AS sub_i FROM d"
 
 
 def chron_switch_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", "month").when(F.col("o_orderstatus") == "O", "season").alias("kind"))
-    return quality.chron_changes(d, "o_custkey", "o_orderkey", "kind").select("o_orderkey", "changed")
+    """Statements with a month, with a season or with a year alone, by status: changes are flagged."""
+    d = _dated(spark, sf_dir)
+    date = F.when(F.col("o_orderstatus") == "F", _text(F.col("mon"), " ", _s("y"))).when(F.col("o_orderstatus") == "O", _text("Spring ", _s("y"))).otherwise(_s("y"))
+    s = d.select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").cast("int").alias("field_index"), _text("v.", _s("v"), "(", date, ")").alias("text"))
+    return records.convert_records(s).select(F.col("field_index").cast("long").alias("o_orderkey"), F.col("flagged").alias("changed"))
 
 
 CHRON_SWITCH_FLAG = """WITH k AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'month' WHEN 'O' THEN 'season' END AS kind FROM orders),
@@ -285,11 +403,14 @@ RECORDS_REWRITTEN = "SELECT c_custkey AS record_index, '001;245;852 $b' || c_nat
 
 
 def elsewhere_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, text = _table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
-    return d.select("doc_id", text.rlike(r"(?i)(?<![a-z])(index|indexes|indices)(?![a-z])").alias("index"), text.rlike(r"(?i)(?<![a-z])(supplement|supplements|supplementary)(?![a-z])").alias("supplement"))
+    """Where texts belong by their words, by the operator's own native expression."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", reading.elsewhere(F.coalesce("text", F.lit(""))).alias("belongs_in"))
 
 
-ELSEWHERE_FLAGS = """SELECT doc_id, regexp_matches(COALESCE(text, ''), '(?i)(^|[^a-z])(index|indexes|indices)([^a-z]|$)') AS "index", regexp_matches(COALESCE(text, ''), '(?i)(^|[^a-z])(supplement|supplements|supplementary)([^a-z]|$)') AS supplement FROM documents"""
+ELSEWHERE_FLAGS = r"""WITH t AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '\{[^{}]*\}?', ' ', 'g') AS text FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^a-z])(index|indexes|indices)([^a-z]|$)') THEN '868'
+WHEN regexp_matches(text, '(?i)(^|[^a-z])(suppls?|supplements?|supplementary|special\s+(issue|iss|number|no|edition|ed)\.?)([^a-z]|$)') THEN '867' END AS belongs_in FROM t"""
 
 
 def chron_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,10 +524,16 @@ _ALL = (
     ("log_rows", log_rows, LOG_ROWS),
     ("pattern_priority", pattern_priority, PATTERN_PRIORITY),
     ("pattern_apply", pattern_apply, PATTERN_APPLY),
+    ("pattern_reading", pattern_reading, PATTERN_READING),
+    ("pattern_strict", pattern_strict, PATTERN_STRICT),
     ("number_audit", number_audit, NUMBER_AUDIT),
     ("render_866", render_866, RENDER_866),
     ("record_runs", record_runs, RECORD_RUNS),
     ("record_fold", record_fold, RECORD_FOLD),
+    ("record_fold_existing", record_fold_existing, RECORD_FOLD_EXISTING),
+    ("left_out_refold", left_out_refold, LEFT_OUT_REFOLD),
+    ("left_out_records", left_out_records, LEFT_OUT_RECORDS),
+    ("partly_read", partly_read, PARTLY_READ),
     ("chron_switch_flag", chron_switch_flag, CHRON_SWITCH_FLAG),
     ("identifier_profile", identifier_profile, IDENTIFIER_PROFILE),
     ("record_summary", record_summary, RECORD_SUMMARY),
