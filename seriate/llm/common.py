@@ -6,6 +6,9 @@ import contextlib
 import ctypes
 import functools
 import gc
+import json
+import mmap
+import os
 import re
 import tempfile
 import uuid
@@ -15,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _released() -> None:
     """Give memory that a task no longer needs back to the system: idle workers stay, and share the executor's limit."""
+    _OPEN.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
@@ -97,6 +102,48 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def saved(uri: str, arrays: list[np.ndarray]) -> None:
+    """A file of arrays, each at a multiple of 64 bytes; a retried task replaces it by the same."""
+    head, at, parts = [], 0, []
+    for a in arrays:
+        data = np.ascontiguousarray(a).tobytes()
+        head.append([a.dtype.str, len(a), at])
+        parts.append(data + bytes(-len(data) % 64))
+        at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    part = f"{path}.{uuid.uuid4().hex}"
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(part) as f:
+        f.write(len(text).to_bytes(8, "little") + text)
+        for p in parts:
+            f.write(p)
+    fs.move(part, path)
+
+
+_OPEN: dict[str, list[np.ndarray]] = {}
+
+
+def mapped(uri: str) -> list[np.ndarray]:
+    """The arrays of a file, mapped into memory until the task ends; from a store without local paths, of a copy in an unnamed file."""
+    if uri not in _OPEN:
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        if fs.type_name == "local":
+            f = open(path, "rb")
+        else:
+            f = tempfile.TemporaryFile()
+            with fs.open_input_stream(path) as source:
+                while block := source.read(1 << 24):
+                    f.write(block)
+            f.flush()
+        with f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        size = int.from_bytes(data[:8], "little")
+        _OPEN[uri] = [np.frombuffer(data, np.dtype(kind), n, 8 + size + at) for kind, n, at in json.loads(data[8 : 8 + size])]
+    return _OPEN[uri]
+
+
 def with_hint(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df only if a count shows that it has at most so many rows; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -143,7 +190,7 @@ def rolled(a: np.ndarray, k: int, base: int) -> np.ndarray:
     return out
 
 
-#: Bytes that are hashed at once, and the longest word that is hashed so; a longer one is hashed by XXH64.
+#: Bytes that are hashed at once, and the longest stretch that is hashed so; a longer one is hashed by XXH64.
 _STEP, _LONG = 1 << 18, 64
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
@@ -163,19 +210,12 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return of(_BASE), of(pow(_BASE, -1, 1 << 64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and the number of words of each text.
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, which follow on one another and don't overlap.
 
-    A word's hash is a polynomial in its letters' codes, mixed with its length: sums over stretches of the whole
-    text give those of all its words at once.
+    A hash is a polynomial in the bytes' codes, mixed with their number: sums over all of the data give those of
+    all stretches at once.
     """
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    space = _SPACES[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edge = edge if space[0] else np.r_[0, edge]
-    starts, ends = edge[::2], edge[1::2]
     out, size, (up, down) = np.empty(len(starts), np.uint64), ends - starts, _powers()
     i = 0
     while i < len(starts):
@@ -191,9 +231,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = mixed(out + size.astype(np.uint64) * np.uint64(_BASE))
     for i in np.flatnonzero(size > _LONG).tolist():
         out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and the number of words of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    space = _SPACES[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.r_[0, edge]
+    starts, ends = edge[::2], edge[1::2]
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(starts, bounds)
-    return out, np.diff(np.r_[0, upto])
+    return stretch_hashes(data, starts, ends), np.diff(np.r_[0, np.searchsorted(starts, bounds)])
 
 
 def text_slices(texts: list[bytes], most: int = 1 << 23) -> Iterator[tuple[int, int]]:

@@ -21,21 +21,15 @@ and scored each; only doc_id and text are read.
 
 from __future__ import annotations
 
-import json
-import mmap
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriate.llm.common import arrow_map, buckets_for, bytes_of, dropped, mixed, new_path, squeezed, steps, stored, sums_by, text_slices, unsqueezed, word_hashes
+from seriate.llm.common import arrow_map, buckets_for, bytes_of, dropped, mapped, mixed, new_path, saved, squeezed, steps, stored, sums_by, text_slices, unsqueezed, word_hashes
 
 DISCOUNT = 0.7
 #: Shards of the words and of the trie, at least; the first bits of a hash name one.
@@ -78,16 +72,34 @@ def _unpacked(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     return ((words[word] >> off) | high) & np.uint64((1 << width) - 1)
 
 
+_ONES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+#: Place of the r-th set bit of each byte, at byte * 8 + r.
+_IN_BYTE = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[:8] for x in range(256)], np.int64).ravel()
+
+
 def _nth(words: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the r-th set bit (from 0) in each 64-bit word."""
-    w, r, pos = words.copy(), r.astype(np.int64), np.zeros(len(words), np.int64)
-    for size in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(w & np.uint64((1 << size) - 1)).astype(np.int64)
-        go = r >= low
-        r = np.where(go, r - low, r)
-        w = np.where(go, w >> np.uint64(size), w)
-        pos += go * size
-    return pos
+    x = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES  # bits set up to each byte
+    r = r.astype(np.uint64)
+    # bytes that end before the bit
+    shift = np.bitwise_count(((r * _ONES | _TOPS) - upto) & _TOPS).astype(np.uint64) << np.uint64(3)
+    before = ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+    at = (((words >> shift) & np.uint64(255)) << np.uint64(3)) + (r - before)
+    return shift.astype(np.int64) + _IN_BYTE[at.astype(np.int64)]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each x among them."""
+    o = np.argsort(x)
+    x = x[o]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    back = np.empty(len(x), np.int64)
+    back[o] = np.cumsum(new) - 1
+    return x[new], back
 
 
 class EliasFano:
@@ -125,16 +137,23 @@ class EliasFano:
         return (up.astype(np.uint64) << np.uint64(self.low_bits)) | _unpacked(self.low, self.low_bits, i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, or -1: values with its high bits are searched by their low ones."""
+        """The place of each x, or -1."""
+        u, back = _distinct(x)
+        return self.found(u)[back]
+
+    def found(self, x: np.ndarray) -> np.ndarray:
+        """The place of each of the sorted x, or -1: values with its high bits are searched by their low ones."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
-        last = int(self[np.array([self.n - 1])][0])
-        ask = np.flatnonzero(x <= np.uint64(last))
-        x = x[ask].astype(np.uint64)
+        x = x[: np.searchsorted(x, self[np.array([self.n - 1])][0], "right")].astype(np.uint64)
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        hi = self._zero(h) - h
-        lo = np.where(h == 0, 0, self._zero(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0))
+        own = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        top = h[own]
+        ends = self._zero(np.r_[top, np.maximum(top - 1, 0)])
+        hi, lo = ends[: len(top)] - top, np.where(top == 0, 0, ends[len(top) :] - np.maximum(top - 1, 0))
+        times = np.diff(np.r_[own, len(h)])
+        hi, lo = np.repeat(hi, times), np.repeat(lo, times)
         want, end = x & np.uint64((1 << self.low_bits) - 1), hi.copy()
         left = np.flatnonzero(lo < hi)
         while len(left):
@@ -142,54 +161,13 @@ class EliasFano:
             less = _unpacked(self.low, self.low_bits, mid) < want[left]
             lo[left[less]], hi[left[~less]] = mid[less] + 1, mid[~less]
             left = left[lo[left] < hi[left]]
-        ok = (lo < end) & (_unpacked(self.low, self.low_bits, np.minimum(lo, self.n - 1)) == want)
-        out[ask[ok]] = lo[ok]
+        some = np.flatnonzero(lo < end)
+        some = some[_unpacked(self.low, self.low_bits, lo[some]) == want[some]]
+        out[some] = lo[some]
         return out
 
 
-# ---- files ----------------------------------------------------------------------------------------------
-
-
-def _saved(uri: str, arrays: list[np.ndarray]) -> None:
-    """A file of arrays, each at a multiple of 64 bytes; a retried task replaces it by the same."""
-    head, at, parts = [], 0, []
-    for a in arrays:
-        data = np.ascontiguousarray(a).tobytes()
-        head.append([a.dtype.str, len(a), at])
-        parts.append(data + bytes(-len(data) % 64))
-        at += len(parts[-1])
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
-    fs, path = pa.fs.FileSystem.from_uri(uri)
-    part = f"{path}.{uuid.uuid4().hex}"
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    with fs.open_output_stream(part) as f:
-        f.write(len(text).to_bytes(8, "little") + text)
-        for p in parts:
-            f.write(p)
-    fs.move(part, path)
-
-
-_OPEN: dict[str, list[np.ndarray]] = {}
-
-
-def _mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory; from a store without local paths, of a local copy."""
-    if uri not in _OPEN:
-        fs, path = pa.fs.FileSystem.from_uri(uri)
-        if fs.type_name == "local":
-            f = open(path, "rb")
-        else:
-            f = tempfile.TemporaryFile()
-            with fs.open_input_stream(path) as source:
-                while block := source.read(1 << 24):
-                    f.write(block)
-            f.flush()
-        with f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-        size = int.from_bytes(data[:8], "little")
-        _OPEN[uri] = [np.frombuffer(data, np.dtype(kind), n, 8 + size + at) for kind, n, at in json.loads(data[8 : 8 + size])]
-    return _OPEN[uri]
+# ---- values ---------------------------------------------------------------------------------------------
 
 
 def _sequence(arrays: list[np.ndarray]) -> EliasFano:
@@ -257,12 +235,12 @@ class Model:
         for s, rows in _by_shard(shard, None):
             if self.bases[s + 1] == self.bases[s]:
                 continue
-            a = _mapped(f"{self.folder}/words-{s}")
+            a = mapped(f"{self.folder}/words-{s}")
             at = _sequence(a).find(_rest(h[rows], self.word_bits))
             rows, at = rows[at >= 0], at[at >= 0]
             ids[rows], counts[rows] = at + self.bases[s], a[6][a[5][at]]
             if s in self.weighed:
-                weights[rows] = _mapped(f"{self.folder}/weights-{s}")[0][at]
+                weights[rows] = mapped(f"{self.folder}/weights-{s}")[0][at]
         return ids, counts, weights
 
     def bucket_of(self, ids: np.ndarray) -> np.ndarray:
@@ -272,7 +250,7 @@ class Model:
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out, bucket = np.zeros(len(ids), np.int64), self.bucket_of(ids)
         for s in np.unique(bucket).tolist():
-            a, rows = _mapped(f"{self.folder}/words-{s}"), np.flatnonzero(bucket == s)
+            a, rows = mapped(f"{self.folder}/words-{s}"), np.flatnonzero(bucket == s)
             out[rows] = a[6][a[5][ids[rows].astype(np.int64) - self.bases[s]]]
         return out
 
@@ -280,7 +258,7 @@ class Model:
         """Place of each pair of ids in its shard, or -1."""
         out = np.full(len(x), -1, np.int64)
         for s, rows in _by_shard(shard, self.have):
-            a = _mapped(f"{self.folder}/trie-{s}")
+            a = mapped(f"{self.folder}/trie-{s}")
             ctx, succ = _sequence(a[0:5]), _sequence(a[10:15])
             j = ctx.find(x[rows].astype(np.uint64))
             rows, j = rows[j >= 0], j[j >= 0]
@@ -292,21 +270,27 @@ class Model:
         """Coded probability, coded back-off weight, and whether any triple follows."""
         p, w, more = np.zeros(len(at), np.uint16), np.zeros(len(at), np.uint16), np.zeros(len(at), bool)
         for s, rows in _by_shard(shard, self.have):
-            a, i = _mapped(f"{self.folder}/trie-{s}"), at[rows]
+            a, i = mapped(f"{self.folder}/trie-{s}"), at[rows]
             p[rows], w[rows] = a[15][i], a[16][i]
-            more[rows] = a[16][i] > 0
+            more[rows] = w[rows] > 0
         return p, w, more
 
     def triples(self, shard: np.ndarray, pair: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Probability of each word after a pair, zero if not in the trie."""
-        out = np.zeros(len(pair))
+        out, size = np.zeros(len(pair)), np.uint64(self.size)
         for s, rows in _by_shard(shard, self.have):
-            a = _mapped(f"{self.folder}/trie-{s}")
+            a = mapped(f"{self.folder}/trie-{s}")
             pointers, succ = _sequence(a[17:22]), _sequence(a[22:27])
-            first, end = (pointers[pair[rows] + i].astype(np.int64) for i in (0, 1))
-            rows = rows[end > first]
-            at = succ.find(pair[rows].astype(np.uint64) * np.uint64(self.size) + z[rows].astype(np.uint64))
-            out[rows[at >= 0]] = _POWERS[a[27][at[at >= 0]]]
+            u, back = _distinct(pair[rows].astype(np.uint64) * size + z[rows].astype(np.uint64))
+            p = np.zeros(len(u))
+            context = (u // size).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(context)])
+            bounds = pointers[np.r_[context[first], context[first] + 1]].astype(np.int64)
+            some = np.repeat(bounds[len(first) :] > bounds[: len(first)], np.diff(np.r_[first, len(context)]))
+            at = succ.found(u[some])
+            hit = np.flatnonzero(some)[at >= 0]
+            p[hit] = _POWERS[a[27][at[at >= 0]]]
+            out[rows] = p[back]
         return out
 
 
@@ -404,7 +388,7 @@ def _word_file(folder: str, bits: int):
             h, n = sums_by(np.concatenate([np.cumsum(x) for x, _ in parts]), np.concatenate([y for _, y in parts]).astype(np.int64))
             values, codes = np.unique(n, return_inverse=True)
             kind = np.uint16 if len(values) < 65536 else np.uint32
-            _saved(f"{folder}/words-{bucket}", [*EliasFano.of(_rest(h, bits)).arrays(), codes.astype(kind), values])
+            saved(f"{folder}/words-{bucket}", [*EliasFano.of(_rest(h, bits)).arrays(), codes.astype(kind), values])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["bucket", "size", "total"])
 
     return run
@@ -473,7 +457,7 @@ def _trie_file(model: Model):
         # every pair but those at the end of a text has its count in triples, so the discounts are what they leave
         arrays += [_coded((c - DISCOUNT) / model.counts(x[st])[rank]), _weights(DISCOUNT * below / c, below > 0)]
         arrays += [*EliasFano.of(np.r_[0, np.cumsum(below)].astype(np.uint64)).arrays(), *EliasFano.of(place.astype(np.uint64) * size + z).arrays(), _coded((c3 - DISCOUNT) / c[place])]
-        _saved(f"{model.folder}/trie-{bucket}", arrays)
+        saved(f"{model.folder}/trie-{bucket}", arrays)
         context, home, out = x[st].astype(np.int64), model.bucket_of(x[st]), [[], []]
         for s, rows in _by_shard(home, None):
             out[0].append(s)
@@ -497,7 +481,7 @@ def _weight_file(model: Model):
                 at, more = unsqueezed(blob, [np.uint64, np.uint64])
                 n[np.cumsum(at).astype(np.int64)] += more.astype(np.int64)  # a shard of the trie names each context once
             counts = model.counts(np.arange(len(n)) + model.bases[bucket])
-            _saved(f"{model.folder}/weights-{bucket}", [_weights(DISCOUNT * n / counts, n > 0)])
+            saved(f"{model.folder}/weights-{bucket}", [_weights(DISCOUNT * n / counts, n > 0)])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
     return run
