@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriate.llm.common import arrow_map, stored, texts_of, with_hint
-from seriate.llm.tokens import encoder
+from seriate.llm.common import arrow_map, stored, with_hint
+from seriate.llm.tokens import blobs, encoder
 
 WINDOW = 4096
 END_ID = 2
@@ -29,16 +29,13 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def _encoded(path: str, end_id: int):
-    end = np.array([end_id], "<u2").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, at = encoder(path).ids, TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
         for b in batches:
-            blobs = [ids_of(t) + end for t in texts_of(b.column("text"))]
-            n = np.array([len(x) // 2 for x in blobs], np.int64)
+            ids, n = encode(b["text"], end_id)
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("doc_id"), pa.array(n), pa.array(blobs, pa.binary())],
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("doc_id"), pa.array(n), blobs(ids, n)],
                 ["part", "local_start", "doc_id", "n", "ids"],
             )
             at = int(ends[-1]) if len(n) else at
