@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriate.llm.common import arrow_map, bytes_of, stored
+from seriate.llm.common import arrow_map, bytes_of, stored, with_hint
 from seriate.llm.components import components
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in bytes_of(b.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(fp.view(np.int64))], ["doc_id", "t", "fp"])
 
 
 class Forest:
@@ -183,12 +183,38 @@ def links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp (long), component_id of every document."""
-    fps = stored(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprints, "doc_id long, fp long"), "simhash-fps")
+    """doc_id, t (a hash of the text), fp (long), component_id of every document, and root, a fingerprint that names its group."""
+    text = F.col("text").cast("string")
+    fps = stored(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")), _fingerprints, "doc_id long, t long, fp long"), "simhash-fps")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     parts = components(links(classes.select("fp"), budget))
     # the component's smallest document, for each class that has more than one document
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    ids = stored(named.join(least.where("members > 1"), "root").select("fp", "component_id"), "simhash-ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = stored(named.join(least.where("members > 1"), "root").select("fp", "root", "component_id"), "simhash-ids")
+    return fps.join(ids, "fp", "left").select("doc_id", "t", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row of each group of near copies: that with the smallest id (then text hash), with all its columns.
+
+    Rows are judged by id and text, so rows that share an id but belong to different groups are judged apart. Rows
+    without an id stay. Only the rows of ids that come several times in their group are shuffled with their texts.
+    """
+    groups = stored(near_duplicates(docs, budget).where("doc_id IS NOT NULL").select("doc_id", "t", "root", "component_id"), "simhash-groups")
+    copies = groups.where("component_id <> doc_id").select("doc_id", "t").distinct()
+    twice = groups.where("component_id = doc_id").groupBy("root", "doc_id").agg(F.count("*").alias("n"), F.min("t").alias("first")).where("n > 1")
+    others = groups.join(twice.select("root", "doc_id", "first"), ["root", "doc_id"]).where("t <> first").select("doc_id", "t").distinct()
+    name = "near"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    ids = [F.col("doc_id").alias(f"{name}_id"), F.col("t").alias(f"{name}_t")]
+    gone = stored(copies.union(others).select(*ids), "simhash-gone")
+    again = stored(twice.select(*ids[:1], F.col("first").alias(f"{name}_t")), "simhash-again")
+    keyed = docs.withColumns({f"{name}_doc": F.col("doc_id").cast("long"), f"{name}_text": F.xxhash64(F.col("text").cast("string"))})
+    same = (F.col(f"{name}_doc") == F.col(f"{name}_id")) & (F.col(f"{name}_text") == F.col(f"{name}_t"))
+    left = keyed.join(with_hint(gone, 1_000_000), same, "left_anti")
+    once = left.join(with_hint(again, 1_000_000), same, "left_anti").select(*docs.columns)
+    several = left.join(with_hint(again, 1_000_000), same, "left_semi")
+    first = several.groupBy(f"{name}_doc", f"{name}_text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(f"{name}_row"))
+    return once.unionByName(first.select(*[F.col(f"{name}_row")[c].alias(c) for c in docs.columns]))
