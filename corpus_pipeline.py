@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seriate.llm import langid, mixing, packing, simhash, substrings
-from seriate.llm.common import stored, table, with_hint
+from seriate.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    copies = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    # rows with the same id: one stays, if it is the smallest of its group
-    twice = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    gone = stored(copies.withColumn("__twice", F.lit(False)).union(twice.join(copies, "__id", "left_anti").withColumn("__twice", F.lit(True))), "pipeline-copies")
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    once = docs.join(with_hint(gone, 1_000_000), same, "left_anti")
-    again = docs.join(with_hint(gone.where("__twice"), 1_000_000), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    return simhash.deduplicated(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
