@@ -41,18 +41,25 @@ def _coded(f: Column, codes: str) -> Column:
     return F.size(F.filter(f["subfields"], lambda s: s["code"].rlike(f"^[{codes}]$")))
 
 
+def beyond_summary(held: Column) -> Column:
+    """Any of the holdings fields with more than one level of enumeration or of chronology: more than level 3 says."""
+    return F.exists(held, lambda f: (_coded(f, "a-f") > 1) | (_coded(f, "i-l") > 1))
+
+
 def exceeds_summary() -> Column:
-    """Any holdings field with more than one level of enumeration or of chronology."""
-    return F.exists(tagged("863"), lambda f: (_coded(f, "a-f") > 1) | (_coded(f, "i-l") > 1))
+    return beyond_summary(tagged("863"))
 
 
-def single_part_conflict() -> Column:
+def single_part_conflict_of(held: Column) -> Column:
     """A single-part item that has several holdings fields, an enumeration, or a run of dates."""
-    held = tagged("863")
     runs = F.exists(held, lambda f: F.exists(f["subfields"], lambda s: s["code"].rlike("^[i-l]$") & s["value"].contains("-")))
     return (F.substring("leader", 7, 1) == "x") & ((F.size(held) > 1) | F.exists(held, lambda f: _coded(f, "a-f") > 0) | runs)
 
 
+def single_part_conflict() -> Column:
+    return single_part_conflict_of(tagged("863"))
+
+
 def encoding_level_differs(declared: str) -> Column:
     level = F.substring("leader", 18, 1)
     return ~F.trim(level).isin(*[x.strip() for x in USUAL_LEVELS]) & (level != declared)

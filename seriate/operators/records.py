@@ -217,13 +217,16 @@ def _folder(columns: str, policy: str):
 
 
 def convert_records(statements: DataFrame, existing: DataFrame | None = None, *, library: list | None = None, fallback: str = "parser", settings: DataFrame | None = None, separate: DataFrame | None = None, policy: str = "convert", merge: bool = True, **options) -> DataFrame:
-    """One row for each statement (record_index, field_index, text, perhaps split_part) of each record.
+    """One row for each statement (record_index, field_index, text, perhaps split_part or origin) of each record.
 
+    origin: the place of the 866 that a person split the statement from; with split_part, its field_index.
     existing: record_index, existing (array of 853 fields). library, fallback: patterns that read statements, as
     patterns.read_by takes them. settings: record_index and settings of single records. separate: record_index of
     records whose patterns aren't merged. policy: one of POLICIES.
     """
-    rows = statements.select("record_index", F.col("field_index").cast("int").alias("field_index"), (F.col("split_part").cast("int") if "split_part" in statements.columns else F.lit(None).cast("int")).alias("split_part"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.col("field_index").cast("int")
+    origin = F.col("origin").cast("int") if "origin" in statements.columns else F.when(F.col("split_part").isNotNull(), place) if "split_part" in statements.columns else F.lit(None).cast("int")
+    rows = statements.select("record_index", place.alias("field_index"), origin.alias("origin"), (F.col("split_part").cast("int") if "split_part" in statements.columns else F.lit(None).cast("int")).alias("split_part"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(existing.select("record_index", "existing"), "record_index", "left") if existing is not None else rows.withColumn("existing", F.lit(None).cast(f"array<{FIELD}>"))
     rows = rows.withColumn("existing", F.when(F.size("existing") > 0, F.col("existing")))
     rows = rows.join(settings.select("record_index", "settings"), "record_index", "left") if settings is not None else rows.withColumn("settings", F.lit(None).cast(SETTINGS))
@@ -237,8 +240,7 @@ def convert_records(statements: DataFrame, existing: DataFrame | None = None, *,
     said = F.flatten(F.transform(old, lambda f: F.transform(F.filter(f["subfields"], lambda s: s["code"].rlike("^[a-m]$")), lambda s: F.lower(F.trim(s["value"])))))
     on_record = F.transform(F.filter(F.array_distinct(said), lambda v: v.isin("(month)", "(season)")), lambda v: F.substring(v, 2, 20))
     on_record = F.transform(on_record, lambda v: F.rtrim(v, F.lit(")")))
-    origin = F.when(F.col("split_part").isNotNull(), F.col("field_index"))
-    both = rows.select("*", taken.alias("taken"), on_record.alias("on_record"), origin.alias("origin"), (F.lit(merge) & F.col("apart").isNull()).alias("merge")).drop("existing", "settings", "apart")
+    both = rows.select("*", taken.alias("taken"), on_record.alias("on_record"), (F.lit(merge) & F.col("apart").isNull()).alias("merge")).drop("existing", "settings", "apart")
     joined = both.join(made, ["text", "case"]).drop("case")
     ordered = joined.repartition("record_index").sortWithinPartitions("record_index", "field_index", F.coalesce("split_part", F.lit(0)), "text")
     fold_, folded_ddl = _folder(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields if f.name != "link"), policy)
@@ -311,11 +313,12 @@ def summary(records: DataFrame, spec: str = "999$b") -> DataFrame:
 
 
 def statements(records: DataFrame) -> DataFrame:
-    """One row for each 866 with a text."""
-    rows = records.select("record_index", F.posexplode("fields").alias("field_index", "f")).where("f.tag = '866'")
+    """One row for each 866 with a text; origin, where records have split_of."""
+    split_of = F.col("split_of") if "split_of" in records.columns else F.lit(None).cast("array<int>")
+    rows = records.select("record_index", split_of.alias("split_of"), F.posexplode("fields").alias("field_index", "f")).where("f.tag = '866'")
     first = lambda code: F.get(F.filter("f.subfields", lambda s: s["code"] == code), F.lit(0))["value"]
     text = F.trim(first("a")).alias("text")
-    return rows.select("record_index", "field_index", text, F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2"), first("z").alias("z"), first("x").alias("x")).where("text <> ''")
+    return rows.select("record_index", "field_index", text, F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2"), first("z").alias("z"), first("x").alias("x"), first("2").alias("scheme"), F.get("split_of", F.col("field_index")).alias("origin")).where("text <> ''")
 
 
 def existing_853s(records: DataFrame) -> DataFrame:
@@ -326,12 +329,17 @@ def existing_853s(records: DataFrame) -> DataFrame:
 def apply(records: DataFrame, converted: DataFrame, remove_866: bool = False, clear_existing: bool = False) -> DataFrame:
     """The records with the new fields in tag order.
 
-    A record with holdings fields of its own is kept as it is, unless clear_existing. An 866 goes only if its own
-    statement wrote fields, and if it holds nothing that they don't account for. Notes of an 866 go to the last
-    holdings field of its statement.
+    A record with holdings fields of its own is kept as it is, unless clear_existing, which takes its caption and
+    holdings fields away whatever is written. So is a record that the policy leaves as it was uploaded. An 866 goes only
+    if its own statement wrote fields, and if it holds nothing that they don't account for. Notes of an 866 go to the
+    last holdings field of its statement.
     """
-    new = converted.where(~F.col("held")).groupBy("record_index").agg(F.sort_array(F.collect_list(F.struct("field_index", "field_853", "fields_863"))).alias("made"))
+    left = F.max("left_as_uploaded") if "left_as_uploaded" in converted.columns else F.lit(False)
+    wrote = F.when(~F.col("held"), F.struct("field_index", "field_853", "fields_863"))
+    new = converted.groupBy("record_index").agg(F.sort_array(F.collect_list(wrote)).alias("made"), left.alias("left__"))
     rows = records.join(new, "record_index", "left")
+    empty = F.array().cast(f"array<struct<field_index: int, field_853: {FIELD}, fields_863: array<{FIELD}>>>")
+    rows = rows.withColumn("made", F.coalesce("made", empty))
     keeps = (F.size(tagged("863")) > 0) & F.lit(not clear_existing)
     notes = lambda i: F.filter(F.get("fields", i)["subfields"], lambda s: s["code"].isin("x", "z"))
     full = lambda f: F.struct(F.lit(0).alias("pos"), f["tag"].alias("tag"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), F.lit(None).cast("string").alias("data"), f["subfields"].alias("subfields"))
@@ -346,14 +354,15 @@ def apply(records: DataFrame, converted: DataFrame, remove_866: bool = False, cl
         F.transform("fields", lambda f, i: F.struct(f.alias("f"), i.alias("i"))),
         lambda x: ~(
             ((x["f"]["tag"] == "863") & (F.lit(clear_existing) | F.array_contains(links_, link(x["f"]))))
-            | ((x["f"]["tag"] == "853") & F.array_contains(F.transform(captions, link), link(x["f"])))
+            | ((x["f"]["tag"] == "853") & (F.lit(clear_existing) | F.array_contains(F.transform(captions, link), link(x["f"]))))
             | (F.lit(remove_866) & (x["f"]["tag"] == "866") & F.array_contains(gone, x["i"]) & whole(x["f"]))
         ),
     )
     merged = F.concat(F.transform(kept, lambda x: x["f"]), captions, holdings)
     ordered = F.array_sort(F.transform(merged, lambda f, i: F.struct(f["tag"].alias("tag"), i.alias("i"), f.alias("f"))), lambda a, b: F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).otherwise(a["i"] - b["i"]))
     renumbered = F.transform(ordered, lambda x, i: x["f"].withField("pos", i)).cast(RECORD_FIELDS)
-    return rows.withColumn("fields", F.when(keeps | F.col("made").isNull(), F.col("fields")).otherwise(renumbered)).drop("made")
+    same = keeps | F.coalesce("left__", F.lit(False)) | ((F.size("made") == 0) & F.lit(not clear_existing))
+    return rows.withColumn("fields", F.when(same, F.col("fields")).otherwise(renumbered)).drop("made", "left__")
 
 
 __all__ = ["PARSED", "apply", "convert_records", "existing_853s", "fields_863", "fold", "statements", "summary"]

@@ -2,9 +2,10 @@
 
 spark.dataSource.register(MarcSource); spark.read.format("marc2709").load(path)
 
-A file is cut into stretches of whole records by following the lengths in their leaders, so a large file is read by
-many tasks. A record that can't be decoded keeps its place and is marked unreadable. Paths are those that Python
-can open on the executors; for other stores, give records() a DataFrame of spark.read.format("binaryFile").
+A file is cut by bytes, so the driver reads none of it: a task takes the records that begin in its stretch, and finds
+the first of them behind the next record end. Record numbers ascend by file and place; numbered() makes them dense.
+A record that can't be decoded keeps its place and is marked unreadable. Paths are those that Python can open on the
+executors; for other stores, give records() a DataFrame of spark.read.format("binaryFile").
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import glob
 import mmap
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +24,10 @@ from seriate.functions.schemas import RECORDS
 
 # Fixed values of the format: field, record and subfield ends.
 FIELD_END, RECORD_END, SUBFIELD = b"\x1e", b"\x1d", b"\x1f"
+MOST_FIELD, MOST_RECORD = 9_999, 99_999
 SPLIT_BYTES = 16 << 20
+#: Record numbers that a stretch may use.
+PLACES = 1 << 33
 
 
 def decode(data: bytes) -> tuple[str, list[dict]] | None:
@@ -50,6 +55,7 @@ def decode(data: bytes) -> tuple[str, list[dict]] | None:
 
 
 def encode(leader: str, fields: list[dict]) -> bytes:
+    """A record's bytes; raises ValueError where the format's numbers can't say its lengths."""
     directory, body = b"", b""
     for f in fields:
         if f["tag"] < "010":
@@ -57,9 +63,13 @@ def encode(leader: str, fields: list[dict]) -> bytes:
         else:
             data = f"{f['ind1'] or ' '}{f['ind2'] or ' '}".encode() + b"".join(SUBFIELD + s["code"].encode() + s["value"].encode() for s in f["subfields"])
         data += FIELD_END
+        if len(data) > MOST_FIELD:
+            raise ValueError(f"field {f['tag']} takes {len(data)} bytes; the format has room for {MOST_FIELD}")
         directory += f"{f['tag']}{len(data):04d}{len(body):05d}".encode()
         body += data
     base = 24 + len(directory) + 1
+    if base + len(body) + 1 > MOST_RECORD:
+        raise ValueError(f"the record takes {base + len(body) + 1} bytes; the format has room for {MOST_RECORD}")
     head = f"{base + len(body) + 1:05d}{(leader or '').ljust(24)[5:9]}a{(leader or '').ljust(24)[10:12]}{base:05d}{(leader or '').ljust(24)[17:20]}4500"
     return head.encode() + directory + FIELD_END + body + RECORD_END
 
@@ -79,16 +89,20 @@ def _lengths(data: bytes | mmap.mmap, at: int = 0) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def row_of(name: str, number: int, data: bytes) -> tuple:
+    found = decode(data)
+    leader, fields = found or (data[:24].decode("latin-1"), [])
+    return name, number, leader, [(f["pos"], f["tag"], f["ind1"], f["ind2"], f["data"], [(s["code"], s["value"]) for s in f["subfields"]]) for f in fields], found is None
+
+
 def rows_of(name: str, data: bytes, first: int = 0) -> Iterator[tuple]:
     for i, (start, end) in enumerate(_lengths(data), first):
-        found = decode(data[start:end])
-        leader, fields = found or (data[start : start + 24].decode("latin-1"), [])
-        yield name, i, leader, [(f["pos"], f["tag"], f["ind1"], f["ind2"], f["data"], [(s["code"], s["value"]) for s in f["subfields"]]) for f in fields], found is None
+        yield row_of(name, i, data[start:end])
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: int):
-        super().__init__((path, start, end, first))
+    def __init__(self, path: str, start: int, end: int, number: int):
+        super().__init__((path, start, end, number))
 
 
 class _Reader(DataSourceReader):
@@ -96,28 +110,29 @@ class _Reader(DataSourceReader):
         self.paths = sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
 
     def partitions(self) -> list[InputPartition]:
-        out, first = [], 0
-        for path in self.paths:
-            if not os.path.getsize(path):
-                continue
-            # lengths are followed from leader to leader; of the file, only those pages are touched
-            with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                at, n = 0, 0
-                for _, end in _lengths(data):
-                    n += 1
-                    if end - at >= SPLIT_BYTES or end >= len(data):
-                        out.append(_Part(path, at, end, first))
-                        first, at, n = first + n, end, 0
-                if n:
-                    out.append(_Part(path, at, len(data), first))
-                    first += n
-        return out
+        stretches = [(path, at) for path in self.paths for at in range(0, os.path.getsize(path), SPLIT_BYTES)]
+        return [_Part(path, at, at + SPLIT_BYTES, i) for i, (path, at) in enumerate(stretches)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path, start, end, first = partition.value
-        with open(path, "rb") as f:
-            f.seek(start)
-            yield from rows_of(path, f.read(end - start), first)
+        path, start, end, number = partition.value
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            if start:  # behind the first record end at or before which a record of the stretch before ends
+                found = data.find(RECORD_END, start - 1)
+                start = found + 1 if found >= 0 else len(data)
+            for i, (at, upto) in enumerate(_lengths(data, start)):
+                if at >= end:
+                    break
+                yield row_of(path, number * PLACES + i, data[at:upto])
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Records with dense numbers from 0 on: the stretches' counts, one row each, give each stretch its first number."""
+    stretch = F.floor(F.col("record_index") / PLACES)
+    counts = records.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("stretch", before.alias("first"))
+    rows = records.withColumn("stretch", stretch).join(firsts, "stretch")
+    return rows.withColumn("record_index", F.col("first") + F.pmod("record_index", F.lit(PLACES))).select(*records.columns)
 
 
 class _Done(WriterCommitMessage):
@@ -126,10 +141,10 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One file for each task, under a name of its own until the job commits."""
+    """One file for each task, under a name of its own until the job commits; files of other jobs keep theirs."""
 
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:8]
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -148,7 +163,7 @@ class _Writer(DataSourceWriter):
                 os.remove(old)
         for m in messages:
             folder, name = os.path.split(m.path)
-            os.replace(m.path, os.path.join(folder, name[1:11] + ".mrc"))
+            os.replace(m.path, os.path.join(folder, f"{name[1:11]}-{self.job}.mrc"))
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -176,10 +191,22 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
     One statement on a line; # begins a comment, [section: x] a section, and a trailing # [xN] status:Dn annotates.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
     head = F.nullif(F.regexp_extract("value", r"^\[section:\s*(.*?)\s*\]$", 1), F.lit(""))
-    # the section above a line: corpora are files that a person reads
-    rows = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    # the section above a line, in its own file: corpora are files that a person reads
+    rows = lines.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     note = F.regexp_extract("value", r"#\s*(.*)$", 1)
     kept = rows.where("value <> '' AND NOT startswith(value, '#')").where(~F.col("value").rlike(r"^\[section:"))
     return kept.select("line", "section", F.trim(F.regexp_replace("value", r"\s+#.*$", "")).alias("text"), F.coalesce(F.regexp_extract(note, r"\[x(\d+)\]", 1).try_cast("int"), F.lit(1)).alias("times"), F.regexp_extract(note, r"(loss|fail|warn|known)", 1).alias("status"), F.regexp_extract(note, r":(D\d+)", 1).alias("defect"))
+
+
+def statement_scan(spark: SparkSession, path: str) -> DataFrame:
+    """place and text of all statements of MARC files (by their control number or place) or of a text corpus (by line)."""
+    if not path.lower().endswith((".mrc", ".marc", ".dat")):
+        return corpus(spark, path).select(F.concat(F.lit("line "), F.col("line") + 1).alias("place"), "text")
+    from seriate.operators import records
+
+    spark.dataSource.register(MarcSource)
+    found = numbered(spark.read.format("marc2709").load(path))
+    place = F.coalesce(F.nullif(F.trim(records.first_value("001", None)), F.lit("")), F.concat(F.lit("record "), F.col("record_index") + 1))
+    return records.statements(found).join(found.select("record_index", place.alias("place")), "record_index").select("place", "text")

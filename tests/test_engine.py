@@ -7,8 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from seriate.functions import budget, dialects, grammar, shape
-from seriate.operators import decisions, patterns, quality, reading, records
-from seriate.plans import queries
+from seriate.operators import decisions, patterns, quality, reading, records, review, sessions
+from seriate.plans import queries, review_queries
 from seriate.sources import marc
 from seriate.streaming import holdings
 
@@ -27,10 +27,13 @@ def plain(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+ALL, SQL = queries.QUERIES | review_queries.QUERIES, queries.ORACLES | review_queries.ORACLES
+
+
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_sql(spark, con, name):
-    got = queries.QUERIES[name](spark, SF)
-    want = con.sql(queries.ORACLES[name])
+    got = ALL[name](spark, SF)
+    want = con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     key = lambda r: tuple(map(str, r))
@@ -211,3 +214,136 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     holdings.to_table(holdings.statements(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("text", "converted.held").collect()
     assert sorted(map(tuple, got)) == [("? 3", True), ("v.1(1990)", False)]
+
+
+# ---- what came in later ---------------------------------------------------------------------------------
+
+
+def test_dialects_say_what_holds_on_and_refuse_settings():
+    of = lambda rx, d: dialects.convert(rx, d, whole=False)
+    assert of(r"\d++", "pcre").text == r"\d++" and of(r"(?>\d+)", "java").text == r"(?>\d+)"
+    assert of(r"\d++", "dotnet").text == r"(?>\d+)"
+    assert "possessive" in of(r"\d++", "javascript").error and "atomic" in of(r"(?>\d+)", "oracle").error
+    assert of(r"(?i)v(?#a note)\.\d", "pcre").text == r"v\.\d" and of(r"(?i:v)\d", "java").text == r"(?:v)\d"
+    assert "(?x)" in of(r"(?x)v \. \d", "pcre").error and "(?s)" in of(r"(?s:.)", "java").error
+    assert [bool(x.error) for x in dialects.convert_all(["a", "("], "java")] == [False, True]
+
+
+def test_runaways_never_enter_a_library(monkeypatch):
+    monkeypatch.setattr(budget, "SECONDS", 0.7)
+    monkeypatch.setattr(patterns.budget, "runaways", lambda rx, texts: budget_runaways(rx, texts, 0.7))
+    raw = lambda i, rx: {"id": i, "label": i, "regex": rx, "roles": [{"group": "start_vol", "boundary": "start", "kind": "enum", "level": 0}]}
+    good, bad = raw("good", r"v\.(?P<start_vol>\d+)"), raw("bad", r"(?P<start_vol>(\s*a+)*)b")
+    kept, errors = patterns.load([good, bad])
+    assert [p.id for p in kept] == ["good"] and any("bad" in e and "time" in e for e in errors)
+    kept, errors = patterns.load([good, bad], known=frozenset([bad["regex"]]))
+    assert len(kept) == 2 and not errors
+
+
+budget_runaways = budget.runaways
+
+
+def test_libraries_merge_or_replace_and_old_roles_are_read():
+    one = lambda i, n: {"id": i, "label": "", "regex": r"(?P<start_vol>\d+)", "priority": n, "roles": [{"group": "start_vol", "level": "vol"}]}
+    old, _ = patterns.load([one("a", 1), one("b", 2)], probe=False)
+    new, _ = patterns.load([one("b", 9)], probe=False)
+    assert [(p.id, p.priority) for p in patterns.merged_library(old, new)] == [("b", 9), ("a", 1)]
+    assert [p.id for p in patterns.merged_library(old, new, replace=True)] == ["b"]
+    assert (old[0].roles[0].kind, old[0].roles[0].caption, old[0].roles[0].level) == ("enum", "v.", 0)
+    assert patterns.load("{not json")[1] and patterns.load([{"no": "pattern"}])[1] and patterns.load('"x"')[1]
+    assert sessions.library_from(sessions.library_text(old))[0].id == "b" and sessions.library_from(b"broken") == []
+
+
+def test_requests_and_stored_decisions_are_coerced():
+    o = sessions.Options.of({"parser_fallback": "no", "left_out_policy": "x", "skip_records": [1, "2", None, -3], "keep_separate": "5", "holdings_level": "9", "units_per_higher": "012", "remove_866": "on"})
+    assert (o.fallback, o.policy, o.skipped, o.separate, o.level, o.per_higher, o.remove_866) == ("off", "convert", {1, 2}, frozenset(), "4", "", True)
+    assert sessions.Options.of({"parser_strict": True}).fallback == "strict" and sessions.Options.of(None) == sessions.Options()
+    got = sessions.decisions_from('{"edits": [], "notes": {"1": "x"}, "batch": 3}')
+    assert got == {"records": {}, "batch": None, "edits": {}, "notes": {"1": "x"}, "record_853": {}} and sessions.decisions_from("{")["records"] == {}
+
+
+def test_store_keeps_and_forgets(tmp_path):
+    store = sessions.Store(str(tmp_path))
+    name = store.save("upload", b"x")
+    assert store.load("upload", name) == b"x" and store.load("upload", "0" * 32) is None
+    with pytest.raises(ValueError):
+        store.load("upload", "../../etc/passwd")
+    os.utime(tmp_path / "upload" / name, (0, 0))
+    assert store.load("upload", name) is None and store.sweep() == 1
+
+
+def test_split_files_append_and_oversize(spark, tmp_path, monkeypatch):
+    spark.dataSource.register(marc.MarcSource)
+    made = [marc.encode("00000cy  a2200000   4500", [{"pos": 0, "tag": "001", "ind1": None, "ind2": None, "data": f"x{i:03d}", "subfields": []}]) for i in range(50)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mrc").write_bytes(b"".join(made[:30]))
+    (tmp_path / "in" / "b.mrc").write_bytes(b"".join(made[30:]))
+    monkeypatch.setattr(marc, "SPLIT_BYTES", 100)
+    r = marc.numbered(spark.read.format("marc2709").load(str(tmp_path / "in")))
+    assert [(x["record_index"], x["fields"][0]["data"]) for x in r.orderBy("record_index").collect()] == [(i, f"x{i:03d}") for i in range(50)]
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        r.where("record_index < 3").coalesce(1).write.format("marc2709").mode("append").save(out)
+    assert spark.read.format("marc2709").load(out).count() == 6
+    sub = lambda n: [{"pos": 0, "tag": "500", "ind1": " ", "ind2": " ", "data": None, "subfields": [{"code": "a", "value": "x" * n}]}]
+    with pytest.raises(ValueError, match="9999"):
+        marc.encode("", sub(10_000))
+    with pytest.raises(ValueError, match="99999"):
+        marc.encode("", sub(9_000) * 12)
+    scan = marc.statement_scan(spark, str(tmp_path / "in" / "a.mrc"))
+    assert scan.columns == ["place", "text"] and scan.count() == 0
+
+
+def test_upload_and_log(spark, tmp_path):
+    fields = [{"pos": 0, "tag": "001", "ind1": None, "ind2": None, "data": "n1", "subfields": []}, {"pos": 1, "tag": "866", "ind1": " ", "ind2": "0", "data": None, "subfields": [{"code": "a", "value": "v. 8 no. 3-v. 10 no. 2 (1981-Fall 1983)"}]}]
+    (tmp_path / "u.mrc").write_bytes(marc.encode("00000cy  a2200000   4500", fields))
+    got = sessions.uploaded(spark, str(tmp_path / "u.mrc"), "001")
+    assert got["summary"].first()["identifier"] == "n1" and got["statements"].count() == 1
+    for policy, what in (("convert", "Converted, part left out"), ("statement", "Not converted"), ("record", "Left as uploaded")):
+        made = records.convert_records(got["statements"], policy=policy)
+        rows = review.rows(got["records"], made, reading.read_statements(got["statements"]), "001")
+        found = review.log(got["records"], made, rows)
+        assert what in {r["what"] for r in found.collect()}
+    review.write_log(found, str(tmp_path / "log"))
+    body = b"".join(p.read_bytes() for p in (tmp_path / "log").glob("part-*"))
+    assert body.startswith(b"\xef\xbb\xbfRecord,Identifier,Title,What,866,Details") and b"n1" in body
+
+
+def test_a_split_at_the_change_asks_nothing():
+    rows = [{"field_index": 0, "parsed": grammar.read("v.1(Mar. 1990)"), "origin": 4}, {"field_index": 1, "parsed": grammar.read("v.2(Spring 1991)"), "origin": 4}]
+    out = records.fold(rows, [])
+    assert [r["flagged"] for r in out] == [False, False] and out[1]["change"] == "split"
+    old = {"tag": "853", "ind1": "2", "ind2": "0", "subfields": [("8", "1"), ("a", "v."), ("i", "(year)"), ("j", "(month)")]}
+    out = records.fold([{"field_index": 0, "parsed": grammar.read("v.2(Spring 1991)")}], [old])
+    assert out[0]["change"] == "existing" and out[0]["flagged"] and out[0]["link"] == "2"
+
+
+def test_a_record_may_span_batches(spark):
+    rows = [(r, i, f"v.{i}({1900 + i})") for r in range(3) for i in range(1, 60)]
+    s = spark.createDataFrame(rows, "record_index bigint, field_index int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = records.fields_863(records.convert_records(s)).select("record_index", "field_index", "seq", "link").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(r, i, i, "1") for r in range(3) for i in range(1, 60)]
+
+
+def test_statements_without_text_are_held(spark):
+    s = spark.createDataFrame([(1, 0, None), (1, 1, "v.1(1990)"), (None, 0, "v.1(1990)")], "record_index bigint, field_index int, text string")
+    got = {(r["record_index"], r["field_index"]): r["held"] for r in records.convert_records(s).collect()}
+    assert got == {(1, 0): True, (1, 1): False, (None, 0): False}
+
+
+def test_engine_stands_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    for name in ("seriate", "tests"):
+        shutil.copytree(top / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); import tests.test_engine"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
