@@ -1,6 +1,6 @@
 """Clusters of statements by shape, and a library of confirmed patterns that read them.
 
-Clusters: texts are counted and signed natively, each task sums up what its texts of a signature add to the pattern
+Clusters: texts are counted before they are signed, each task sums up what its texts of a signature add to the pattern
 (captions seen, the longest free text), and only these sums meet; so a signature that holds a third of all texts is
 never in one task. Matches are counted natively, by the expression in the Java dialect.
 
@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriate.functions import budget, dialects, fields, grammar, shape
@@ -34,24 +34,18 @@ KINDS = ("enum", "year", "month", "day", "ignore", "unresolved")
 SUGGESTED = {"vol": "v.", "iss": "no.", "part": "pt."}
 
 
-# ---- signatures natively --------------------------------------------------------------------------------
+# ---- signatures -----------------------------------------------------------------------------------------
 
 
-def token_kinds(text: Column) -> Column:
-    """Kinds of the tokens by native expressions, before numbers and unknown runs are joined."""
-    # each kind is a group of one expression, so that what stands around a token counts
-    rx = F.lit("(?is)" + "|".join(f"({rx})" for _, rx in shape.KINDS))
-    found = F.arrays_zip(*[F.regexp_extract_all(text, rx, F.lit(i + 1)).alias(k) for i, (k, _) in enumerate(shape.KINDS)])
-    return F.transform(found, lambda t: F.coalesce(*[F.when(t[k] != "", k) for k, _ in shape.KINDS]))
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shape.signature(t) for t in b["text"].to_pylist()], pa.string())], [*b.schema.names, "signature"])
 
 
-def simple_signature(text: Column) -> Column:
-    """shape.signature by native expressions: numbers and unknown runs are joined in the list of kinds."""
-    kinds = token_kinds(F.trim(text))
-    solid = lambda ks: F.array_join(F.filter(ks, lambda k: k != "SPACE"), "|")
-    divided = solid(kinds).rlike(r"PAREN_CLOSE\|SEP_HYPHEN\||\|SEP_HYPHEN\|(?:VOL|PT|ISS)_CAP")
-    ranged = F.regexp_replace(F.array_join(kinds, "|"), r"(^|\|)NUMBER\|SEP_HYPHEN\|NUMBER(?=\||$)", "$1NUMBER")
-    return F.regexp_replace(F.when(divided, solid(F.split(ranged, r"\|"))).otherwise(solid(kinds)), r"UNKNOWN(?:\|UNKNOWN)+", "UNKNOWN")
+def signed(texts: DataFrame) -> DataFrame:
+    """texts (text, and what else they have) with their signatures."""
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields) + ", signature string"
+    return arrow_map(texts, _signed, ddl)
 
 
 # ---- clusters -------------------------------------------------------------------------------------------
@@ -100,14 +94,15 @@ def clusters(statements: DataFrame) -> DataFrame:
     variants (JSON: spellings of captions by kind).
     """
     texts = statements.select(F.trim("text").alias("text"), "pos").where("text <> ''").groupBy("text").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    signed = texts.withColumn("signature", simple_signature(F.col("text")))
-    sums = arrow_map(signed.select("signature", "text", "pos"), _summed, _CLUSTER)
+    # dealt by text, so no signature is in one task; the three readers below share this shuffle
+    each = signed(texts).repartition("text")
+    sums = arrow_map(each.select("signature", "text", "pos"), _summed, _CLUSTER)
     made = arrow_map(sums.repartition("signature"), _made, _MADE)
-    counted = signed.join(made.select("signature", "java"), "signature")
+    counted = each.join(made.select("signature", "java"), "signature")
     hit = F.rlike("text", "java")  # of the whole text, whatever its case
     sizes = counted.groupBy("signature").agg(F.sum("n").alias("count"), F.min("pos").alias("first_pos"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("matched"))
     nth = F.row_number().over(Window.partitionBy("signature").orderBy("pos", "text"))
-    few = signed.withColumn("nth", nth).where(F.col("nth") <= MOST_EXAMPLES).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("few"))
+    few = each.withColumn("nth", nth).where(F.col("nth") <= MOST_EXAMPLES).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("few"))
     out = sizes.join(made.drop("java"), "signature").join(few, "signature")
     rate = F.round(F.coalesce(F.col("matched") / F.nullif("count", F.lit(0)), F.lit(1.0)), 4)
     return out.select("signature", "label", "count", "first_pos", F.col("few.text").alias("examples"), "regex", "groups", "matched", rate.alias("match_rate"), "declined", "variants").orderBy(F.desc("count"), "first_pos")

@@ -138,11 +138,11 @@ CLUSTER_LABELS = f"""SELECT CASE {_K} WHEN 0 THEN 'VOL(YEAR)' WHEN 1 THEN 'VOL:I
 CASE {_K} WHEN 0 THEN 'start_vol,start_year' WHEN 1 THEN 'start_vol,start_iss,start_year,start_month' WHEN 2 THEN 'start_year' WHEN 3 THEN 'start_vol,start_year' WHEN 4 THEN 'start_num' ELSE 'start_vol,end_vol,start_iss,start_year,start_month,end_year' END AS groups, COUNT(*) AS n FROM orders GROUP BY 1, 2"""
 
 
-def native_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shapes(spark, sf_dir).select("o_orderkey", patterns.simple_signature(F.col("text")).alias("signature"))
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.signed(_shapes(spark, sf_dir).select("o_orderkey", "text")).select("o_orderkey", "signature")
 
 
-NATIVE_SIGNATURE = f"SELECT o_orderkey, {_SIGNATURE} AS signature FROM orders"
+SIGNATURES = f"SELECT o_orderkey, {_SIGNATURE} AS signature FROM orders"
 
 
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,7 +518,7 @@ _ALL = (
     ("month_season_hold", month_season_hold, MONTH_SEASON_HOLD),
     ("cluster_counts", cluster_counts, CLUSTER_COUNTS),
     ("cluster_labels", cluster_labels, CLUSTER_LABELS),
-    ("native_signature", native_signature, NATIVE_SIGNATURE),
+    ("signatures", signatures, SIGNATURES),
     ("outcome_counts", outcome_counts, OUTCOME_COUNTS),
     ("review_index", review_index, REVIEW_INDEX),
     ("log_rows", log_rows, LOG_ROWS),

@@ -18,7 +18,8 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with what confirming decides and how their statements come out."""
-    s = _statements(spark, sf_dir).withColumn("signature", patterns.simple_signature(F.col("text")))
+    s = _statements(spark, sf_dir)
+    s = s.join(patterns.signed(s.select("text").distinct()), "text")
     found = patterns.clusters(s.select("text", F.col("o_orderkey").alias("pos")))
     return review.annotated(found, s).select("signature", F.col("count").alias("n"), "decides", "held", "to_check", "left_out", "unread", "belongs_in", "records")
 
