@@ -28,6 +28,11 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(package())
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt for costly work on each: adaptive execution would put them into few tasks for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seriate.functions import budget, dialects, fields, grammar, shape
 from seriate.functions.chronology import code_of, full_year
 from seriate.functions.schemas import PARSED
-from seriate.operators.code import arrow_map
+from seriate.operators.code import arrow_map, spread
 from seriate.operators.reading import arrow_schema, table_of, to_row
 
 MOST_PATTERNS, MOST_CHARS, MOST_EXAMPLES, MOST_PROBES = 200, 4000, 25, 200
@@ -95,7 +95,7 @@ def clusters(statements: DataFrame) -> DataFrame:
     """
     texts = statements.select(F.trim("text").alias("text"), "pos").where("text <> ''").groupBy("text").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     # dealt by text, so no signature is in one task; the three readers below share this shuffle
-    each = signed(texts).repartition("text")
+    each = signed(spread(texts, "text")).repartition("text")
     sums = arrow_map(each.select("signature", "text", "pos"), _summed, _CLUSTER)
     made = arrow_map(sums.repartition("signature"), _made, _MADE)
     counted = each.join(made.select("signature", "java"), "signature")
@@ -439,4 +439,4 @@ def apply(statements: DataFrame, patterns: list[Pattern], fallback: str = "parse
             yield from table_of([{"text": t, "source": s, "parsed": to_row(p)} for t, s, p in found], schema).to_batches()
 
     texts = statements.where("text IS NOT NULL").select("text").distinct()
-    return statements.join(arrow_map(texts, run, ddl), "text", "left")
+    return statements.join(arrow_map(spread(texts, "text"), run, ddl), "text", "left")

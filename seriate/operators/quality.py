@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriate.functions import fields, grammar, render
-from seriate.operators.code import arrow_map
+from seriate.operators.code import arrow_map, spread
 from seriate.operators.records import tagged
 
 # Holdings tags, which say nothing about who a record is, and unremarkable encoding levels.
@@ -97,7 +97,7 @@ def _audited(options: dict):
 
 def audit(statements: DataFrame, **options) -> DataFrame:
     """missing (numbers unaccounted for), trip (round trip outcome) and rendered of each distinct statement."""
-    return arrow_map(statements.where("text IS NOT NULL").select("text").distinct(), _audited(options), "text string, missing array<string>, trip string, rendered string")
+    return arrow_map(spread(statements.where("text IS NOT NULL").select("text").distinct(), "text"), _audited(options), "text string, missing array<string>, trip string, rendered string")
 
 
 def review(read: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from seriate.functions import fields, grammar
 from seriate.functions.schemas import CONVERTED, PARSED
-from seriate.operators.code import arrow_map
+from seriate.operators.code import arrow_map, spread
 
 #: Statement outcomes, the first that holds.
 OUTCOMES = ("elsewhere", "unread", "held", "to_check", "left_out", "noted", "clean")
@@ -91,7 +91,7 @@ def _as_struct(ddl: str) -> list[str]:
 def read_texts(texts: DataFrame, **options) -> DataFrame:
     """text, parsed, converted of each distinct text."""
     run, ddl = _reader(options)
-    return arrow_map(texts.select(F.col("text").cast("string").alias("text")).distinct(), run, ddl)
+    return arrow_map(spread(texts.select(F.col("text").cast("string").alias("text")).distinct(), "text"), run, ddl)
 
 
 def read_statements(statements: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from seriate.functions import fields
 from seriate.functions.schemas import FIELD, PARSED, RECORD_FIELDS, SETTINGS
-from seriate.operators.code import arrow_map
+from seriate.operators.code import arrow_map, spread
 from seriate.operators.reading import arrow_schema, converted_row, reader_of, table_of
 
 _LIGHT = "pattern array<struct<code: string, value: string>>, kinds array<string>, size int, loses boolean"
@@ -233,7 +233,7 @@ def convert_records(statements: DataFrame, existing: DataFrame | None = None, *,
     rows = rows.join(separate.select("record_index").distinct().withColumn("apart", F.lit(True)), "record_index", "left") if separate is not None else rows.withColumn("apart", F.lit(None).cast("boolean"))
     rows = rows.withColumn("case", F.xxhash64("existing", "settings"))
     run, ddl = _converter(library, fallback, options)
-    made = arrow_map(rows.select("text", "existing", "settings").distinct(), run, ddl).withColumn("case", F.xxhash64("existing", "settings")).drop("existing", "settings")
+    made = arrow_map(spread(rows.select("text", "existing", "settings").distinct(), "text"), run, ddl).withColumn("case", F.xxhash64("existing", "settings")).drop("existing", "settings")
     code = lambda f, c: F.get(F.filter(f["subfields"], lambda s: s["code"] == c), F.lit(0))["value"]
     old = F.coalesce("existing", F.array().cast(f"array<{FIELD}>"))
     taken = F.array_compact(F.transform(old, lambda f: F.trim(F.substring_index(code(f, "8"), ".", 1))))
