@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriate.operators.code import arrow_map
@@ -141,3 +141,20 @@ def edit_notes(edits: DataFrame, before: DataFrame) -> DataFrame:
     what = F.when(F.col("code") == "a", "the statement").when(F.col("code") == "z", "the public note").otherwise("the staff note")
     said = F.when(new == "", F.concat(F.lit("took away "), what, F.lit(": "), old)).when(old == "", F.concat(F.lit("added "), what, F.lit(": "), new)).otherwise(F.concat(F.lit("changed "), what, F.lit(" from "), old, F.lit(" to "), new))
     return rows.where(old != new).select("record_index", "field_index", said.alias("note"))
+
+
+def matched(statements: DataFrame, given: DataFrame) -> DataFrame:
+    """Texts as they come back from a person (record_index, nth, text) with the 866 that each stands for (field_index).
+
+    Each 866 is claimed once: the second of two equal texts stands for the second 866 that holds it. A text that no 866
+    holds, as it was changed, stands for none, and no field may be removed on its account.
+    """
+    order = lambda by: F.row_number().over(Window.partitionBy("record_index", "text").orderBy(by))
+    own = statements.select("record_index", F.trim("text").alias("text"), "field_index").withColumn("time", order("field_index"))
+    back = given.select("record_index", "nth", F.trim("text").alias("text")).withColumn("time", order("nth"))
+    return back.join(own, ["record_index", "text", "time"], "left").select("record_index", "nth", "text", "field_index")
+
+
+def records_with(statements: DataFrame) -> DataFrame:
+    """text, record_index: the records that hold each text, one row for each, however many there are."""
+    return statements.select("text", "record_index").distinct()

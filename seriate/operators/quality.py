@@ -100,6 +100,23 @@ def audit(statements: DataFrame, **options) -> DataFrame:
     return arrow_map(spread(statements.where("text IS NOT NULL").select("text").distinct(), "text"), _audited(options), "text string, missing array<string>, trip string, rendered string")
 
 
+def tallies(audited: DataFrame) -> DataFrame:
+    """One row: distinct statements, those of which nothing was written, those that lost a number without a word, and round trips by outcome."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    trips = [n(F.col("trip") == t, t.replace(" ", "_")) for t in ("same", "caption only", "drift", "not converted")]
+    return audited.agg(F.count("*").alias("statements"), n((F.size("missing") > 0) & (F.col("trip") != "not converted"), "silent"), *trips)
+
+
+def statuses(read: DataFrame, audited: DataFrame) -> DataFrame:
+    """text and status of each distinct statement: fail (nothing written), loss (a number is gone without a word), warn, ok.
+
+    read: text, converted; audited: as audit() gives it.
+    """
+    once = read.select("text", "converted").groupBy("text").agg(F.any_value("converted").alias("converted"))
+    status = F.when(F.col("converted.held"), "fail").when(F.size("missing") > 0, "loss").when(F.size("converted.warnings") > 0, "warn").otherwise("ok")
+    return once.join(audited.select("text", "missing"), "text").select("text", status.alias("status"))
+
+
 def review(read: DataFrame) -> DataFrame:
     """One row for each record: how its statements come out (read: with outcome, converted, parsed)."""
     n = lambda c: F.count_if(c).alias

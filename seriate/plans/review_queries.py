@@ -327,7 +327,43 @@ def cluster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLUSTER_VARIANTS = "SELECT 'VOL' AS label, '{\"VOL_CAP\": [\"volume\", \"vol.\", \"v.\"]}' AS variants, COUNT(*) AS n, 1.0::DOUBLE AS match_rate FROM orders"
 
-_ALL = tuple((f.__name__, f, globals()[f.__name__.upper()]) for f in (cluster_outcomes, to_look_at, pattern_partition, auto_confirm, outcome_totals, review_rows, review_filters, file_counts, full_log, batch_rebuild, records_edited, edit_notes, picked_records, notation_notes, record_notes, level_conflicts, same_statements, record_settings, settings_applied, corpus_outcomes, uncaptioned, pattern_preview, sources_counted, cluster_variants))
+
+
+def statements_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts given back in reverse order, one in five of them changed."""
+    s = _shapes(spark, sf_dir).select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").alias("field_index"), F.concat(F.lit("v."), (F.col("o_orderkey") % 3).cast("string")).alias("text"))
+    given = s.select("record_index", (-F.col("field_index")).alias("nth"), F.when(F.col("field_index") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.concat(F.lit(" "), "text")).alias("text"))
+    return decisions.matched(s, given).select("record_index", "nth", "text", "field_index")
+
+
+STATEMENTS_MATCHED = """WITH s AS (SELECT o_custkey AS r, o_orderkey AS f, 'v.' || o_orderkey % 3 AS text FROM orders), o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY r, text ORDER BY f) AS n FROM s),
+g AS (SELECT r, -f AS nth, CASE WHEN f % 5 = 0 THEN text || 'x' ELSE text END AS text FROM s), h AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY r, text ORDER BY nth) AS n FROM g)
+SELECT h.r AS record_index, h.nth, h.text, o.f AS field_index FROM h LEFT JOIN o ON h.r = o.r AND h.text = o.text AND h.n = o.n"""
+
+
+def audit_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.tallies(quality.audit(_shapes(spark, sf_dir)))
+
+
+AUDIT_TALLY = f"WITH {_DATED}, t AS (SELECT DISTINCT {_SHAPE_TEXT} AS text, {_K} AS k FROM d) SELECT COUNT(*) AS statements, 0::BIGINT AS silent, COUNT(*) FILTER (k < 3) AS same, COUNT(*) FILTER (k = 5) AS caption_only, 0::BIGINT AS drift, COUNT(*) FILTER (k IN (3, 4)) AS not_converted FROM t"
+
+
+def corpus_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _shapes(spark, sf_dir)
+    return quality.statuses(reading.read_statements(s), quality.audit(s))
+
+
+CORPUS_STATUSES = f"WITH {_DATED} SELECT DISTINCT {_SHAPE_TEXT} AS text, CASE {_K} WHEN 3 THEN 'fail' WHEN 4 THEN 'fail' WHEN 5 THEN 'warn' ELSE 'ok' END AS status FROM d"
+
+
+def texts_in_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _shapes(spark, sf_dir).withColumnRenamed("o_custkey", "record_index")
+    return decisions.records_with(s).groupBy("text").agg(F.count("*").alias("records"), F.sum("record_index").alias("total"))
+
+
+TEXTS_IN_RECORDS = f"WITH {_DATED}, t AS (SELECT DISTINCT {_SHAPE_TEXT} AS text, o_custkey FROM d) SELECT text, COUNT(*) AS records, SUM(o_custkey)::BIGINT AS total FROM t GROUP BY text"
+
+_ALL = tuple((f.__name__, f, globals()[f.__name__.upper()]) for f in (cluster_outcomes, to_look_at, pattern_partition, auto_confirm, outcome_totals, review_rows, review_filters, file_counts, full_log, batch_rebuild, records_edited, edit_notes, picked_records, notation_notes, record_notes, level_conflicts, same_statements, record_settings, settings_applied, corpus_outcomes, uncaptioned, pattern_preview, sources_counted, cluster_variants, statements_matched, audit_tally, corpus_statuses, texts_in_records))
 QUERIES = {name: f for name, f, _ in _ALL}
 ORACLES = {name: sql for name, _, sql in _ALL}
 
