@@ -7,14 +7,18 @@ its own bucket and perturbed ones, in the order in which they are estimated to h
 distances to the interval borders are ranked, and sets of perturbations of ranks come by their expected sum of
 squares. Candidates of all tables are merged and ranked by the exact product of the original vectors.
 
-The number of probes is fitted on a bounded sample (SAMPLE vectors, SAMPLE_QUERIES of them as queries) to
-TARGET recall; where MOST_PROBES don't reach it, fewer hash functions are taken, and at last none, which is a scan
-of all. Everything is indexed. A bucket with more than HOT vectors is cut into parts, and a query that
-visits it visits all of them. Recall against brute force is in the tests and the README.
+The number of hash functions, the width of their intervals and the number of probes are fitted on a bounded sample
+(SAMPLE vectors, SAMPLE_QUERIES of them as queries): of those that reach TARGET recall, the ones that visit the
+smallest share of all vectors; where none does, there is one bucket, which is a scan of all. So the target is
+met whatever the size, at the price of a larger share. Everything is indexed. A bucket with more than HOT vectors is
+cut into parts, and a query that visits it visits all of them. Buckets are put together into groups of some GROUP
+vectors; a group's queries stream past it, so their number doesn't matter. Recall against brute force is in the tests
+and the README.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part; ties go
-to the smaller vec_id; rows with the same vec_id never answer each other and count once; vectors of different
-lengths never meet; an empty table gives no rows; only vec_id and embedding are read.
+to the smaller vec_id; rows with the same vec_id never answer each other and count once, with their highest score; of
+several vectors of one query id the one with the least hash is asked; vectors of different lengths never meet; an
+empty table gives no rows; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriate.llm.common import arrow_map, mixed, stored, with_hint
-from seriate.llm.vectors import best, matrix, top, usable
+from seriate.llm.vectors import best, matrix, once, one_each, streamed, top, usable
 
 K = 20
 TABLES = 4
-#: Interval width, in standard deviations of the projections.
-WIDTH = 1.5
+#: Interval widths to choose from, in standard deviations of the projections.
+WIDTHS = (1.5, 2.5, 4.0)
 #: Vectors that a bucket should hold, about.
 BUCKET = 1024
 TARGET = 0.97
@@ -72,7 +76,9 @@ class Index:
     norm: float
     tables: int = TABLES
     probes: int = 1
-    width: float = WIDTH
+    width: float = WIDTHS[0]
+    recall: float = 1.0
+    share: float = 1.0
 
     def functions(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng((SEED, dim, self.hashes))
@@ -114,38 +120,46 @@ class Index:
         return self.cells(out, v.shape[1])
 
 
-def _reached(index: Index, sample: np.ndarray, asked: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-    """Share of the neighbours near (positions in sample) of the asked ones that each number of probes finds."""
+def _reached(index: Index, sample: np.ndarray, asked: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each number of probes: the share of the neighbours near (positions in sample) of the asked ones that it finds, and the share of the sample that it visits."""
     cells, visits = index.base(sample), index.visited(sample[asked], most)
-    # the first probe that reaches each neighbour, in any table
-    first = np.full(near.shape, most)
+    # the first probe that reaches each vector, in any table
+    first = np.full((len(asked), len(sample)), most, np.int32)
     for t in range(index.tables):
+        names, back = np.unique(cells[t], return_inverse=True)
         for i in range(len(asked)):
-            hit = visits[t, i][:, None] == cells[t, near[i]][None, :]
-            first[i] = np.minimum(first[i], np.where(hit.any(0), hit.argmax(0), most))
-    return np.cumsum(np.bincount(first.ravel(), minlength=most + 1)[:most]) / first.size
+            at = np.searchsorted(names, visits[t, i])
+            hit = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == visits[t, i])[::-1]
+            probe = np.full(len(names), most, np.int32)
+            probe[at[hit]] = hit  # the least probe of a bucket is written last
+            np.minimum(first[i], probe[back], out=first[i])
+    found = np.take_along_axis(first, near, 1)
+    return tuple(np.cumsum(np.bincount(x.ravel(), minlength=most + 1)[:most]) / x.size for x in (found, first))
 
 
 def fitted(sample: np.ndarray, rows: int, norm: float, k: int = K) -> Index:
-    """The most hash functions, and the least number of probes, that find TARGET of the sample's own neighbours."""
+    """The index that finds TARGET of the sample's own neighbours and visits the least share of the sample."""
     # an interval of 1.5 deviations tells about 1.5 bits
-    index = Index(hashes=int(np.clip(np.ceil(np.log2(max(2, rows / BUCKET)) / 1.5), 2, 24)), norm=norm)
+    most_hashes = int(np.clip(np.ceil(np.log2(max(2, rows / BUCKET)) / 1.5), 2, 24))
     if len(sample) <= 2:
-        return index
+        return Index(hashes=most_hashes, norm=norm)
     asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
     s = sample[asked] @ sample.T
     s[np.arange(len(asked)), asked] = -np.inf
     near = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
-    while index.hashes:
-        most = min(MOST_PROBES, 3**index.hashes)
-        reached = _reached(index, sample, asked, near, most)
-        if reached[-1] >= TARGET:
-            index.probes = int(np.searchsorted(reached, TARGET)) + 1
-            return index
-        index.hashes -= 1
-    # no function serves: one bucket holds all vectors, and the search is exact
-    index.tables = index.probes = 1
-    return index
+    chosen = Index(hashes=0, norm=norm, tables=1)  # one bucket holds all vectors, and the search is exact
+    for width in WIDTHS:
+        for hashes in range(most_hashes, 1, -1):
+            index = Index(hashes=hashes, norm=norm, width=width)
+            recall, share = _reached(index, sample, asked, near, min(MOST_PROBES, 3**hashes))
+            if recall[-1] < TARGET:
+                continue
+            probes = int(np.searchsorted(recall, TARGET)) + 1
+            if share[probes - 1] < chosen.share:
+                index.probes, index.recall, index.share = probes, float(recall[probes - 1]), float(share[probes - 1])
+                chosen = index
+            break  # fewer functions visit more
+    return chosen
 
 
 def _by_dim(b: pa.RecordBatch, index: Index, query: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,7 +170,7 @@ def _by_dim(b: pa.RecordBatch, index: Index, query: bool) -> Iterator[tuple[np.n
         yield rows, (index.visited(v) if query else index.base(v))
 
 
-def _hashed(index: Index, query: bool):
+def _hashed(index: Index, query: bool, with_vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), 128 if query else 10_000):
@@ -166,113 +180,126 @@ def _hashed(index: Index, query: bool):
                     if query:
                         own = np.broadcast_to(ids[None, :, None], cells.shape)
                         yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(own.ravel())], ["cell", "query_id"])
-                    else:
+                    elif with_vectors:
                         for t in range(len(cells)):
                             yield pa.RecordBatch.from_arrays([pa.array(cells[t]), pa.array(ids), b["v"].take(pa.array(rows))], ["cell", "vec_id", "v"])
+                    else:
+                        names, n = np.unique(cells, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], ["cell", "n"])
 
     return run
 
 
-class _Best:
-    """The best candidates of each query so far; what can't be among them any more is dropped at once."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.floor, self.rows, self.size = k, np.full(queries, -np.inf), [], 0
-
-    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
-        self.rows.append((query, vec, score))
-        self.size += len(query)
-        if self.size > 400_000:
-            self.settle()
+@dataclass
+class _Group:
+    """A group's vectors, of one length, in the order of their buckets."""
+
+    cells: np.ndarray
+    ids: np.ndarray
+    v: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    longest: float
+    #: Whether no bucket holds an id twice.
+    unique: bool
+
+
+def _grouped(table: pa.Table) -> dict[int, _Group]:
+    """The vectors of a group by their length."""
+    table = table.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
+    dims, out = np.array(pc.list_value_length(table["v"])), {}
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        cells, v = table["cell"].to_numpy()[rows], matrix(table["v"].take(pa.array(rows)))
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        ids = table["vec_id"].to_numpy()[rows]  # sorted within their bucket
+        unique = not ((cells[1:] == cells[:-1]) & (ids[1:] == ids[:-1])).any()
+        out[dim] = _Group(cells, ids, v, starts, np.r_[starts[1:], len(cells)], float(np.sqrt((v * v).sum(1).max())), unique)
+    return out
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        query, vec, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
-        o = np.lexsort((-score, vec, query))  # a vector may come from several tables
-        o = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (vec[o][1:] != vec[o][:-1])]]
-        o = o[top(query[o], vec[o], score[o], self.k)]
-        query, vec, score = query[o], vec[o], score[o]
-        full = np.bincount(query, minlength=len(self.floor)) >= self.k
-        least = np.full(len(self.floor), np.inf)
-        np.minimum.at(least, query, score)
-        self.floor[full] = least[full]
-        self.rows, self.size = [(query, vec, score)], len(query)
-        return self.rows[0]
 
+#: A sum of products differs by less than this share of the vectors' lengths, in whatever order it is taken.
+SLACK = 1e-12
 
-def _ranked(k: int):
-    spare = k + 4
 
-    def run(base: pa.Table, asked: pa.Table) -> pa.Table:
+def _answers(k: int):
+    def run(groups: dict[int, _Group], asked: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        if len(base) and len(asked):
-            base = base.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
-            cells, ids, dims = base["cell"].to_numpy(), base["vec_id"].to_numpy(), np.array(pc.list_value_length(base["v"]))
-            q_ids, q_dims = asked["query_id"].to_numpy(), np.array(pc.list_value_length(asked["v"]))
-            lists = asked["cells"].combine_chunks()
-            n = np.array(pc.list_value_length(lists))
-            visit, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            o = np.argsort(visit, kind="stable")
-            visit, who = visit[o], who[o]
-            for dim in np.unique(dims):
-                mine, theirs = np.flatnonzero(dims == dim), np.flatnonzero(q_dims == dim)
-                v, q = matrix(base["v"].take(pa.array(mine))), matrix(asked["v"].take(pa.array(theirs)))
-                place = np.full(len(q_ids), -1)
-                place[theirs] = np.arange(len(theirs))
-                best_ = _Best(len(theirs), spare)
-                # a number for each vector, in the order of ids, so that ties go to the smaller
-                bits = (v.view(np.uint64) * (np.arange(dim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(1)
-                o = np.lexsort((bits, ids[mine]))
-                new = np.r_[False, (np.diff(ids[mine][o]) != 0) | (bits[o][1:] != bits[o][:-1])]
-                number = np.empty(len(o), np.int64)
-                number[o] = np.cumsum(new)
-                one = np.zeros(number.max() + 1, np.int64)
-                one[number] = np.arange(len(mine))
-                start = np.flatnonzero(np.r_[True, cells[mine][1:] != cells[mine][:-1]])
-                for s, e in zip(start, np.r_[start[1:], len(mine)], strict=True):
-                    lo, hi = (np.searchsorted(visit, cells[mine[s]], side) for side in ("left", "right"))
-                    rows = place[who[lo:hi]]
-                    rows = np.unique(rows[rows >= 0])
-                    for i in range(0, len(rows), 512):
-                        r = rows[i : i + 512]
-                        score = np.round(q[r] @ v[s:e].T, 12)
-                        near = score >= best_.floor[r][:, None]
-                        near &= q_ids[theirs[r]][:, None] != ids[mine[s:e]][None, :]
-                        a, b = np.nonzero(near)
-                        best_.add(r[a], number[s + b], score[a, b])
-                query, at, _ = best_.settle()
-                at = one[at]
-                # sums in one order whatever the batch, so that equal vectors tie
-                exact = np.einsum("nd,nd->n", q[query], v[at])
-                for x, y in zip(out, (q_ids[theirs[query]], ids[mine[at]], exact), strict=True):
-                    x.append(y)
-        query, vec, score = (np.concatenate(x) for x in out)
-        o = np.lexsort((-score, vec, query))
-        o = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (vec[o][1:] != vec[o][:-1])]] if len(o) else o
-        keep = o[top(query[o], vec[o], score[o], k)]
-        return pa.table({"query_id": query[keep], "vec_id": vec[keep], "score": score[keep]})
+        dims = np.array(pc.list_value_length(asked["qv"]))
+        for dim, group in groups.items():
+            mine = np.flatnonzero(dims == dim)
+            for i in range(0, len(mine), 1024):
+                rows = pa.array(mine[i : i + 1024])
+                found = _nearest(group, asked["query_id"].take(rows).to_numpy(), matrix(asked["qv"].take(rows)), asked["cells"].take(rows), k)
+                for o, x in zip(out, found, strict=True):
+                    o.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], [c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
 
+def _nearest(g: _Group, ids: np.ndarray, q: np.ndarray, cells: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of the k nearest that each query meets in the buckets that it visits."""
+    n = np.array(pc.list_value_length(cells))
+    visit, who = cells.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+    o = np.argsort(visit, kind="stable")
+    visit, who = visit[o], who[o]
+    slack = SLACK * np.sqrt((q * q).sum(1)) * g.longest
+    floor, held, size = np.full(len(q), -np.inf), [], 0
+
+    def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, vec, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        o = once(row, vec, score)  # a vector comes from several buckets, an id from several rows
+        o = o[top(row[o], vec[o], score[o], k)]
+        row, vec, score = row[o], vec[o], score[o]
+        full = np.bincount(row, minlength=len(floor)) >= k
+        least = np.full(len(floor), np.inf)
+        np.minimum.at(least, row, score)
+        floor[full] = np.maximum(floor[full], least[full])
+        return row, vec, score
+
+    for s, e in zip(g.starts.tolist(), g.ends.tolist(), strict=True):
+        lo, hi = np.searchsorted(visit, [g.cells[s], g.cells[s] + 1]) if g.cells[s] < np.iinfo(np.int64).max else (np.searchsorted(visit, g.cells[s]), len(visit))
+        rows = np.unique(who[lo:hi])
+        for i in range(0, len(rows), 256):
+            for at in range(s, e, 4096):
+                r, upto = rows[i : i + 256], min(e, at + 4096)
+                score = q[r] @ g.v[at:upto].T
+                score[ids[r][:, None] == g.ids[at:upto][None, :]] = -np.inf
+                if upto - at > 2 * k and g.unique:
+                    # what isn't among the chunk's own k highest, or as high, can't be among all
+                    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+                    floor[r] = np.maximum(floor[r], kth - slack[r])
+                a, b = np.nonzero((score >= (floor[r] - slack[r])[:, None]) & (score > -np.inf))
+                # in one order whatever the batch, so that equal vectors tie
+                held.append((r[a], g.ids[at + b], np.einsum("nd,nd->n", q[r[a]], g.v[at + b])))
+                size += len(a)
+                if size > 400_000:
+                    held = [settled()]
+                    size = len(held[0][0])
+    row, vec, score = settled()
+    return ids[row], vec, score
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, embedding), the k nearest that were found."""
-    base, asked = usable(vectors, zero=False), usable(queries, zero=False)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    base, asked = usable(vectors, zero=False), one_each(usable(queries, zero=False))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     facts = base.agg(F.count("*").alias("n"), F.max(norm).alias("norm")).first()
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     longest = max((len(r["v"]) for r in sample), default=0)
-    index = fitted(np.array([r["v"] for r in sample if len(r["v"]) == longest]), facts["n"], facts["norm"] or 1.0, k)
-    rows = stored(arrow_map(base, _hashed(index, False), "cell long, vec_id long, v array<double>"), "ann-tables")
-    parts = stored(rows.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "ann-hot")
+    index = fitted(np.array([r["v"] for r in sample if len(r["v"]) == longest], float), facts["n"], facts["norm"] or 1.0, k)
+    counts = arrow_map(base, _hashed(index, False, with_vectors=False), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    parts = stored(counts.where(F.col("n") > HOT).select("cell", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "ann-hot")
     hot = with_hint(parts, 100_000)
     groups = max(1, -(-facts["n"] * index.tables // GROUP))
-    part = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
+    # rows of one id are dealt by what they hold, too
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
+    kind = base.schema["v"].dataType.simpleString()
+    rows = arrow_map(base, _hashed(index, False), f"cell long, vec_id long, v {kind}")
     dealt = rows.join(hot, "cell", "left").select(F.pmod(F.xxhash64("cell", part), F.lit(groups)).alias("g"), "cell", "vec_id", "v")
     visits = arrow_map(asked, _hashed(index, True), "cell long, query_id long").join(hot, "cell", "left")
     visits = visits.select("query_id", "cell", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     visits = visits.groupBy("query_id", F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("g")).agg(F.collect_set("cell").alias("cells"))
-    visits = visits.join(asked.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"]), "query_id")
-    found = dealt.groupBy("g").cogroup(visits.groupBy("g")).applyInArrow(_ranked(k), _FOUND)
-    return best(found, k, "double")
+    visits = visits.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    return best(streamed(dealt, visits, ["g"], _grouped, _answers(k), _FOUND), k, "double")
