@@ -119,6 +119,67 @@ def test_ann_without_a_fitting_hash_is_exact(spark, monkeypatch):
         assert [r["vec_id"] for r in got if r["query_id"] == q] == np.argsort(-s, kind="stable")[:20].tolist()
 
 
+@pytest.mark.parametrize("rows", [5_000_000, 50_000_000])
+def test_ann_fit_holds_at_any_assumed_size(rows):
+    rng = np.random.default_rng(6)
+    flat = rng.normal(size=(2000, 64))  # without any structure, where hashing helps least
+    centre = rng.normal(size=(40, 64)) * 2
+    lumpy = centre[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 64)) * 0.3
+    shares = []
+    for v in (flat, lumpy):
+        v = v / np.sqrt((v * v).sum(1))[:, None]
+        index = ann.fitted(v, rows, 1.0)
+        assert index.recall >= 0.9 and 0 < index.share <= 1
+        s = v[:60] @ v.T
+        s[np.arange(60), np.arange(60)] = -np.inf
+        cells, visits = index.base(v), index.visited(v[:60])
+        hit = sum(any(cells[t, j] in visits[t, i] for t in range(index.tables)) for i in range(60) for j in np.argsort(-s[i])[:20])
+        assert hit / (60 * 20) >= 0.9
+        shares.append(index.share)
+    assert shares[1] < 0.2 and shares[1] < shares[0]
+
+
+def test_ann_of_repeated_ids_and_clashing_names(spark):
+    v = np.random.default_rng(8).normal(size=(200, 6)).astype(np.float32)
+    again = [(i, [float(x) for x in v[i] * f], 0) for i in range(200) for f in (0.5, 1.0)]
+    t = table(spark, v, again)
+    named = t.selectExpr("*", "1 AS v", "2 AS cell", "3 AS query_id", "4 AS g", "5 AS n", "6 AS score", "7 AS dim", "8 AS side")
+    got = ann.search(named, table(spark, v).where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    v = v.astype(float)
+    for q in range(0, 200, 20):
+        mine = [r["vec_id"] for r in got if r["query_id"] == q]
+        assert len(mine) == len(set(mine)) == 20 and q not in mine
+        assert all(r["score"] == pytest.approx(max(v[q] @ v[r["vec_id"]], v[q] @ (v[r["vec_id"]] * 0.5)), abs=1e-6) for r in got if r["query_id"] == q)
+    top = topk.search(named, named.where("vec_id % 100 = 0")).collect()
+    assert {r["query_id"] for r in top} == {0, 100} and len(top) == 20
+
+
+def test_ann_orders_large_equal_vectors_by_id(spark):
+    v = np.random.default_rng(9).normal(size=6) * 1e5
+    t = spark.createDataFrame([(i, [float(x) for x in v]) for i in range(60)] + [(100, [float(x) for x in v * 0.9])], "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in ann.search(t, t.where("vec_id = 40")).orderBy("rank").collect()]
+    assert got == list(range(20))
+
+
+def test_topk_scores_beyond_64_bits_are_the_nearest_number(spark):
+    t = spark.createDataFrame([(0, [1.0e9, 0.0]), (1, [1.0e9, 1.0]), (2, [-1.0e9, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.search(t, t.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**63 - 1), (3, 1024 * 1024 * 10**9), (2, -(2**63))]
+
+
+def test_topk_over_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST", 50)
+    monkeypatch.setattr(topk, "MOST", 60)
+    rng = np.random.default_rng(10)
+    v = np.concatenate([rng.normal(size=(500, 8)), np.ones((100, 8)) * 3]).astype(np.float32)
+    t = table(spark, v)
+    got = topk.search(t, t.where("vec_id % 25 = 0")).orderBy("query_id", "rank").collect()
+    q = np.floor(1024 * v.astype(float)).astype(int)
+    for i in range(0, 600, 25):
+        s = q @ q[i]
+        assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == i] == [(j, s[j]) for j in sorted(set(range(600)) - {i}, key=lambda j: (-s[j], j))[:10]]
+
+
 def test_perturbations_come_in_order():
     sets = ann.perturbations(4, 81)
     assert sets[0] == () and sets[1] == (1,) and len(set(sets)) == len(sets) == 81
