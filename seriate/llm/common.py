@@ -75,8 +75,25 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root()
 
 
+#: Working tables made since each open working() began.
+_WORKING: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/seriate-llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/seriate-llm/{name}-{uuid.uuid4().hex[:12]}"
+    if _WORKING:
+        _WORKING[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession):
+    """Deletes at its end the working tables that were made in it: what is to stay must be written elsewhere by then."""
+    _WORKING.append([])
+    try:
+        yield
+    finally:
+        dropped(spark, *_WORKING.pop())
 
 
 def stored(df: DataFrame, name: str, path: str | None = None, partition_by: str | None = None) -> DataFrame:
@@ -291,59 +308,65 @@ def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[st], np.add.reduceat(values[o], st)
 
 
-def blob_batches(buckets: np.ndarray, columns: list[np.ndarray], names: list[str], n: int):
-    """One Arrow row for each bucket that has values: the bucket and each column's values as little-endian bytes."""
-    o = np.argsort(buckets, kind="stable")
+def blob_batches(buckets: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    """One Arrow row for each bucket that has values: the bucket, and the columns' values as planes of bytes."""
+    o = np.argsort(buckets.astype(np.uint16) if n <= 1 << 16 else buckets, kind="stable")
     b = buckets[o]
-    ends = np.searchsorted(b, np.arange(n + 1))
-    full = np.flatnonzero(ends[1:] > ends[:-1])
-    if not len(full):
-        return
-    out = [pa.array(full.astype(np.int32))]
-    for c in columns:
-        c = c[o]
-        out.append(pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
-    yield pa.RecordBatch.from_arrays(out, ["bucket", *names])
+    st = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, np.int64)
+    blobs = [squeezed([c[o[i:j]] for c in columns]) for i, j in zip(st, np.r_[st[1:], len(b)].astype(np.int64), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(b[st].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "values"])
 
 
-def joined(blobs: list[bytes], dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype)
+def by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each bucket of a task."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for bucket, blob in zip(b["bucket"].to_pylist(), b[column].to_pylist(), strict=True):
+            held.setdefault(bucket, []).append(blob)
+    for bucket in sorted(held):
+        yield bucket, held.pop(bucket)
+
+
+def together(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
+    """The columns of several blobs, one after the other."""
+    parts = [unsqueezed(b, kinds) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
 
 
 class Bitmap:
     """A Bloom filter of a fixed number of bits, cut into slices by the top bits of the key.
 
     Its size never depends on the data: a fuller filter lets more pass, and what passes is checked exactly
-    later, so no case is lost. Each slice is made by the one task that holds all keys of its bucket.
+    later, so no case is lost. Each slice is made by the one task that holds all keys of its bucket; the number of
+    slices, a power of two, grows with the data.
     """
 
-    SLICES = 256
-
-    def __init__(self, bits: int = 1 << 28, data: bytes | None = None):
-        self.bits, self.data = bits, data
+    def __init__(self, slices: int = 256, bits: int = 1 << 28):
+        self.slices, self.bits = slices, bits
+        self.shift, self.each = np.uint64(65 - slices.bit_length()), max(8, bits // slices)
 
     def slice_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(56)).astype(np.int64)
+        return (keys >> self.shift).astype(np.int64)
 
     def positions(self, keys: np.ndarray, probes: int) -> list[np.ndarray]:
         """Bit positions in the key's own slice."""
-        per = np.uint64(self.bits // self.SLICES - 1)
+        per = np.uint64(self.each - 1)
         a, b = keys & np.uint64(0xFFFFFFFF), ((keys >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
         return [(a + np.uint64(i) * b) & per for i in range(probes)]
 
     def made(self, keys: np.ndarray, probes: int) -> bytes:
         """The slice with these keys, which all belong to it."""
-        flat = np.zeros(self.bits // self.SLICES, np.uint8)
+        flat = np.zeros(self.each, np.uint8)
         for p in self.positions(keys, probes):
             flat[p] = 1
         return np.packbits(flat, bitorder="little").tobytes()
 
     def whole(self, slices: dict[int, bytes]) -> bytes:
-        empty = bytes(self.bits // self.SLICES // 8)
-        return b"".join(slices.get(i, empty) for i in range(self.SLICES))
+        empty = bytes(self.each // 8)
+        return b"".join(slices.get(i, empty) for i in range(self.slices))
 
     def has(self, array: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
-        base = self.slice_of(keys) * (self.bits // self.SLICES // 8)
+        base = self.slice_of(keys) * (self.each // 8)
         ok = np.ones(len(keys), bool)
         for p in self.positions(keys, probes):
             ok &= (array[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1

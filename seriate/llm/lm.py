@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriate.llm.common import arrow_map, buckets_for, bytes_of, dropped, mapped, mixed, new_path, saved, squeezed, steps, stored, sums_by, text_slices, unsqueezed, word_hashes
+from seriate.llm.common import arrow_map, buckets_for, by_bucket, bytes_of, dropped, mapped, mixed, new_path, saved, squeezed, steps, stored, sums_by, text_slices, unsqueezed, word_hashes
 
 DISCOUNT = 0.7
 #: Shards of the words and of the trie, at least; the first bits of a hash name one.
@@ -369,21 +369,11 @@ def _gather(bits: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each bucket of a task."""
-    held: dict[int, list[bytes]] = {}
-    for b in batches:
-        for bucket, blob in zip(b["bucket"].to_pylist(), b[column].to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(blob)
-    for bucket in sorted(held):
-        yield bucket, held.pop(bucket)
-
-
 def _word_file(folder: str, bits: int):
     """Writes shards of words: hashes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in _by_bucket(batches, "words"):
+        for bucket, blobs in by_bucket(batches, "words"):
             parts = [unsqueezed(x, [np.uint64, np.uint32]) for x in blobs]
             h, n = sums_by(np.concatenate([np.cumsum(x) for x, _ in parts]), np.concatenate([y for _, y in parts]).astype(np.int64))
             values, codes = np.unique(n, return_inverse=True)
@@ -465,7 +455,7 @@ def _trie_file(model: Model):
         yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(out[0]), pa.int32()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "bucket", "followers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in _by_bucket(batches, "grams"):
+        for bucket, blobs in by_bucket(batches, "grams"):
             yield from write(bucket, blobs)
 
     return run
@@ -475,7 +465,7 @@ def _weight_file(model: Model):
     """Writes shards of the words' back-off weights: what the discounts of their successors leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in _by_bucket(batches, "followers"):
+        for bucket, blobs in by_bucket(batches, "followers"):
             n = np.zeros(int(model.bases[bucket + 1] - model.bases[bucket]), np.int64)
             for blob in blobs:
                 at, more = unsqueezed(blob, [np.uint64, np.uint64])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriate.llm.common import Bitmap, arrow_map, blob_batches, bytes_of, joined, mixed, rolled, settle, stored, text_slices, word_hashes
+from seriate.llm.common import Bitmap, arrow_map, blob_batches, buckets_for, by_bucket, bytes_of, mixed, rolled, settle, stored, text_slices, together, word_hashes
 
 WINDOW = 13
 ANCHOR = 7
@@ -38,6 +38,8 @@ BLOCK = 1024
 PROBES = 3
 #: Windows that a task gathers before it sums them up.
 GATHERED = 2_000_000
+#: Bytes of text to a bucket of what is gathered, by Spark's estimate: as many buckets as that makes, 256 at least.
+BUCKET_BYTES = 1 << 26
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RUNS = "doc_id long, t long, start int, words binary"
 _EDGES = "a long, b int, prev int, next int, doc long, pos int, n long"
@@ -61,11 +63,19 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
-    """The minimizer of each window."""
-    return _least(mixed(rolled(words, ANCHOR, _B1)), WINDOW - ANCHOR + 1)
+    """The minimizer of each window: 48 bits of it are enough for what only may repeat."""
+    return _least(mixed(rolled(words, ANCHOR, _B1)), WINDOW - ANCHOR + 1) >> np.uint64(16)
 
 
-def _packed(chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _keys(minimizers: np.ndarray) -> np.ndarray:
+    """64 bits for the bitmap, with the minimizer's on top."""
+    return (minimizers << np.uint64(16)) | (mixed(minimizers) & np.uint64(0xFFFF))
+
+
+_MINIMIZERS = [np.uint64, np.int64, np.int64]
+
+
+def _packed(chunks: list[tuple[np.ndarray, np.ndarray]], slices: int) -> Iterator[pa.RecordBatch]:
     """Of gathered minimizers and their documents: each with its least and greatest document."""
     h, d = (np.concatenate(x) for x in zip(*chunks, strict=True))
     o = np.argsort(h, kind="stable")
@@ -73,57 +83,56 @@ def _packed(chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBa
     st = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     h, lo, hi = h[st], np.minimum.reduceat(d, st), np.maximum.reduceat(d, st)
     o = np.argsort(lo, kind="stable")  # close values compress
-    yield from blob_batches(Bitmap().slice_of(h[o]), [h[o], lo[o], (hi - lo)[o]], ["h", "lo", "more"], Bitmap.SLICES)
+    h, lo, hi = h[o], lo[o], hi[o]
+    yield from blob_batches(Bitmap(slices).slice_of(_keys(h)), [h, lo, hi - lo], slices)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for b in batches:
-        for doc, words in zip(b["doc_id"].to_pylist(), hashed(bytes_of(b["text"])), strict=True):
-            if doc is None or len(words) < WINDOW:
-                continue
-            m = anchors(words)
-            m = m[np.r_[True, m[1:] != m[:-1]]]
-            held.append((m, np.full(len(m), doc, np.int64)))
-            size += len(m)
-            if size > GATHERED:
-                yield from _packed(held)
-                held, size = [], 0
-    if held:
-        yield from _packed(held)
-
-
-def _slices(names: list[str], pick):
+def _gather(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for doc, words in zip(b["doc_id"].to_pylist(), hashed(bytes_of(b["text"])), strict=True):
+                if doc is None or len(words) < WINDOW:
+                    continue
+                m = anchors(words)
+                m = m[np.r_[True, m[1:] != m[:-1]]]
+                held.append((m, np.full(len(m), doc, np.int64)))
+                size += len(m)
+                if size > GATHERED:
+                    yield from _packed(held, slices)
+                    held, size = [], 0
+        if held:
+            yield from _packed(held, slices)
+
+    return run
+
+
+def _slices(slices: int, pick):
     """Of all rows of a bucket, the bitmap's slice with the keys that pick chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[bytes]]] = {}
-        for b in batches:
-            for bucket, *blobs in zip(b["bucket"].to_pylist(), *(b[n].to_pylist() for n in names), strict=True):
-                held.setdefault(bucket, []).append(blobs)
-        for bucket, rows in held.items():
-            keys = pick(*(list(x) for x in zip(*rows, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([Bitmap().made(keys, PROBES)], pa.binary())], ["bucket", "bits"])
+        for bucket, blobs in by_bucket(batches, "values"):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([Bitmap(slices).made(pick(blobs), PROBES)], pa.binary())], ["bucket", "bits"])
 
     return run
 
 
-def _several(h: list[bytes], lo: list[bytes], more: list[bytes]) -> np.ndarray:
-    """Minimizers of more than one document."""
-    h, lo, more = joined(h, np.uint64), joined(lo, np.int64), joined(more, np.int64)
+def _several(blobs: list[bytes]) -> np.ndarray:
+    """Keys of the minimizers of more than one document."""
+    h, lo, more = together(blobs, _MINIMIZERS)
     o = np.argsort(h, kind="stable")
     h, lo, hi = h[o], lo[o], (lo + more)[o]
     st = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return h[st][np.minimum.reduceat(lo, st) != np.maximum.reduceat(hi, st)]
+    return _keys(h[st][np.minimum.reduceat(lo, st) != np.maximum.reduceat(hi, st)])
 
 
-def _bitmap(spark: SparkSession, rows: DataFrame, names: list[str], pick):
+def _bitmap(spark: SparkSession, rows: DataFrame, slices: int, pick):
     """The broadcast bitmap, whose size is fixed, of rows of blobs by bucket."""
-    found = arrow_map(rows.repartition("bucket"), _slices(names, pick), "bucket int, bits binary").collect()
-    return spark.sparkContext.broadcast(Bitmap().whole({r["bucket"]: bytes(r["bits"]) for r in found}))
+    found = arrow_map(rows.repartition("bucket"), _slices(slices, pick), "bucket int, bits binary").collect()
+    return spark.sparkContext.broadcast(Bitmap(slices).whole({r["bucket"]: bytes(r["bits"]) for r in found}))
 
 
-def _runs(bits):
+def _runs(bits, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(bits.value, np.uint8)
         for b in batches:
@@ -131,7 +140,7 @@ def _runs(bits):
             for doc, t, h in zip(b["doc_id"].to_pylist(), b["t"].to_pylist(), hashed(bytes_of(b["text"])), strict=True):
                 if doc is None or len(h) < WINDOW:
                     continue
-                ok = np.r_[False, Bitmap().has(flags, anchors(h), PROBES), False]
+                ok = np.r_[False, Bitmap(slices).has(flags, _keys(anchors(h)), PROBES), False]
                 starts, ends = np.flatnonzero(ok[1:] & ~ok[:-1]), np.flatnonzero(~ok[1:] & ok[:-1])
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     for o, v in zip(out, (doc, t, s, h[s : e + WINDOW - 1].tobytes()), strict=True):
@@ -164,37 +173,36 @@ def _summed(a, b, prev, nxt, doc, pos, n, more):
 _COLUMNS = {"a": np.uint64, "b": np.uint32, "prev": np.int32, "next": np.int32, "doc": np.int64, "pos": np.int32, "n": np.int64, "more": np.int64}
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(buckets: int):
     """Edges of each task, summed, as blobs by bucket."""
 
     def flush(held):
         rows = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
         o = np.lexsort((rows[5], rows[4]))
         rows = [x[o] for x in rows]
-        yield from blob_batches((rows[0] >> np.uint64(56)).astype(np.int64), rows, list(_COLUMNS), 256)
-
-    held, size = [], 0
-    for batch in batches:
-        for doc, start, words in zip(batch["doc_id"].to_pylist(), batch["start"].to_pylist(), batch["words"].to_pylist(), strict=True):
-            a, b = windows(words)
-            n, s, none = len(a), _short(a), np.zeros(1, np.int32)
-            held.append((a, b, np.r_[none, s[:-1]], np.r_[s[1:], none], np.full(n, doc, np.int64), np.arange(start, start + n, dtype=np.int32), np.ones(n, np.int64), np.zeros(n, np.int64)))
-            size += n
-            if size > GATHERED:
-                yield from flush(held)
-                held, size = [], 0
-    if held:
-        yield from flush(held)
+        yield from blob_batches((rows[0] >> np.uint64(65 - buckets.bit_length())).astype(np.int64), rows, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for doc, start, words in zip(batch["doc_id"].to_pylist(), batch["start"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                a, b = windows(words)
+                n, s, none = len(a), _short(a), np.zeros(1, np.int32)
+                held.append((a, b, np.r_[none, s[:-1]], np.r_[s[1:], none], np.full(n, doc, np.int64), np.arange(start, start + n, dtype=np.int32), np.ones(n, np.int64), np.zeros(n, np.int64)))
+                size += n
+                if size > GATHERED:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that start in more than one document, of whole buckets."""
-    held: dict[int, list[list[bytes]]] = {}
-    for b in batches:
-        for bucket, *blobs in zip(b["bucket"].to_pylist(), *(b[n].to_pylist() for n in _COLUMNS), strict=True):
-            held.setdefault(bucket, []).append(blobs)
-    for bucket in sorted(held):
-        rows = _summed(*(joined(list(x), kind) for x, kind in zip(zip(*held.pop(bucket), strict=True), _COLUMNS.values(), strict=True)))
+    for _, blobs in by_bucket(batches, "values"):
+        rows = _summed(*together(blobs, list(_COLUMNS.values())))
         several = rows[7] != 0
         a, b, prev, nxt, doc, pos, n, _ = (x[several] for x in rows)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int32), prev, nxt, doc, pos, n)], [c.split()[0] for c in _EDGES.split(", ")])
@@ -236,13 +244,16 @@ def _glued(spans: DataFrame) -> DataFrame:
     return spans.select("a", "b", "doc", "pos").join(whole, ["doc", "pos"])
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a = b["a"].to_numpy().view(np.uint64)
-        yield from blob_batches(Bitmap().slice_of(a), [a], ["h"], Bitmap.SLICES)
+def _heads(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = b["a"].to_numpy().view(np.uint64)
+            yield from blob_batches(Bitmap(slices).slice_of(a), [a], slices)
+
+    return run
 
 
-def _found(bits):
+def _found(bits, slices: int):
     """Where documents hold the first window of a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +262,7 @@ def _found(bits):
             out: list[list[np.ndarray]] = [[np.empty(0, x)] for x in (np.int64, np.int32, np.int64, np.int64, np.int32)]
             for doc, t, start, words in zip(*(batch[c].to_pylist() for c in ("doc_id", "t", "start", "words")), strict=True):
                 a, b = windows(words)
-                at = np.flatnonzero(Bitmap().has(flags, a, PROBES))
+                at = np.flatnonzero(Bitmap(slices).has(flags, a, PROBES))
                 for o, v in zip(out, (a[at].view(np.int64), b[at].view(np.int32), np.full(len(at), doc, np.int64), np.full(len(at), t, np.int64), (start + at).astype(np.int32)), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "doc_id", "t", "start"])
@@ -268,17 +279,18 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans, occurrences): each compacted path with its source (doc, pos, len in windows); each document that
     holds it (doc_id, t, the hash of the row's text, start, and the source)."""
     spark, rows = docs.sparkSession, _rows(docs)
-    bits = _bitmap(spark, arrow_map(rows.select("doc_id", "text"), _gather, "bucket int, h binary, lo binary, more binary"), ["h", "lo", "more"], _several)
-    runs = stored(arrow_map(rows, _runs(bits), _RUNS), "substr-runs")
+    n = buckets_for(rows, BUCKET_BYTES, 256)
+    bits = _bitmap(spark, arrow_map(rows.select("doc_id", "text"), _gather(n), "bucket int, values binary"), n, _several)
+    runs = stored(arrow_map(rows, _runs(bits, n), _RUNS), "substr-runs")
     bits.unpersist()
     settle(spark)
-    blobs = arrow_map(runs, _counted, "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
+    blobs = arrow_map(runs, _counted(n), "bucket int, values binary")
     edges = arrow_map(blobs.repartition("bucket"), _edges, _EDGES)
     parts = edges.repartition("doc", F.floor(F.col("pos") / BLOCK))
     spans = stored(_glued(stored(arrow_map(parts, _compacted, _SPANS), "substr-paths")), "substr-spans")
     settle(spark)
-    heads = _bitmap(spark, arrow_map(spans.select("a"), _heads, "bucket int, h binary"), ["h"], lambda h: joined(h, np.uint64))
-    starts = arrow_map(runs, _found(heads), "a long, b int, doc_id long, t long, start int")
+    heads = _bitmap(spark, arrow_map(spans.select("a"), _heads(n), "bucket int, values binary"), n, lambda blobs: together(blobs, [np.uint64])[0])
+    starts = arrow_map(runs, _found(heads, n), "a long, b int, doc_id long, t long, start int")
     return spans, starts.join(spans, ["a", "b"])
 
 
