@@ -66,7 +66,9 @@ def learned(docs: DataFrame) -> dict[str, bytes]:
         texts.setdefault(r["lang"], []).append(letters(r["text"]))
     whole = {lang: sum(map(len, parts)) + len(parts) - 1 for lang, parts in texts.items()}
     size = min(DICT_BYTES, max(LEAST_BYTES, min(whole.values(), default=0)))
-    return {lang: raw for lang, parts in sorted(texts.items()) if len(raw := _shared(parts, size)) >= 8}
+    made = {lang: _shared(parts, size) for lang, parts in sorted(texts.items())}
+    cut = max(LEAST_BYTES, min(map(len, made.values()), default=0))  # shares are rounded down
+    return {lang: raw[:cut] for lang, raw in made.items() if len(raw) >= 8}
 
 
 def _shared(parts: list[bytes], size: int) -> bytes:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriate.llm import ann, langid, lm, mixing, packing, simhash, store, substrings, topk, toxicity
-from seriate.llm.common import table
+from seriate.llm.common import new_path, stored, table, working
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +55,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_store, op3_simhash, op4_lm, op5_langid, op6_topk, op7_packing, op8_substrings, op9_toxicity, op10_mixing)}
+def _finished(query):
+    """The query's rows, written, so that its working tables can go."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_path(spark, query.__name__)
+        with working(spark):
+            return stored(query(spark, sf_dir), "", path)
+
+    return run
+
+
+QUERIES = {f.__name__: _finished(f) for f in (op1_ann, op2_store, op3_simhash, op4_lm, op5_langid, op6_topk, op7_packing, op8_substrings, op9_toxicity, op10_mixing)}
 ORACLES = {"op6_topk": topk.ORACLE_SQL, "op8_substrings": substrings.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

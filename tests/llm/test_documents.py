@@ -9,8 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriate.llm import components, langid, lm, mixing, packing, simhash, store, substrings, toxicity
@@ -74,8 +76,6 @@ def test_store_round_trip(docs, rows):
 
 
 def test_chunks_are_stored_once_and_damage_is_found(spark, docs):
-    from pyspark.sql import functions as F
-
     folder = store.write(docs.repartition(7), BYTE_BPE)
     blocks = spark.read.parquet(f"{folder}/objects").collect()
     keys = [r["keys"][i : i + 16] for r in blocks for i in range(0, len(r["keys"]), 16)]
@@ -418,3 +418,104 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (packing.pack(empty, WORD_BPE), store.stored_ids(empty, BYTE_BPE), simhash.near_duplicates(empty), substrings.dedup(empty), substrings.deduplicated(empty), mixing.mix(empty), mixing.mixed_documents(empty), langid.predict(empty), langid.accepted(empty), toxicity.score(empty, labels), lm.score(empty)):
         assert out.collect() == []
+
+
+# ---- odd tables -----------------------------------------------------------------------------------------
+
+
+NAMES = ["whole", "threshold", "target", "source_size", "b_source", "mix", "mix_u", "copies", "prefix", "need"]
+
+
+def test_mixing_keeps_columns_whatever_their_names(spark, docs, rows):
+    named = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(NAMES)])
+    got = mixing.mixed_documents(named)
+    assert got.columns == named.columns
+    plain = mixing.mixed_documents(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in plain.collect())
+
+
+def test_a_source_without_ids_still_meets_its_target(spark):
+    rng = random.Random(4)
+    rows = [(None, " ".join("w" for _ in range(rng.randint(5, 30))) + f" {i}", "en", "a", 1) for i in range(300)]
+    rows += [(None, "same words here", "en", "b", 1)] * 500 + [(7, f"other {i} text", "en", "c", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    for r in {(r["source_size"], r["target"]) for r in got}:
+        assert abs(taken[r[0]] - r[1]) <= 31
+    assert Counter(map(tuple, mixing.mix(docs.repartition(2)).collect())) == Counter(map(tuple, got))
+    copies = Counter(r["source"] for r in mixing.mixed_documents(docs).collect())
+    size = {"a": sum(len(r[1].split()) for r in rows if r[3] == "a"), "b": 1500, "c": 1200}
+    want = Counter({s: sum(r["copies"] for r in got if r["source_size"] == n) for s, n in size.items()})
+    assert copies == want
+
+
+def test_very_long_words_and_line_breaks(spark):
+    long = "x" * 400_000
+    rows = [(1, long), (2, long + " tail"), (3, f"{long}\u2003{long}"), (4, "\n".join(["line"] * 5000)), (5, " \u00a0 "), (6, "\x1c"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(map(tuple, substrings.dedup(docs).collect())) == kept([(i, t) for i, t in rows])
+    tok = tokenizer(WORD_BPE)
+    got = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs, WORD_BPE).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.near_duplicates(docs).collect()} == {i: fingerprint(t) for i, t in rows}
+    assert lm.score(docs).count() == langid.predict(docs).count() == len(rows)
+
+
+# ---- learned operators against plain definitions ----------------------------------------------------------
+
+
+def test_language_sizes_are_those_of_direct_compression(docs):
+    raw = langid.learned(docs)
+    assert len({len(x) for x in raw.values()}) == 1 and set(raw) == {"de", "en"}
+    classify = langid.Classifier(raw)
+    for text in ("ung schei Über 12 chch", "the, an: re?on", "x" * 9000):
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        for lang, size in zip(classify.langs, classify.sizes(text), strict=True):
+            d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            assert size == sum(len(own.compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE))
+
+
+def test_languages_that_tie_are_rejected():
+    same = b"one two three four five six seven"
+    classify = langid.Classifier({"a": same, "b": same}, margin=0.0)
+    lang, score, margin, rejected = classify("two three")
+    assert (lang, margin, rejected) == ("a", 0.0, True) and score == pytest.approx(0.5)
+
+
+def test_texts_of_several_languages_are_not_learned(spark):
+    shared = "gemeinsam " * 50
+    rows = [(i, f"{shared}" if i % 2 else f"own words of {lang} {i} " * 20, lang, "s", 1) for lang in ("aa", "bb") for i in range(40 * (lang == "bb"), 40 + 40 * (lang == "bb"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(b"gemeinsam" not in raw for raw in langid.learned(docs).values())
+
+
+@given(st.lists(st.lists(st.sampled_from([b"bad", b"worse", b"fine", b"well"]), max_size=4), max_size=6))
+@settings(deadline=None)
+def test_noisy_or_is_its_formula(bag):
+    model = (-3.0, {b"bad": 2.5, b"worse": 4.0})
+    text = b". ".join(b" ".join(s) for s in bag)
+    p = [1 / (1 + np.exp(3.0 - sum({b"bad": 2.5, b"worse": 4.0}.get(w, 0) for w in set(s)))) for s in bag if s]
+    score, offending = toxicity.scored(text, model)
+    assert score == pytest.approx(1 - np.prod([1 - x for x in p]) if p else 0, abs=1e-12)
+    assert offending == [i for i, x in enumerate(p) if x >= 0.5]
+
+
+def test_training_climbs_the_likelihood_of_the_noisy_or():
+    words = {b"bad": 0, b"fine": 1}
+    texts = [b"fine. fine", b"fine. bad", b"bad", b"fine"] * 30
+    labels = [0, 1, 1, 0] * 30
+    bags = [[[list(k), n] for k, n in toxicity.bag(t, words).items()] for t in texts]
+    bias, weights = toxicity.trained(bags, labels, 2, 0.5)
+    model = bias, dict(zip(words, weights, strict=True))
+
+    def likelihood(m):
+        p = [min(max(toxicity.scored(t, m)[0], 1e-12), 1 - 1e-12) for t in texts]
+        return sum(np.log(x if y else 1 - x) for x, y in zip(p, labels, strict=True))
+
+    assert likelihood(model) > likelihood((-6.0, {b"bad": 0.0, b"fine": 0.0})) and toxicity.scored(b"bad", model)[0] > 0.5 > toxicity.scored(b"fine. fine", model)[0]
+    assert toxicity.trained(bags, [0] * len(bags), 2, 0.5) is None
