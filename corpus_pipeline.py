@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seriate.llm import langid, mixing, packing, simhash, substrings
-from seriate.llm.common import stored, table
+from seriate.llm.common import dropped, new_path, stored, table, working
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with working(spark):
+            docs = stored(stage(spark, docs, sf_dir), "", path)
+        dropped(spark, *before)  # nothing reads the stage before any more
+        before = [path]
     return docs
