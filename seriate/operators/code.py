@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from functools import lru_cache
 from pathlib import Path
@@ -28,6 +29,19 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(package())
 
 
+@lru_cache(maxsize=1)
+def _own_scratch() -> str:
+    return tempfile.mkdtemp(prefix="seriate-scratch-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path, as Python opens it, in the folder that driver and executors share; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or _own_scratch()).removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Rows dealt for costly work on each: adaptive execution would put them into few tasks for being small."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -48,6 +48,17 @@ def signed(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, _signed, ddl)
 
 
+def parted(texts: DataFrame) -> DataFrame:
+    """texts (text, and what else they have) with the parts of each that patterns see."""
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields) + ", parts array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([list(pieces(t.strip())) for t in b["text"].to_pylist()], pa.list_(pa.string()))], [*b.schema.names, "parts"])
+
+    return arrow_map(texts, run, ddl)
+
+
 # ---- clusters -------------------------------------------------------------------------------------------
 
 
@@ -185,6 +196,20 @@ def role_of(raw: dict) -> Role:
     return Role(**{"boundary": edge if edge in ("start", "end") else "start", "kind": "unresolved"} | known)
 
 
+def roles_of(found: DataFrame) -> DataFrame:
+    """signature, label, and a row for each group of a cluster's expression with the role that it is offered."""
+    ddl = "signature string, label string, group string, boundary string, kind string, level int, caption string, suggested boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(s, n, r.group, r.boundary, r.kind, r.level, r.caption, r.suggested) for s, n, groups in zip(*(b[c].to_pylist() for c in ("signature", "label", "groups")), strict=True) for r in infer_roles(groups or [])]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.string()] * 5 + [pa.int32(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in ddl.split(", ")])
+
+    return arrow_map(found.select("signature", "label", "groups"), run, ddl)
+
+
 def merged_roles(old: list[Role], groups: list[str]) -> list[Role]:
     """Decisions on groups that are still there, and inferred roles for the rest."""
     known = {r.group: r for r in old}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriate.functions import budget, dialects, grammar, shape
 from seriate.operators import decisions, patterns, quality, reading, records, review, sessions
-from seriate.plans import queries, review_queries
+from seriate.plans import form_queries, queries, review_queries
 from seriate.sources import marc
 from seriate.streaming import holdings
 
@@ -27,7 +27,8 @@ def plain(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 9) if isinstance(v, float) else v
 
 
-ALL, SQL = queries.QUERIES | review_queries.QUERIES, queries.ORACLES | review_queries.ORACLES
+ALL = queries.QUERIES | review_queries.QUERIES | form_queries.QUERIES
+SQL = queries.ORACLES | review_queries.ORACLES | form_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", ALL)
