@@ -89,12 +89,6 @@ def codeable_column(level: str, value: Column) -> Column:
     return value.rlike(VALID[level])
 
 
-def kind_column(code: Column) -> Column:
-    parts = F.filter(F.split(code, "[-/]"), lambda p: p != "")
-    ok = (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike("^[0-9]+$"))
-    return F.when(ok, F.when(F.exists(parts, lambda p: p > "20"), "season").otherwise("month"))
-
-
 def full_year_column(text: Column) -> Column:
     first, second = F.substring(text, 1, 4), F.substring(text, 6, 4)
     century = F.substring(text, 1, 2).try_cast("int") + (second.try_cast("int") < F.substring(text, 3, 2).try_cast("int")).cast("int")

@@ -50,8 +50,3 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
-
-
-def grouped_map(df: DataFrame, keys: list[str], function, schema) -> DataFrame:
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(function, schema)

@@ -42,15 +42,6 @@ def to_row(parsed: dict) -> dict:
     return parsed | {"ranges": [r | {"start": _plain_boundary(r["start"]), "end": _plain_boundary(r["end"])} for r in parsed["ranges"]]}
 
 
-def from_row(row: dict) -> dict:
-    """The reverse of to_row, of rows as Arrow or Spark give them."""
-
-    def boundary(b):
-        return b and {**b, "enum": [(x["caption"], x["value"]) for x in b["enum"]], "shown": set(b["shown"]), "left_out": list(b["left_out"])}
-
-    return {**row, "ranges": [{**r, "start": boundary(r["start"]), "end": boundary(r["end"])} for r in row["ranges"]], "warnings": [dict(w) for w in row["warnings"]], "attention": list(row["attention"]), "skipped": list(row["skipped"])}
-
-
 def _field(f: dict | None) -> dict | None:
     return f and {**f, "subfields": [{"code": c, "value": v} for c, v in f["subfields"]]}
 
@@ -124,13 +115,3 @@ def display(field: Column) -> Column:
     ind = F.transform(F.array(field["ind1"], field["ind2"]), lambda i: F.when(F.coalesce(F.trim(i), F.lit("")) == "", "#").otherwise(i))
     subs = F.array_join(F.transform(field["subfields"], lambda s: F.concat(F.lit("$"), s["code"], F.lit(" "), F.trim(s["value"]))), " ")
     return F.concat_ws(" ", field["tag"], F.array_join(ind, ""), subs)
-
-
-def values_only(field: Column) -> Column:
-    """The field without its link, as the comparison of round trips wants it."""
-    return field.withField("subfields", F.filter(field["subfields"], lambda s: s["code"] != "8"))
-
-
-def ranges_of(read: DataFrame) -> DataFrame:
-    """One row for each range of each statement, with the break to the next."""
-    return read.select("*", F.posexplode("parsed.ranges").alias("range_index", "range"))

@@ -329,6 +329,16 @@ CLUSTER_VARIANTS = "SELECT 'VOL' AS label, '{\"VOL_CAP\": [\"volume\", \"vol.\",
 
 
 
+def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters as JSON documents, looked into."""
+    found = patterns.cluster_json(patterns.clusters(_shapes(spark, sf_dir).select("text", F.col("o_orderkey").alias("pos"))))
+    at = lambda path: F.get_json_object("json", path)
+    return found.select(at("$.label").alias("label"), at("$.count").cast("long").alias("n"), at("$.match_rate").cast("double").alias("match_rate"), at("$.too_complex").alias("too_complex"))
+
+
+CLUSTER_DOCUMENTS = f"""SELECT CASE {_K} WHEN 0 THEN 'VOL(YEAR)' WHEN 1 THEN 'VOL:ISS(YEAR:CHRON)' WHEN 2 THEN 'YEAR-' WHEN 3 THEN 'VOL ‹Suppl.›(YEAR)' WHEN 4 THEN '‹?› NUM' ELSE 'VOL — VOL ISS(YEAR-CHRON YEAR)' END AS label, COUNT(*) AS n, 1.0::DOUBLE AS match_rate, 'false' AS too_complex FROM orders GROUP BY 1"""
+
+
 def statements_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts given back in reverse order, one in five of them changed."""
     s = _shapes(spark, sf_dir).select(F.col("o_custkey").alias("record_index"), F.col("o_orderkey").alias("field_index"), F.concat(F.lit("v."), (F.col("o_orderkey") % 3).cast("string")).alias("text"))
@@ -363,7 +373,7 @@ def texts_in_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TEXTS_IN_RECORDS = f"WITH {_DATED}, t AS (SELECT DISTINCT {_SHAPE_TEXT} AS text, o_custkey FROM d) SELECT text, COUNT(*) AS records, SUM(o_custkey)::BIGINT AS total FROM t GROUP BY text"
 
-_ALL = tuple((f.__name__, f, globals()[f.__name__.upper()]) for f in (cluster_outcomes, to_look_at, pattern_partition, auto_confirm, outcome_totals, review_rows, review_filters, file_counts, full_log, batch_rebuild, records_edited, edit_notes, picked_records, notation_notes, record_notes, level_conflicts, same_statements, record_settings, settings_applied, corpus_outcomes, uncaptioned, pattern_preview, sources_counted, cluster_variants, statements_matched, audit_tally, corpus_statuses, texts_in_records))
+_ALL = tuple((f.__name__, f, globals()[f.__name__.upper()]) for f in (cluster_outcomes, to_look_at, pattern_partition, auto_confirm, outcome_totals, review_rows, review_filters, file_counts, full_log, batch_rebuild, records_edited, edit_notes, picked_records, notation_notes, record_notes, level_conflicts, same_statements, record_settings, settings_applied, corpus_outcomes, uncaptioned, pattern_preview, sources_counted, cluster_variants, cluster_documents, statements_matched, audit_tally, corpus_statuses, texts_in_records))
 QUERIES = {name: f for name, f, _ in _ALL}
 ORACLES = {name: sql for name, _, sql in _ALL}
 

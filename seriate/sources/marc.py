@@ -95,11 +95,6 @@ def row_of(name: str, number: int, data: bytes) -> tuple:
     return name, number, leader, [(f["pos"], f["tag"], f["ind1"], f["ind2"], f["data"], [(s["code"], s["value"]) for s in f["subfields"]]) for f in fields], found is None
 
 
-def rows_of(name: str, data: bytes, first: int = 0) -> Iterator[tuple]:
-    for i, (start, end) in enumerate(_lengths(data), first):
-        yield row_of(name, i, data[start:end])
-
-
 class _Part(InputPartition):
     def __init__(self, path: str, start: int, end: int, number: int):
         super().__init__((path, start, end, number))
