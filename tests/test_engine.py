@@ -350,3 +350,33 @@ def test_engine_stands_without_the_training_operators(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); import tests.test_engine"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert run.returncode == 0, run.stderr
+
+
+def test_splits_reach_the_fold_through_statements_and_records(spark):
+    s = spark.createDataFrame([(1, 0, "v.6(May 1931), v.7(Winter 1932)", None, None), (2, 0, "v.6(May 1931)", None, None), (2, 1, "v.7(Winter 1932)", None, None)], "record_index bigint, field_index int, text string, z string, x string")
+    splits = spark.createDataFrame([(1, 0, ["v.6(May 1931)", "v.7(Winter 1932)"])], "record_index bigint, field_index int, parts array<string>")
+    got = {(r["record_index"], r["text"]): r for r in records.convert_records(decisions.split(s, splits)).collect()}
+    assert got[1, "v.7(Winter 1932)"]["change"] == "split" and not got[1, "v.7(Winter 1932)"]["flagged"]
+    assert got[2, "v.7(Winter 1932)"]["change"] == "between" and got[2, "v.7(Winter 1932)"]["flagged"]
+    from seriate.functions.schemas import RECORDS
+
+    f = lambda t: Row(pos=0, tag="866", ind1=" ", ind2=" ", data=None, subfields=[Row(code="a", value=t)])
+    r = spark.createDataFrame([("f", 1, "l", [f("both")], False), ("f", 2, "l", [f("v.6(May 1931)"), f("v.7(Winter 1932)")], False)], RECORDS)
+    out = sessions.rebuilt(r, batch=sessions.Options(remove_866=True), splits=splits).orderBy("record_index").collect()
+    assert [[x["tag"] for x in y["fields"]] for y in out] == [["853", "853", "863", "863"]] * 2 and out[0].asDict().keys() == {*r.columns, "decided"}
+
+
+def test_records_that_skip_or_keep_stay_as_they_are(spark):
+    from seriate.functions.schemas import RECORDS
+
+    f = lambda tag, **subs: Row(pos=0, tag=tag, ind1=" ", ind2=" ", data=None, subfields=[Row(code=c[1:], value=v) for c, v in subs.items()])
+    rows = [("f", i, "l", [f("853", _8="1", _a="v."), f("863", **{"_8": "1.1", "_a": "1"}), f("866", _a="v.6(1931)")], False) for i in range(3)]
+    r = spark.createDataFrame(rows, RECORDS)
+    out = sessions.rebuilt(r, batch=sessions.Options(skipped=frozenset([0]), remove_866=True), own={1: sessions.Options(clear_existing=True)}).orderBy("record_index").collect()
+    assert [x["decided"] for x in out] == ["skipped", "own", "batch"]
+    assert out[0]["fields"] == out[2]["fields"] == r.where("record_index = 0").first()["fields"]
+    assert [reading_shown(x) for x in out[1]["fields"]] == ["853 8=1 a=v. i=(year)", "863 8=1.1 a=6 i=1931", "866 a=v.6(1931)"]
+
+
+def reading_shown(field):
+    return " ".join([field["tag"], *(f"{s['code']}={s['value']}" for s in field["subfields"])])
