@@ -26,8 +26,8 @@ from seriate.functions.schemas import RECORDS
 FIELD_END, RECORD_END, SUBFIELD = b"\x1e", b"\x1d", b"\x1f"
 MOST_FIELD, MOST_RECORD = 9_999, 99_999
 SPLIT_BYTES = 16 << 20
-#: Record numbers that a stretch may use.
-PLACES = 1 << 33
+#: Bits of a record's number within its stretch.
+PLACE_BITS = 33
 
 
 def decode(data: bytes) -> tuple[str, list[dict]] | None:
@@ -117,17 +117,17 @@ class _Reader(DataSourceReader):
             for i, (at, upto) in enumerate(_lengths(data, start)):
                 if at >= end:
                     break
-                yield row_of(path, number * PLACES + i, data[at:upto])
+                yield row_of(path, (number << PLACE_BITS) + i, data[at:upto])
 
 
 def numbered(records: DataFrame) -> DataFrame:
     """Records with dense numbers from 0 on: the stretches' counts, one row each, give each stretch its first number."""
-    stretch = F.floor(F.col("record_index") / PLACES)
+    stretch = F.shiftright("record_index", PLACE_BITS)
     counts = records.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = counts.select("stretch", before.alias("first"))
     rows = records.withColumn("stretch", stretch).join(firsts, "stretch")
-    return rows.withColumn("record_index", F.col("first") + F.pmod("record_index", F.lit(PLACES))).select(*records.columns)
+    return rows.withColumn("record_index", F.col("first") + F.col("record_index").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).select(*records.columns)
 
 
 class _Done(WriterCommitMessage):
