@@ -294,8 +294,8 @@ def identifier_spec(text: str) -> tuple[str, str | None] | None:
     return m[1], m[2] and m[2].lower()
 
 
-def summary(records: DataFrame, spec: str = "999$b") -> DataFrame:
-    """Title, identifier, ISSN, location and presence of holdings fields of each record."""
+def summary(records: DataFrame, spec: str = "999$b", *more: str) -> DataFrame:
+    """Title, identifier, ISSN, location and presence of holdings fields of each record, and more of its columns."""
     found = identifier_spec(spec)
     title = F.regexp_replace(F.trim(F.concat_ws(" ", F.nullif(first_value("245", "a"), F.lit("")), F.nullif(first_value("245", "b"), F.lit("")))), r"[ /:]+$", "")
     place = F.concat_ws(" > ", F.nullif(first_value("852", "b"), F.lit("")), F.nullif(first_value("852", "c"), F.lit("")))
@@ -309,6 +309,7 @@ def summary(records: DataFrame, spec: str = "999$b") -> DataFrame:
         (F.size(tagged("853")) > 0).alias("has_853"),
         (F.size(tagged("863")) > 0).alias("has_863"),
         "unreadable",
+        *more,
     )
 
 

@@ -127,7 +127,7 @@ def rows(records: DataFrame, converted: DataFrame, read: DataFrame, spec: str =
     bare = read.groupBy("record_index").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(uncaptioned_levels(F.col("parsed")))))).alias("uncaptioned"))
     notes = quality.existing_853_notes(records).groupBy("record_index").agg(F.array_sort(F.collect_list("note")).alias("record_notes"))
     skips = (skipped.select("record_index").distinct() if skipped is not None else records.select("record_index").limit(0)).withColumn("skipped", F.lit(True))
-    base = summary(records, spec).select("record_index", "title", "identifier", "issn", "location", "statements").join(records.select("record_index", "leader", "fields"), "record_index")
+    base = summary(records, spec, "leader", "fields").drop("has_853", "has_863", "unreadable")
     out = base.join(by, "record_index", "left").join(bare, "record_index", "left").join(notes, "record_index", "left").join(skips, "record_index", "left")
     own = F.size(tagged("863"))
     out = out.withColumns({"existing_863": own, "skipped": F.coalesce("skipped", F.lit(False))}).withColumn("kept_existing", (F.col("existing_863") > 0) & F.lit(not clear_existing))
