@@ -31,14 +31,16 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, n = encode(b["text"], end_id)
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("doc_id"), pa.array(n), blobs(ids, n)],
-                ["part", "local_start", "doc_id", "n", "ids"],
-            )
-            at = int(ends[-1]) if len(n) else at
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                b = whole.slice(i, 1024)
+                ids, n = encode(b["text"], end_id)
+                ends = at + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("doc_id"), pa.array(n), blobs(ids, n)],
+                    ["part", "local_start", "doc_id", "n", "ids"],
+                )
+                at = int(ends[-1])
 
     return run
 

@@ -167,19 +167,32 @@ def _join_tries(budget: int):
 def links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints (column fp, long) at budget or fewer differing bits.
 
-    A leading block shared by more than HOT fingerprints is cut by four further 4-bit slices of the bits behind
-    it: near fingerprints agree on one of the slices, so the tasks (slice, value) together hold every pair.
+    A leading block shared by more than HOT fingerprints is cut by four further 12-bit slices of the bits behind
+    it: near fingerprints agree on one of the slices, so the tasks (slice, value) together hold every pair. A task that
+    would still hold more is cut once more, by four 9-bit pieces of the other three slices.
     """
     rotations = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(F.expr(f"shiftleft(fp, {16 * r}) | shiftrightunsigned(fp, {64 - 16 * r})") if r else F.col("fp"), 48).alias("head")) for r in range(BLOCKS)]))
     rows = fps.select("fp", rotations.alias("x")).select("fp", "x.r", "x.head")
     rows = stored(rows, "simhash-rows")
-    hot = rows.groupBy("r", "head").count().where(F.col("count") > HOT).select("r", "head", F.lit(True).alias("hot"))
+    hot = stored(rows.groupBy("r", "head").count().where(F.col("count") > HOT).select("r", "head", F.lit(True).alias("hot")), "simhash-hot")
+    rows = rows.withColumn("cell", F.lit(-1)) if hot.isEmpty() else _cells(rows, hot)
+    return arrow_map(rows.select("r", "head", "cell", "fp").repartition("r", "head", "cell"), _join_tries(budget), "u long, v long")
+
+
+def _cells(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (r, head, fp), those of hot blocks once for each of their cells."""
     rows = rows.join(hot, ["r", "head"], "left")
     # bits behind the leading block, as the rotation has them
     spun = F.expr("CASE r WHEN 0 THEN fp WHEN 1 THEN shiftleft(fp, 16) | shiftrightunsigned(fp, 48) WHEN 2 THEN shiftleft(fp, 32) | shiftrightunsigned(fp, 32) ELSE shiftleft(fp, 48) | shiftrightunsigned(fp, 16) END")
-    cells = F.array(*[(F.lit(s * 4096) + F.shiftrightunsigned(spun, 48 - 12 * (s + 1)).bitwiseAND(F.lit(4095))).cast("int") for s in range(4)])
+    part = [F.shiftrightunsigned(spun, 48 - 12 * (s + 1)).bitwiseAND(F.lit(4095)) for s in range(4)]
+    cells = F.array(*[(F.lit(s * 4096) + part[s]).cast("int") for s in range(4)])
     rows = rows.withColumn("cell", F.explode(F.when(F.col("hot"), cells).otherwise(F.array(F.lit(-1)))))
-    return arrow_map(rows.select("r", "head", "cell", "fp").repartition("r", "head", "cell"), _join_tries(budget), "u long, v long")
+    again = rows.where("cell >= 0").groupBy("r", "head", "cell").count().where(F.col("count") > HOT).select("r", "head", "cell", F.lit(True).alias("still"))
+    rows = rows.join(again, ["r", "head", "cell"], "left")
+    other = [[part[i] for i in range(4) if i != s] for s in range(4)]
+    rest = F.coalesce(*[F.when(F.floor(F.col("cell") / 4096) == s, F.shiftleft(o[0], 24) + F.shiftleft(o[1], 12) + o[2]) for s, o in enumerate(other)])
+    finer = F.array(*[(F.lit(4 * 4096 + j * 512) + F.col("cell") * 2048 + F.shiftright(rest, 9 * j).bitwiseAND(F.lit(511))).cast("int") for j in range(4)])
+    return rows.withColumn("cell", F.explode(F.when(F.col("still"), finer).otherwise(F.array("cell"))))
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -167,13 +167,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the places of equal chunks, which all come to the same task, all but the first."""
-    seen: set[bytes] = set()
+    """Of the places of equal chunks, which come in order, all but the first: the same ones if the task runs again."""
+    last = None
     for b in batches:
         keep = []
         for key in b["key"].to_pylist():
-            keep.append(key in seen)
-            seen.add(key)
+            keep.append(key == last)
+            last = key
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
@@ -259,7 +259,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = E
     staged = stored(arrow_map(docs, _chunked(path, end_id), _STAGED), "", f"{folder}/staged", partition_by="kind")
     blocks = staged.where("kind = 1").select(*[c.split()[0] for c in _OBJECTS.split(", ")])
     places = arrow_map(blocks.select("part", "block", "keys"), _places, "key binary, part int, block int, at int")
-    again = arrow_map(places.repartition("key"), _later, "key binary, part int, block int, at int")
+    again = arrow_map(places.repartition("key").sortWithinPartitions("key", "part", "block", "at"), _later, "key binary, part int, block int, at int")
     have = _sided(again.withColumn("seg", F.lit(0)), f"{folder}/later")
     stored(arrow_map(blocks, _swept(f"{folder}/later", have), _OBJECTS), "", f"{folder}/objects")
     whole = staged.where("kind = 0").select("doc_id", "n", "keys")

@@ -327,20 +327,27 @@ def dedup(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [b" ".join(kept_words(t, c)[1]).decode() if c else None for t, c in zip(bytes_of(b["__text"]), b["__cuts"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names), pa.array(texts, pa.string())], [*b.schema.names, "__kept"])
+def _texts(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b" ".join(kept_words(t, c)[1]).decode() if c else None for t, c in zip(bytes_of(b[f"{name}_text"]), b[f"{name}_cuts"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names), pa.array(texts, pa.string())], [*b.schema.names, f"{name}_kept"])
+
+    return run
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without the words that they give up; texts that lose none stay as they are."""
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text").cast("string")).withColumn("__t", F.xxhash64("__text"))
-    cuts = removals(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("cuts").alias("__cuts"))
-    rows = marked.join(cuts, ["__id", "__t"], "left").select(*docs.columns, F.when(F.col("__cuts").isNotNull(), F.col("__text")).alias("__text"), "__cuts")
-    out = arrow_map(rows, _texts, rows.select("*", F.lit(None).cast("string").alias("__kept")).schema)
-    text = F.coalesce("__kept", F.col("text").cast("string")).alias("text")
-    size = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
+    name = "passage"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    own = lambda c: F.col(f"{name}_{c}")
+    marked = docs.withColumn(f"{name}_id", F.col("doc_id").cast("long")).withColumn(f"{name}_text", F.col("text").cast("string")).withColumn(f"{name}_t", F.xxhash64(own("text")))
+    cuts = removals(docs).select(F.col("doc_id").alias(f"{name}_id"), F.col("t").alias(f"{name}_t"), F.col("cuts").alias(f"{name}_cuts"))
+    rows = marked.join(cuts, [f"{name}_id", f"{name}_t"], "left").select(*docs.columns, F.when(own("cuts").isNotNull(), own("text")).alias(f"{name}_text"), own("cuts"))
+    out = arrow_map(rows, _texts(name), rows.select("*", F.lit(None).cast("string").alias(f"{name}_kept")).schema)
+    text = F.coalesce(own("kept"), F.col("text").cast("string")).alias("text")
+    size = F.when(own("kept").isNotNull(), F.length(own("kept")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
     return out.select(*[text if c == "text" else size if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -20,7 +20,7 @@ from seriate.llm.common import mixed, stretch_hashes
 #: Slots of the table of pieces, and ids that it holds before it starts anew (29 and 32 MB).
 SLOTS, POOL = 1 << 21, 1 << 24
 #: Bytes of text that are cut at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: White space as the tokenizers and Python have it, in UTF-8: one byte, or several.
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(9, 14), *range(28, 33)]] = True
@@ -210,7 +210,3 @@ def blobs(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     """Ids of texts as one Arrow array of little-endian bytes."""
     offsets = np.r_[0, np.cumsum(2 * n)].astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))]).cast(pa.binary())
-
-
-def as_u32(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2").astype("<u4")

@@ -161,12 +161,15 @@ def test_trie_join_finds_every_near_pair():
     assert own.roots(np.arange(len(keys))).tolist() == [want[i] for i in range(len(keys))]
 
 
-def test_hot_blocks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [50, 3])
+def test_hot_blocks_lose_no_link(spark, monkeypatch, hot):
     rng = random.Random(5)
     head = rng.getrandbits(16) << 48
     fps = [head | rng.getrandbits(48) for _ in range(150)]
     fps += [f ^ (1 << rng.randrange(48)) ^ (1 << rng.randrange(48)) for f in fps[:60]]
-    monkeypatch.setattr(simhash, "HOT", 50)
+    fps += [fps[0] & ~0xFFFFFFFFF | rng.getrandbits(36) for _ in range(40)]  # one slice in common
+    fps += [f ^ (1 << rng.randrange(36)) ^ (1 << rng.randrange(36)) ^ (1 << rng.randrange(36)) for f in fps[-40:]]
+    monkeypatch.setattr(simhash, "HOT", hot)
     signed = [f - (1 << 64) if f >> 63 else f for f in dict.fromkeys(fps)]
     found = components.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()
     want = least(signed, [(a, b) for a in signed for b in signed if ((a ^ b) % (1 << 64)).bit_count() <= 3])
@@ -434,6 +437,14 @@ def test_mixing_keeps_columns_whatever_their_names(spark, docs, rows):
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in plain.collect())
 
 
+def test_passages_keep_columns_whatever_their_names(spark, docs):
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    named = plain.select("*", F.lit(1).alias("passage"), F.lit("x").alias("passage_text"), F.lit(2).alias("cuts"), F.lit(3).alias("t"))
+    got = substrings.deduplicated(named)
+    assert got.columns == named.columns and {(r["passage"], r["passage_text"], r["cuts"], r["t"]) for r in got.collect()} == {(1, "x", 2, 3)}
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r["doc_id"], r["text"]) for r in substrings.deduplicated(plain).collect())
+
+
 def test_a_source_without_ids_still_meets_its_target(spark):
     rng = random.Random(4)
     rows = [(None, " ".join("w" for _ in range(rng.randint(5, 30))) + f" {i}", "en", "a", 1) for i in range(300)]
