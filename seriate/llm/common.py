@@ -96,12 +96,28 @@ def working(spark: SparkSession):
         dropped(spark, *_WORKING.pop())
 
 
+#: Bytes of a batch on its way to a worker and back: Spark's own 64 MB is held several times over in each.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with _small_batches(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
